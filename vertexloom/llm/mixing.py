@@ -87,38 +87,28 @@ def mixing_plan(narrow: DataFrame, weights: tuple[float, ...], max_epochs: int,
     return stored(out, "mix-final"), n_sources
 
 
-def narrow_rows(docs: DataFrame, seed: int = 17) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "*",
-        words(F.col("text")).alias("__size"),
-        hash63(F.lit(f"mix{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).alias("__h"),
-    )
-
-
 def mix_sources(
     docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, budget: int | None = None, seed: int = 17, thin: bool = False
 ) -> DataFrame:
-    """docs (doc_id, text, source, ...) with size, source_size, target, repeats and taken; thin: without the texts.
+    """docs (doc_id, text, source, ...) with __size, __source_size, __target, __repeats and __taken; thin: without the texts.
 
     weights go to the sources in the order of their names, again and again. budget: words to take in all, by
     default as many as there are. No row is dropped; repeats may be 0.
     """
-    docs = narrow_rows(docs, seed)
-    narrow = docs.select("doc_id", "source", F.col("__size").alias("size"), F.col("__h").alias("h"))
-    narrow = stored(narrow, "mix-rows")
-    plan, n = mixing_plan(narrow.select("source", "size", "h"), weights, max_epochs, budget)
-    plan = small(plan.withColumnRenamed("source", "plan_source"), n)
-    base = narrow if thin else docs.withColumnsRenamed({"__size": "size", "__h": "h"})
-    out = base.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
-    repeats = F.col("whole") + (F.col("h") <= F.col("h_star")).cast("long")
-    out = out.withColumn("repeats", repeats).withColumn("taken", F.col("size") * F.col("repeats"))
-    return out.drop("plan_source", "whole", "h_star", "h")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    h = hash63(F.lit(f"mix{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
+    docs = docs.select("*", words(F.col("text")).alias("__size"), h.alias("__h"))
+    narrow = stored(docs.select("doc_id", "source", "__size", "__h"), "mix-rows")
+    plan, n = mixing_plan(narrow.select("source", F.col("__size").alias("size"), F.col("__h").alias("h")), weights, max_epochs, budget)
+    plan = small(plan.select([F.col(c).alias(f"__{c}") for c in plan.columns]), n)
+    out = (narrow if thin else docs).join(plan, F.col("source").eqNullSafe(F.col("__source")))
+    out = out.withColumn("__repeats", F.col("__whole") + (F.col("__h") <= F.col("__h_star")).cast("long"))
+    return out.withColumn("__taken", F.col("__size") * F.col("__repeats")).drop("__source", "__whole", "__h_star", "__h")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = own_names(table(spark, sf_dir, "documents"), ["doc_id", "text", "source"])
-    return mix_sources(docs, thin=True).select("doc_id", "size", "source_size", "target", "taken", "repeats")
+    mixed = mix_sources(own_names(table(spark, sf_dir, "documents"), ["doc_id", "text", "source"]), thin=True)
+    return mixed.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "taken", "repeats")])
 
 
 OP1_SQL = r"""

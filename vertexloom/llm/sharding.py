@@ -33,33 +33,33 @@ def rendezvous(key: F.Column, weights: list[float]) -> F.Column:
 
 
 def shard_records(docs: DataFrame, weights: list[float], grown: float | None = None, thin: bool = False, key: str = "doc_id") -> DataFrame:
-    """docs (key, text, ...) with size, text_crc32, law, shard, slot and grown_shard (with one shard more, of weight
+    """docs (key, text, ...) with __size, __text_crc32, __law, __shard, __slot and __grown_shard (with one shard more, of weight
     ``grown``; by default 1). thin: only these and the key; else all columns of docs are kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
     name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text "), text))
     out = docs.select(
         *([key] if thin else ["*"]),
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        rendezvous(name, weights).cast("int").alias("shard"),
-        rendezvous(name, [*weights, grown or 1.0]).cast("int").alias("grown_shard"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("__size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("__text_crc32"),
+        F.lit("key").alias("__law"),
+        rendezvous(name, weights).cast("int").alias("__shard"),
+        rendezvous(name, [*weights, grown or 1.0]).cast("int").alias("__grown_shard"),
         hash63(F.lit("slot"), F.coalesce(F.col(key).cast("string"), F.lit("")), text).alias("__h"),
     )
     out = stored(out, "shards")
     rows = out.count()
     bits = max(0, math.ceil(math.log2(max(1, rows) / (len(weights) * CELL_ROWS)))) if rows else 0
     out = out.withColumn("__cell", F.shiftright("__h", 60 - bits))
-    cells = out.groupBy("shard", "__cell").count()
-    before = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(F.col("shard").alias("__shard"), F.col("__cell").alias("__at"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
-    number = F.row_number().over(Window.partitionBy("shard", "__cell").orderBy("__h", F.col(key), "text_crc32", "size")) - 1
+    cells = out.groupBy("__shard", "__cell").count()
+    before = Window.partitionBy("__shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(F.col("__shard").alias("__of"), F.col("__cell").alias("__at"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
+    number = F.row_number().over(Window.partitionBy("__shard", "__cell").orderBy("__h", F.col(key), "__text_crc32", "__size")) - 1
     out = out.withColumn("__n", number)
-    out = out.join(small(cells, len(weights) << bits), (F.col("shard") == F.col("__shard")) & (F.col("__cell") == F.col("__at")))
-    return out.withColumn("slot", (F.col("__n") + F.col("__first")).cast("long")).drop("__h", "__cell", "__n", "__shard", "__at", "__first")
+    out = out.join(small(cells, len(weights) << bits), (F.col("__shard") == F.col("__of")) & (F.col("__cell") == F.col("__at")))
+    return out.withColumn("__slot", (F.col("__n") + F.col("__first")).cast("long")).drop("__h", "__cell", "__n", "__of", "__at", "__first")
 
 
 def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = own_names(table(spark, sf_dir, "documents"), ["doc_id", "text"])
     out = shard_records(docs, [1.0] * 8, thin=True)
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")])

@@ -1,11 +1,11 @@
 """Toxic passages by maximum-scoring segment search.
 
 Log-odds of tokens between toxic and clean training texts, with a Dirichlet prior from both together, give each
-word a score; words without evidence get the pooled log-odds of all of them, which is a little below zero. One
+word a score, if its log-likelihood ratio shows that its share isn't chance; words without evidence get the pooled log-odds of all of them, which is a little below zero. One
 linear scan finds all maximal-scoring segments of a text. The best segment's score is calibrated as an extreme
 value: E = K n exp(-lambda S) for n words, with lambda and K fitted on clean texts; a logistic curve over the
-evidence and the number of significant segments, fitted on training texts the log-odds haven't seen, gives the
-text's score.
+evidence and the number of significant segments gives the text's score. Both are fitted on training texts scored with
+log-odds from the other half of them.
 
 Tokens are words of ASCII letters, digits and all other characters, lower-cased in ASCII, and their first 4, 5
 and 6 bytes, so that inflected and compounded forms share evidence.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import own_names, python_rows, shipped, stored, table
 from .textkernel import ALNUM, Words, as_bytes, chunks
 
-#: PRIOR: weight of the prior against the counts.
-SAMPLE, LEXICON, PRIOR, LEAST_Z, MOST = 30_000, 20_000, 0.05, 4.0, 8.0
+#: PRIOR: weight of the prior against the counts. CHANCE: tokens that may be in the lexicon by chance, about.
+SAMPLE, LEXICON, PRIOR, CHANCE, MOST = 30_000, 20_000, 0.1, 20.0, 8.0
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 
@@ -111,10 +111,11 @@ def _found(model: Model, words: Words) -> Iterator[tuple[int, list[tuple[int, in
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with each token, by label, for a batch; token 0 counts all words (toxic, clean)."""
+    """Texts of a batch with each token, by half and label; token 0 counts all words."""
     for batch in batches:
-        toxic = np.array(batch.column(0).to_pylist(), dtype=bool)
-        for at, texts in chunks(as_bytes(batch.column(1)), 8 << 20):
+        # Columns of the counts: clean and toxic of one half, clean and toxic of the other.
+        toxic = np.array(batch.column(0).to_pylist(), dtype=np.int64) + 2 * np.array(batch.column(1).to_pylist(), dtype=np.int64)
+        for at, texts in chunks(as_bytes(batch.column(2)), 8 << 20):
             words = Words(texts, ALNUM)
             counts = np.diff(words.first)
             label = np.repeat(toxic[at : at + len(texts)], counts)
@@ -130,10 +131,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sides.append(label[order][new])
             keys, which = np.unique(np.concatenate(found), return_inverse=True)
             sides = np.concatenate(sides)
-            yes = np.bincount(which, weights=sides, minlength=len(keys))
-            no = np.bincount(which, weights=~sides, minlength=len(keys))
-            keys, yes, no = np.append(keys, np.uint64(0)), np.append(yes, label.sum()), np.append(no, (~label).sum())
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(yes.astype(np.int64)), pa.array(no.astype(np.int64))], ["token", "yes", "no"])
+            totals = [np.append(np.bincount(which[sides == k], minlength=len(keys)), (label == k).sum()) for k in range(4)]
+            keys = np.append(keys, np.uint64(0))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(t.astype(np.int64)) for t in totals]], ["token", "no0", "yes0", "no1", "yes1"])
 
 
 def _tops(model):
@@ -155,7 +155,6 @@ def _tops(model):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """From labels (doc_id, toxic) and docs (doc_id, text); the caller leaves out what must not be learned from."""
     spark = docs.sparkSession
-    empty = Model(np.zeros(0, dtype=np.uint64), np.zeros(0), -0.01)
     labels = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("id").agg(F.max("toxic").alias("toxic"))
     labels = labels.withColumn("h", F.xxhash64("id", F.lit(5)))
     picked = None
@@ -166,26 +165,37 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = own.join(F.broadcast(picked), F.col("doc_id") == F.col("id"))  # at most 2 * sample rows of three numbers
     rows = rows.withColumn("th", F.xxhash64("text")).dropDuplicates(["th"]).select((F.col("toxic") == 1).alias("toxic"), "text", "th")
     rows = stored(rows, "toxic-sample")
-    learn = F.pmod(F.col("th"), F.lit(5)) < 3
-    counts = stored(python_rows(rows.filter(learn).select("toxic", "text"), _counts, "token long, yes long, no long").groupBy("token").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")), "toxic-tokens")
+    half = F.pmod(F.col("th"), F.lit(2))
+    counted = python_rows(rows.select("toxic", half.alias("half"), "text"), _counts, "token long, no0 long, yes0 long, no1 long, yes1 long")
+    counts = stored(counted.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("no0", "yes0", "no1", "yes1")]), "toxic-tokens")
+    shipped(spark)
+    model = lexicon(counts, F.col("yes0") + F.col("yes1"), F.col("no0") + F.col("no1"))
+    tops = []
+    for k in (0, 1):  # each half is scored with the other half's log-odds
+        other = spark.sparkContext.broadcast(lexicon(counts, F.col(f"yes{1 - k}"), F.col(f"no{1 - k}")))
+        tops += python_rows(rows.filter(half == k).select("toxic", "text"), _tops(other), "toxic boolean, n long, top double, scores array<double>").collect()
+    return calibrate(model, tops) if len(model.hashes) else model
+
+
+def lexicon(counts: DataFrame, yes: F.Column, no: F.Column) -> Model:
+    """Log-odds of the tokens that are more in toxic texts than chance would have it."""
+    counts = counts.select("token", yes.alias("yes"), no.alias("no")).filter("yes + no > 0")
     total = counts.filter("token = 0").first()
-    if total is None or not total.yes or not total.no:
-        return empty
-    sums = counts.filter("token <> 0").agg(F.sum("yes"), F.sum("no")).first()
-    n_yes, n_no = float(sums[0]), float(sums[1])
+    counts = counts.filter("token <> 0")
+    kinds, n_yes, n_no = counts.agg(F.count("*"), F.sum("yes"), F.sum("no")).first()
+    if total is None or not total.yes or not total.no or not n_yes or not n_no:
+        return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), -0.01)
+    n_yes, n_no = float(n_yes), float(n_no)
     prior, weight = (F.col("yes") + F.col("no")) * F.lit(PRIOR), PRIOR * (n_yes + n_no)
     y, n = F.col("yes") + prior, F.col("no") + prior
     odds = F.ln(y / (n_yes + weight - y)) - F.ln(n / (n_no + weight - n))
-    scored = counts.filter("token <> 0").select("token", "yes", "no", odds.alias("odds"), (odds / F.sqrt(1 / y + 1 / n)).alias("z"))
-    lexicon = scored.filter(f"z >= {LEAST_Z}").orderBy(F.desc("z"), "token").limit(LEXICON).collect()
-    if not lexicon:
-        return empty
-    hashes = np.array([r.token for r in lexicon], dtype=np.int64).view(np.uint64)
-    share = sum(r.yes for r in lexicon) / total.yes - sum(r.no for r in lexicon) / total.no
-    model = Model(hashes, np.minimum([r.odds for r in lexicon], MOST), min(-0.01, float(np.log1p(-min(max(share, 0.0), 0.5)))))
-    shipped(spark)
-    tops = python_rows(rows.filter(~learn).select("toxic", "text"), _tops(spark.sparkContext.broadcast(model)), "toxic boolean, n long, top double, scores array<double>").collect()
-    return calibrate(model, tops)
+    share = n_yes / (n_yes + n_no)
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) / ((F.col("yes") + F.col("no")) * p))).otherwise(0.0)
+    scored = counts.withColumn("odds", odds).withColumn("ratio", part("yes", share) + part("no", 1 - share))
+    found = scored.filter((F.col("odds") > 0) & (F.col("ratio") >= float(np.log(max(kinds / CHANCE, 1.0))))).orderBy(F.desc("ratio"), "token").limit(LEXICON).collect()
+    more = sum(r.yes for r in found) / total.yes - sum(r.no for r in found) / total.no
+    pooled = min(-0.01, float(np.log1p(-min(max(more, 0.0), 0.5))))
+    return Model(np.array([r.token for r in found], dtype=np.int64).view(np.uint64), np.minimum([r.odds for r in found], MOST), pooled)
 
 
 def calibrate(model: Model, tops: list) -> Model:

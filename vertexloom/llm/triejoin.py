@@ -306,5 +306,19 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, block_grams: int =
     return out.select("doc_id", "n_shingles", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component: that with the least id. Where ids are null or repeated, it is the
+    first row that comes. Texts without words all stay."""
+    rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    named = docs
+    if rows != ids:
+        named = stored(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
+    key = "doc_id" if rows == ids else "__rid"
+    found = jaccard_components(named.select(F.col(key).cast("long").alias("doc_id"), "text"), n, percent)
+    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "copies")
+    out = named.join(small(gone, gone.count()), F.col(key).cast("long") == F.col("__gone"), "left_anti")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op4_jaccard_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id")

@@ -137,7 +137,7 @@ def _search(index):
                 names += [sorted({held.names[i] for i in s}) for s in found]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(counts, pa.int64()), pa.array(hits, _HITS), pa.array(names, pa.list_(pa.string()))],
-                [*batch.schema.names, "n_words", "hits", "items"],
+                [*batch.schema.names, "__n_words", "__hits", "__items"],
             )
 
     return rows
@@ -146,13 +146,13 @@ def _search(index):
 def _merge(pdf):
     import pandas as pd
 
-    runs = _union([tuple(x) for h in pdf["hits"] for x in h])
-    names = sorted({x for r in pdf["items"] for x in r})
-    return pd.DataFrame({"rid": pdf["rid"][:1], "hits": [[list(map(int, r)) for r in runs]], "items": [names]})
+    runs = _union([tuple(x) for h in pdf["__hits"] for x in h])
+    names = sorted({x for r in pdf["__items"] for x in r})
+    return pd.DataFrame({"__rid": pdf["__rid"][:1], "__hits": [[list(map(int, r)) for r in runs]], "__items": [names]})
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs (text, ...) with the columns n_words, hits (runs of words, [first, end]) and items (ids as strings, sorted)."""
+    """docs (text, ...) with the columns __n_words, __hits (runs of words, [first, end]) and __items (ids as strings, sorted)."""
     spark = docs.sparkSession
     shipped(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
@@ -167,23 +167,23 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLO
 
     if n == 1:
         kinds = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in last)
-        return block(0, docs.select(*[F.col(f"`{c}`") for c in last]), f"{kinds}, n_words long, hits array<array<bigint>>, items array<string>")
-    docs = stored(docs.withColumn("rid", F.monotonically_increasing_id()), "winnow-docs")
-    kinds = "rid long, text string, n_words long, hits array<array<bigint>>, items array<string>"
-    parts = [block(i, docs.select("rid", "text"), kinds).select("rid", "n_words", "hits", "items") for i in range(n)]
-    counts, every = parts[0].select("rid", "n_words"), parts[0]
+        return block(0, docs.select(*[F.col(f"`{c}`") for c in last]), f"{kinds}, __n_words long, __hits array<array<bigint>>, __items array<string>")
+    docs = stored(docs.withColumn("__rid", F.monotonically_increasing_id()), "winnow-docs")
+    kinds = "__rid long, text string, __n_words long, __hits array<array<bigint>>, __items array<string>"
+    parts = [block(i, docs.select("__rid", "text"), kinds).select("__rid", "__n_words", "__hits", "__items") for i in range(n)]
+    counts, every = parts[0].select("__rid", "__n_words"), parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    merged = every.filter(F.size("hits") > 0).groupBy("rid").applyInPandas(_merge, "rid long, hits array<array<bigint>>, items array<string>")
-    out = docs.join(counts, "rid").join(merged, "rid", "left").drop("rid")
-    out = out.withColumn("hits", F.coalesce("hits", F.array().cast("array<array<bigint>>"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return out.select(*last, "n_words", "hits", "items")
+    merged = every.filter(F.size("__hits") > 0).groupBy("__rid").applyInPandas(_merge, "__rid long, __hits array<array<bigint>>, __items array<string>")
+    out = docs.join(counts, "__rid").join(merged, "__rid", "left").drop("__rid")
+    out = out.withColumn("__hits", F.coalesce("__hits", F.array().cast("array<array<bigint>>"))).withColumn("__items", F.coalesce("__items", F.array().cast("array<string>")))
+    return out.select(*last, "__n_words", "__hits", "__items")
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_benchmark(own_names(table(spark, sf_dir, "documents"), ["doc_id", "text"]), table(spark, sf_dir, "benchmark"))
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h[1] - h[0])
+    n_hit = F.aggregate("__hits", F.lit(0).cast("long"), lambda n, h: n + h[1] - h[0])
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+        "doc_id", F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (F.size("__hits") > 0).alias("contaminated"),
     )
