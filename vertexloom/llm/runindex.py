@@ -2,8 +2,8 @@
 
 A window of LENGTH bytes keeps the place of the least hash of its ``GRAM``-byte grams (all places, if equal ones tie),
 so that equal windows keep equal grams at equal places. Grams kept at two places or more mark the regions that can
-repeat; a region is all bytes of the windows that keep the gram. Regions are dealt into buckets by gram, and regions
-of one text that overlap in a bucket are merged, so that a bucket holds each place of the corpus once, and all windows
+repeat; a region is all bytes of the windows that keep the gram. Regions are dealt into buckets by gram, or by the
+least of the texts that have it, which any text with the gram agrees on, and regions of one text that overlap in a bucket are merged, so that a bucket holds each place of the corpus once, and all windows
 equal to one of its own. Equal regions are indexed once, with their count.
 
 In a bucket the regions' text is suffix-sorted; its Burrows-Wheeler transform is kept as runs with the sampled
@@ -35,6 +35,8 @@ from .textkernel import _TABLE, _power_tables, as_bytes, chunks, mix
 LENGTH, GRAM = 400, 64
 #: Bytes of regions in a bucket, about, and different texts of one gram that stay together.
 BUCKET_BYTES, SPLIT = 2_000_000, 5_000
+#: A gram in at most so many texts goes to a bucket by the least of them.
+FEW = 64
 #: Positions that a broadcast of candidate places may have.
 BROADCAST_PLACES = 2_000_000
 
@@ -292,20 +294,21 @@ def mark_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, split: int =
     docs = own_names(docs, ["doc_id", "text"]).withColumn("text", F.coalesce("text", F.lit("")))
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     kept = stored(python_rows(docs.filter(F.octet_length("text") >= LENGTH), _anchor_rows, "doc_id long, th long, place long, gram long"), "anchors")
-    twice = kept.groupBy("gram", "th").count().groupBy("gram").agg(F.sum("count").alias("n"), F.count("*").alias("texts"))
-    twice = stored(twice.filter("n > 1").select(F.col("gram").alias("g"), "texts"), "twice")
+    twice = kept.groupBy("gram", "th").count().groupBy("gram").agg(F.sum("count").alias("n"), F.count("*").alias("texts"), F.min("th").alias("least"))
+    # Grams of the same few texts share a bucket, where the regions of a text meet and are one.
+    near = F.when(F.col("texts") <= FEW, F.col("least")).otherwise(F.col("gram"))
+    twice = stored(twice.filter("n > 1").select(F.col("gram").alias("g"), "texts", near.alias("near")), "twice")
     buckets = max(1, (twice.agg(F.sum("texts")).first()[0] or 0) * (2 * LENGTH - GRAM) // bucket_bytes)
     places = stored(kept.join(twice, F.col("gram") == F.col("g")).drop("g"), "places")
-    total = places.count()
     # Grams in many texts get buckets of their own, by text; their family is the gram.
     far = F.col("texts") > split
     spread = F.floor(F.col("texts") / split).cast("long") + 1
     family = F.when(far, F.xxhash64("gram").bitwiseOR(F.lit(1))).otherwise(0)
-    bucket = F.when(far, F.xxhash64("gram", F.pmod(F.col("th"), spread)).bitwiseOR(F.lit(-(2**63)))).otherwise(F.pmod(F.xxhash64("gram"), F.lit(buckets)))
+    bucket = F.when(far, F.xxhash64("gram", F.pmod(F.col("th"), spread)).bitwiseOR(F.lit(-(2**63)))).otherwise(F.pmod(F.xxhash64("near"), F.lit(buckets)))
     of_text = places.groupBy("doc_id", "th").agg(F.collect_set(F.struct(bucket.alias("bucket"), family.alias("family"), "place")).alias("places"))
     of_text = of_text.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "places")
     on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
-    texts = docs.join(F.broadcast(of_text) if total <= BROADCAST_PLACES else of_text, on).select("doc_id", "th", "text", "places")
+    texts = docs.join(of_text, on).select("doc_id", "th", "text", "places")
     regions = stored(python_rows(texts, _regions(LENGTH, GRAM), "doc_id long, th long, bucket long, region long, first long, family long, content binary"), "regions")
     unique = regions.groupBy("bucket", "region").agg(F.first("content", ignorenulls=True).alias("content"), F.count("*").alias("copies"), F.first("family").alias("family"))
     found = unique.groupBy("bucket").applyInPandas(
