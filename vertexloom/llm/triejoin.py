@@ -32,8 +32,9 @@ from .common import own_names, python_rows, shipped, small, stored, table
 from .components import components
 from .textkernel import NON_SPACE, Words, as_bytes, chunks, shingles
 
-SKETCH_BITS, SKETCH_PARTS = 20, 32
-BLOCK_GRAMS = 2_000_000
+#: Buckets of the count sketch, a byte each, and parts in which it is added up.
+SKETCH_BITS, SKETCH_PARTS = 25, 64
+BLOCK_GRAMS = 1_000_000
 
 
 def gram_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
@@ -60,19 +61,24 @@ def _sketch(n: int):
     mask = np.uint64((1 << SKETCH_BITS) - 1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        total = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+
+        def add(held: list[np.ndarray]) -> None:
+            places, counts = np.unique(np.concatenate(held), return_counts=True)
+            total[places] = np.minimum(total[places] + counts, 255)
+
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            held: list[np.ndarray] = []
-            size = 0
             for grams in gram_sets(as_bytes(batch.column(0)), n):
-                held.append((grams & mask).astype(np.int64))
+                held.append((grams & mask).astype(np.uint32))
                 size += len(grams)
-                if size > 1 << 20:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
+                if size > 1 << 22:
+                    add(held)
                     held, size = [], 0
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=len(total))
-        parts = np.minimum(total, 2**32 - 1).astype("<u4").reshape(SKETCH_PARTS, -1)
+        if held:
+            add(held)
+        parts = total.reshape(SKETCH_PARTS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["part", "counts"])
 
     return rows
@@ -81,16 +87,18 @@ def _sketch(n: int):
 def _add(pdf):
     import pandas as pd
 
-    total = sum(np.frombuffer(zlib.decompress(c), dtype="<u4").astype(np.int64) for c in pdf["counts"])
-    return pd.DataFrame({"part": pdf["part"][:1], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype("<u4").tobytes(), 1)]})
+    total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, dtype=np.int64)
+    for c in pdf["counts"]:
+        total += np.frombuffer(zlib.decompress(c), dtype=np.uint8)
+    return pd.DataFrame({"part": pdf["part"][:1], "counts": [zlib.compress(np.minimum(total, 255).astype(np.uint8).tobytes(), 1)]})
 
 
 def count_sketch(texts: DataFrame, n: int) -> np.ndarray:
-    """In how many texts the grams of each of 2**SKETCH_BITS hash buckets are: 4 MB, whatever the corpus."""
+    """In how many texts the grams of each of 2**SKETCH_BITS hash buckets are, up to 255: 32 MB, whatever the corpus."""
     parts = python_rows(texts, _sketch(n), "part int, counts binary").groupBy("part").applyInPandas(_add, "part int, counts binary").collect()
-    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), dtype="<u4")
+    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), dtype=np.uint8)
     for r in parts:
-        out[r.part] = np.frombuffer(zlib.decompress(r.counts), dtype="<u4")
+        out[r.part] = np.frombuffer(zlib.decompress(r.counts), dtype=np.uint8)
     return out.reshape(-1)
 
 
@@ -132,7 +140,8 @@ def _sets(n: int):
                     which.append(i)
                     grams_out.append(grams.tobytes())
             keep = pa.array(which, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(keep), pa.array(grams_out, pa.binary())], ["class", "grams"])
+            columns = [batch.column(i).take(keep) for i in range(1, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(grams_out, pa.binary())], [*batch.schema.names[1:], "grams"])
 
     return rows
 
@@ -243,6 +252,7 @@ def _join_blocks(percent: int):
         import pandas as pd
 
         found = []
+        pdf = pdf.drop_duplicates(["class", "pair"])
         for _, block in pdf.groupby(["block", "pair"], sort=False):
             sets = [np.frombuffer(g, dtype=np.uint64) for g in block["grams"]]
             pair = block["pair"].iloc[0]
@@ -284,19 +294,19 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, block_grams: int =
     pairs = pairs.withColumn("at", F.explode(F.array_distinct(F.array("p", "q"))))
     pairs = stored(pairs, "pairs")
 
-    wanted = parts.select(F.col("class").alias("c"), "rep", "block", "part")
-    wanted = small(wanted, members.count())
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", F.col("c").alias("class"))
-    sets = python_rows(texts, _sets(n), "class long, grams binary").groupBy("class").agg(F.first("grams").alias("grams"))
-    sets = sets.join(parts.select(F.col("class").alias("c"), "block", "part"), F.col("class") == F.col("c"))
-    sets = sets.join(small(pairs, n_ranges), (F.col("block") == F.col("of")) & (F.col("part") == F.col("at")))
-    # Blocks of one part share tasks; a pair of parts has its own.
+    # Blocks of one part share tasks; a pair of parts has its own. Tasks are known before the sets are made, so
+    # that these move once.
     tasks = max(1, int(all_grams) // block_grams)
-    lone = F.col("q") == 0
-    pair = F.when(lone, F.lit(-1).cast("long")).otherwise(F.col("p") * 1_000_000 + F.col("q"))
-    sets = sets.select("class", "block", "part", "grams", pair.alias("pair"), (F.col("p") == F.col("q")).alias("alone"))
-    task = F.when(F.col("pair") < 0, F.pmod(F.xxhash64("block"), F.lit(tasks))).otherwise(F.xxhash64("block", "pair").bitwiseOR(F.lit(-(2**63))))
-    found = sets.withColumn("task", task).groupBy("task").applyInPandas(_join_blocks(percent), "a long, b long")
+    pair = F.when(F.col("q") == 0, F.lit(-1).cast("long")).otherwise(F.col("p") * 1_000_000 + F.col("q"))
+    task = F.when(F.col("q") == 0, F.pmod(F.xxhash64("of"), F.lit(tasks))).otherwise(F.xxhash64("of", pair).bitwiseOR(F.lit(-(2**63))))
+    pairs = pairs.select("of", "at", F.struct(task.alias("task"), pair.alias("pair"), (F.col("p") == F.col("q")).alias("alone")).alias("to"))
+    pairs = pairs.groupBy("of", "at").agg(F.collect_list("to").alias("to"))
+    wanted = parts.join(small(pairs, n_ranges), (F.col("block") == F.col("of")) & (F.col("part") == F.col("at")))
+    wanted = stored(wanted.select(F.col("class").alias("c"), "rep", "block", "part", "to"), "wanted")
+    texts = docs.join(small(wanted, members.count()), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", F.col("c").alias("class"), "block", "part", "to")
+    schema = "class long, block long, part long, to array<struct<task:bigint,pair:bigint,alone:boolean>>, grams binary"
+    sets = python_rows(texts, _sets(n), schema).select("class", "block", "part", "grams", F.explode("to").alias("to")).select("*", "to.*").drop("to")
+    found = sets.groupBy("task").applyInPandas(_join_blocks(percent), "a long, b long")
     found = components(stored(found, "links"))
 
     ids = classes.join(found, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("component", "class").alias("root"))
