@@ -31,7 +31,7 @@ def test_keys(spark):
     ).first()
     assert row.m == 0x44E8D40 and row.i == -9221964661898965696 and row.h == -4610278643436123200
     assert row.r == 4611795969799881004 and row.s == 5764498671174418132 and row.bad is None
-    assert row.t == "i3d11sqzsqqqyf6x5qvpj6d3" and row.gt == "g3d1q49qqycqqqqqyqqqqqzqqqqqqcnq3ue3"
+    assert row.t == "i3d11sqzsqqqyf6x5qvpj6d3" and row.gt == "g3d11q49qqycqqqqqyqqqqqzqqqqqqcnq3ue3"
 
 
 def test_text_rejects():
