@@ -145,29 +145,22 @@ def _region_batch(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
 
 
 def suffix_ranks(data: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """The suffix array, and the ranks of all places by their first 8, 16, 32, ... bytes until all differ."""
+    """The suffix array, and the ranks of all places by their first 7, 14, 28, ... bytes until all differ."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-    key = np.zeros(n, dtype=np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | padded[j : j + n]
-    # A place near the end counts by the bytes that it has: the pad is told from zero bytes by the place.
+    # Seven digits to base 257; the end counts as 0, below all bytes.
+    padded = np.concatenate([data.astype(np.int64) + 1, np.zeros(7, dtype=np.int64)])
+    key = np.zeros(n, dtype=np.int64)
+    for j in range(7):
+        key = key * 257 + padded[j : j + n]
     order = np.argsort(key, kind="stable")
-    depth, levels = 8, []
+    depth, levels = 7, []
     new = np.concatenate([[False], key[order][1:] != key[order][:-1]])
-    new[1:] |= (order[1:] > n - 8) | (order[:-1] > n - 8)
-    if n > 8:
-        tail = np.flatnonzero(order > n - 8)
-        if len(tail):  # a shorter suffix comes first
-            order = order[np.lexsort((-np.minimum(order, n - 8), key[order]))]
-            new = np.concatenate([[False], key[order][1:] != key[order][:-1]])
-            new[1:] |= (order[1:] > n - 8) | (order[:-1] > n - 8)
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.cumsum(new)
     levels.append((depth, rank.astype(np.int32)))
     while rank[order[-1]] < n - 1:
         after = np.zeros(n, dtype=np.int64)
-        after[: n - depth] = rank[depth:] + 1
+        after[: max(0, n - depth)] = rank[depth:] + 1
         key = rank * (n + 1) + after
         # Only places that aren't alone with their rank move.
         shared = np.concatenate([~new[1:], [False]]) | ~new
@@ -207,7 +200,7 @@ class RunIndex:
             same[same] = rank[a[same]] == rank[b[same]]
             step = same * depth
             a, b, out = a + step, b + step, out + step
-        for _ in range(7):
+        for _ in range(6):
             same = (a < self.n) & (b < self.n)
             same[same] = self.data[a[same]] == self.data[b[same]]
             a, b, out = a + same, b + same, out + same
