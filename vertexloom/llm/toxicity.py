@@ -115,7 +115,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         # Columns of the counts: clean and toxic of one half, clean and toxic of the other.
         toxic = np.array(batch.column(0).to_pylist(), dtype=np.int64) + 2 * np.array(batch.column(1).to_pylist(), dtype=np.int64)
-        for at, texts in chunks(as_bytes(batch.column(2)), 8 << 20):
+        for at, texts in chunks(as_bytes(batch.column(2))):
             words = Words(texts, ALNUM)
             counts = np.diff(words.first)
             label = np.repeat(toxic[at : at + len(texts)], counts)
