@@ -14,8 +14,8 @@ from ..runtime import shipped
 
 XYZ = ["x", "y", "z"]
 DATASET = "name string, cells array<struct<frame:int,resolution:int,x:int,y:int,z:int,value:double>>"
-#: Container format 1: magic, then the limits that a reader trusts.
-MAGIC, FRAMES_MOST, FRAME_BYTES_MOST, TOTAL_BYTES_MOST = b"OCTA3D\0\0", 100_000, 64 << 20, 256 << 20
+#: Container format 1, fixed values: magic, and the limits that a reader trusts (frames; a frame's bytes, packed and unpacked).
+MAGIC, FRAMES_MOST, PACKED_MOST, UNPACKED_MOST = b"OCTA3D\0\0", 100_000, 64 << 20, 256 << 20
 CODECS = {"lz4": 0, "zstd": 1, "none": 3}
 
 
@@ -111,40 +111,40 @@ def mesh_text(vertices: DataFrame, triangles: DataFrame, kind: str) -> DataFrame
 
 
 def container_bytes(payloads: list[bytes]) -> bytes:
-    """A container of uncompressed frames: header of 16 bytes (magic, version, frames), frame headers of 16 (codec, length, CRC-32)."""
-    out = [MAGIC + struct.pack(">II", 1, len(payloads))]
-    for p in payloads:
-        out.append(struct.pack(">IIII", CODECS["none"], len(p), len(p), zlib.crc32(p)) + p)
-    return b"".join(out)
+    """A container of frames that aren't compressed. Header: magic, version (1 byte), flags (1), frames (4), reserved (2). Then all
+    frame headers: codec, its version, graph, reserved (1 byte each), bytes unpacked, bytes packed, CRC-32 of the packed bytes (4
+    each). Then the frames. Numbers have their highest byte first."""
+    heads = [struct.pack(">BBBBIII", CODECS["none"], 1, 0, 0, len(p), len(p), zlib.crc32(p)) for p in payloads]
+    return MAGIC + struct.pack(">BBIxx", 1, 0, len(payloads)) + b"".join(heads) + b"".join(payloads)
 
 
 def container_frames(data: bytes) -> list[bytes]:
     """Raises ValueError on wrong magic, version, codec, size, or checksum."""
     if len(data) < 16 or data[:8] != MAGIC:
         raise ValueError("not a container")
-    version, n = struct.unpack_from(">II", data, 8)
-    if version != 1 or n > FRAMES_MOST:
+    version, _, n = struct.unpack_from(">BBI", data, 8)
+    at = 16 + 16 * n
+    if version != 1 or n > FRAMES_MOST or at > len(data):
         raise ValueError("version or frame count is out of range")
-    out, at, total = [], 16, 0
-    for _ in range(n):
-        if at + 16 > len(data):
-            raise ValueError("a frame is cut off")
-        codec, size, full, crc = struct.unpack_from(">IIII", data, at)
-        total += full
-        if codec not in CODECS.values() or size > FRAME_BYTES_MOST or total > TOTAL_BYTES_MOST or at + 16 + size > len(data):
+    out = []
+    for i in range(n):
+        codec, _, _, _, full, size, crc = struct.unpack_from(">BBBBIII", data, 16 + 16 * i)
+        if codec not in CODECS.values() or size > PACKED_MOST or full > UNPACKED_MOST or at + size > len(data):
             raise ValueError("a frame's header is out of range")
-        body = data[at + 16 : at + 16 + size]
+        body = data[at : at + size]
         if zlib.crc32(body) != crc:
             raise ValueError("a frame's checksum is wrong")
         out.append(_unpacked(codec, body, full))
-        at += 16 + size
+        at += size
     return out
 
 
 def _unpacked(codec: int, body: bytes, full: int) -> bytes:
     if codec == CODECS["none"]:
         return body
-    return pa.Codec("zstd" if codec == CODECS["zstd"] else "lz4_raw").decompress(body, full).to_pybytes()
+    if codec == CODECS["zstd"]:
+        return pa.Codec("zstd").decompress(body, full).to_pybytes()
+    return pa.Codec("lz4_raw").decompress(body[4:], full).to_pybytes()  # after the size
 
 
 def _frame_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
