@@ -32,7 +32,7 @@ _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+")
 _URL_TAIL = re.compile(r"[^\s<>\"']+")
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*$")
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 _IBAN = re.compile(r"[A-Za-z]*[ :#=]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)")
 _ACCOUNT = re.compile(r"[A-Za-z]*(?: ?(?:no|nr|number|id))?\.?[ :#=]{1,3}([A-Z]{0,2}[0-9]{6,20})(?![0-9A-Za-z])")
 
