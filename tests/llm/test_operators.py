@@ -88,13 +88,29 @@ def test_mixing(docs, empty):
     assert set(docs.columns) <= set(mixed.columns)
 
 
-def test_mixing_sql(spark):
+def sql_rows(sql, **views):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    expected = con.execute(mixing.OP1_SQL)
-    names = [d[0] for d in expected.description]
-    found = mixing.op1_mix_sources(spark, SF).select(*names).collect()
-    assert sorted(map(tuple, found)) == sorted(expected.fetchall())
+    for name, path in views.items():
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
+    out = con.execute(sql)
+    return [d[0] for d in out.description], sorted(out.fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, name):
+    names, expected = sql_rows(queries.oracle_sql()[name], documents=f"{SF}/documents.parquet", benchmark=f"{SF}/benchmark.parquet")
+    found = queries.queries()[name](spark, SF)
+    assert sorted(found.columns) == sorted(names)
+    assert sorted(map(tuple, found.select(*names).collect()), key=repr) == expected
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_edge_cases_against_sql(spark, docs, tmp_path, name):
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, sample()[1][1][:90]), (2, "one two"), (None, "x y z one two"), (3, None), (4, "")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    names, expected = sql_rows(queries.oracle_sql()[name], documents=f"{tmp_path}/documents.parquet/*.parquet", benchmark=f"{tmp_path}/benchmark.parquet/*.parquet")
+    found = queries.queries()[name](spark, f"file://{tmp_path}").select(*names)
+    assert sorted(map(tuple, found.collect()), key=repr) == expected
 
 
 def test_water_filling_clamps(spark):

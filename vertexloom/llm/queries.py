@@ -1,6 +1,6 @@
 """Queries of the corpus operators, and their SQL."""
 
-from . import htmlmain, mixing, pii, runindex, secretscan, sharding, telephony, toxicity, triejoin, winnow
+from . import htmlmain, mixing, oracles, pii, runindex, secretscan, sharding, telephony, toxicity, triejoin, winnow
 
 
 def queries() -> dict:
@@ -20,4 +20,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL}
+    return {
+        "op1_mix_sources": mixing.OP1_SQL,
+        "op3_secret_scan": oracles.OP3_SQL,
+        "op4_jaccard_trie_join": oracles.OP4_SQL,
+        "op5_rendezvous_shards": oracles.OP5_SQL,
+        "op6_winnowing": oracles.OP6_SQL,
+        "op7_personal_data": oracles.OP7_SQL,
+        "op8_telephony_media": oracles.OP8_SQL,
+        "op10_run_length_index": oracles.OP10_SQL,
+    }
