@@ -100,6 +100,29 @@ def test_occupancy_order_and_clamps(spark):
     assert abs(layers.occupancy(df).first().l + 2.027326) < 1e-6
 
 
+def test_decay_in_segments(spark):
+    rows = [(0, 0, 0, i * i * 3001, i, i % 7 < 4, 0.6 + i % 5 * 0.08) for i in range(60)]
+    df = spark.createDataFrame(rows, "x long, y long, z long, t long, seq long, occupied boolean, confidence double").withColumn("ts", F.timestamp_seconds("t"))
+    l = t = 0.0
+    for *_, at, _, occupied, p in rows:
+        l = max(-3.466, min(3.466, l * math.exp(-1e-5 * (at - t)) + (1 if occupied else -1) * math.log(p / (1 - p))))
+        t = at
+    for segment in ("3600 seconds", "86400 seconds", "100000 days"):
+        r = layers.temporal(df, 1e-5, segment=segment).first()
+        assert abs(r.l - l) < 1e-9 and r.last == t and r.n == 60
+
+
+@pytest.mark.parametrize("weights", [[1.0] * 30, [3.0, 0.5, 0.0, 2.0] * 5, [0.0, 9.0, 1.0, 7.0], [0.0, 0.0, 0.0], [9.0], [0.0]])
+def test_distances_as_a_fold(spark, weights):
+    rows = [(0, 0, 0, (i * 37 % 19 - 9) / 100, w, i) for i, w in enumerate(weights)]
+    d = w = 0.0
+    for *_, sdf, c, _ in rows:
+        new = min(w + c, 5.0)
+        d, w = sdf if w == 0 else (d * w + sdf * c) / new, new
+    r = layers.tsdf(spark.createDataFrame(rows, "x long, y long, z long, sdf double, weight double, seq long"), max_weight=5.0).first()
+    assert abs(r.distance - d) < 1e-9 and r.w == w and r.n == len(rows)
+
+
 def test_runs_round_trip(spark):
     df = spark.createDataFrame([(0, i, v) for i, v in enumerate([1.0, 1.0, 1.0, 2.0, 2.0, None, None, 3.0])], "k int, i int, v double")
     runs = layers.run_lengths(df, ["k"], "i", "v")

@@ -1,8 +1,8 @@
 """Value layers keyed by cell: aggregation, roll-up, occupancy and distance fusion, and what is derived from them.
 
 Fusion clamps after every step, so order counts. An update x -> clamp(x + d, lo, hi) composes with others into
-x -> clamp(x + A, L, H); rows are folded within time segments, then segments in order, so that no task holds all of a
-hot voxel's measurements.
+x -> clamp(x + A, L, H), with decay too; rows are folded within time segments, then segments in
+order, so that no task holds all of a hot voxel's measurements. Distances need sums only.
 """
 
 from __future__ import annotations
@@ -68,19 +68,35 @@ def occupancy_stats(layer: DataFrame, conf: Occupancy = PLAIN) -> DataFrame:
     )
 
 
-def temporal(rows: DataFrame, rate: float, conf: Occupancy = TEMPORAL) -> DataFrame:
-    """Evidence decays by exp(-rate dt) between measurements: x, y, z, l, last (seconds), n."""
+def temporal(rows: DataFrame, rate: float, conf: Occupancy = TEMPORAL, segment: str = "86400 seconds") -> DataFrame:
+    """Evidence decays by exp(-rate dt) between measurements: x, y, z, l, last (seconds), n.
+
+    A segment maps x, decayed until the segment's last measurement, to clamp(x + a, lo, hi).
+    """
     p = F.col("confidence")
     d = F.ln(p / (1 - p))
-    rows = rows.select(*XYZ, "ts", "seq", F.when(F.col("occupied"), d).otherwise(-d).alias("d"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    folded = rows.groupBy(*XYZ).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "d", "t"))).alias("r"))
-    start = F.struct(F.lit(0.0).alias("l"), F.lit(None).cast("double").alias("t"))
+    rows = rows.select(
+        *XYZ, "ts", "seq", F.when(F.col("occupied"), d).otherwise(-d).alias("d"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"),
+        F.window("ts", segment)["start"].alias("segment"),
+    )
+    clamp = lambda v: F.greatest(F.lit(conf.low), F.least(F.lit(conf.high), v))
+    folded = rows.groupBy(*XYZ, "segment").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "d", "t"))).alias("r"), F.count("*").alias("n"))
+    first = F.col("r")[0]
+    start = F.struct(first["d"].alias("a"), F.lit(conf.low).alias("lo"), F.lit(conf.high).alias("hi"), first["t"].alias("t"))
 
-    def step(s, r):
-        old = s["l"] * F.coalesce(F.exp(-rate * (r["t"] - s["t"])), F.lit(1.0))
-        return F.struct(F.greatest(F.lit(conf.low), F.least(F.lit(conf.high), old + r["d"])).alias("l"), r["t"].alias("t"))
+    def step(f, r):
+        k = F.exp(-rate * (r["t"] - f["t"]))
+        return F.struct((f["a"] * k + r["d"]).alias("a"), clamp(f["lo"] * k + r["d"]).alias("lo"), clamp(f["hi"] * k + r["d"]).alias("hi"), r["t"].alias("t"))
+
+    folded = folded.select(*XYZ, "segment", "n", F.aggregate(F.slice("r", F.lit(2), F.size("r")), start, step).alias("f"))
+    whole = folded.groupBy(*XYZ).agg(F.array_sort(F.collect_list(F.struct("segment", "f"))).alias("s"), F.sum("n").alias("n"))
 
-    return folded.select(*XYZ, F.aggregate("r", start, step).alias("s"), F.size("r").cast("long").alias("n")).select(*XYZ, F.col("s.l").alias("l"), F.col("s.t").alias("last"), "n")
+    def join(x, s):
+        old = x["l"] * F.coalesce(F.exp(-rate * (s["f"]["t"] - x["t"])), F.lit(1.0))
+        return F.struct(F.greatest(s["f"]["lo"], F.least(s["f"]["hi"], old + s["f"]["a"])).alias("l"), s["f"]["t"].alias("t"))
+
+    total = F.aggregate("s", F.struct(F.lit(0.0).alias("l"), F.lit(None).cast("double").alias("t")), join)
+    return whole.select(*XYZ, total.alias("s"), "n").select(*XYZ, F.col("s.l").alias("l"), F.col("s.t").alias("last"), "n")
 
 
 def temporal_state(layer: DataFrame, as_of: Column, rate: float, max_age: float, conf: Occupancy = TEMPORAL) -> DataFrame:
@@ -156,17 +172,19 @@ def integrate_rays(rays: DataFrame, size: float, p_free: float, p_occupied: floa
 
 
 def tsdf(rows: DataFrame, truncation: float = 0.1, max_weight: float = 100.0) -> DataFrame:
-    """rows (x, y, z, sdf, weight, seq) to x, y, z, distance, w, n. The weight is capped before it divides."""
-    rows = rows.filter(F.abs("sdf") <= truncation)
-    held = rows.groupBy(*XYZ).agg(F.array_sort(F.collect_list(F.struct("seq", "sdf", "weight"))).alias("r"))
-    start = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("w"))
-
-    def step(s, r):
-        w = F.least(s["w"] + r["weight"], F.lit(max_weight))
-        d = F.when(s["w"] == 0, r["sdf"]).otherwise((s["d"] * s["w"] + r["sdf"] * r["weight"]) / w)
-        return F.struct(d.alias("d"), w.alias("w"))
-
-    return held.select(*XYZ, F.aggregate("r", start, step).alias("s"), F.size("r").cast("long").alias("n")).select(*XYZ, F.col("s.d").alias("distance"), F.col("s.w").alias("w"), "n")
+    """rows (x, y, z, sdf, weight from 0 on, seq) to x, y, z, distance, w, n. The weight is capped before it divides.
+
+    Distance times weight therefore grows by sdf times weight at each step, capped or not, and plain sums give the fold's
+    result. Two cases aside, for which seq counts: the first weight is capped itself, and without any weight the last sdf stays.
+    """
+    first = F.when(F.col("weight") > 0, F.col("seq"))
+    held = rows.filter(F.abs("sdf") <= truncation).groupBy(*XYZ).agg(
+        F.sum(F.col("sdf") * F.col("weight")).alias("dw"), F.sum("weight").alias("all"), F.min_by("sdf", first).alias("d1"), F.min_by("weight", first).alias("w1"),
+        F.max_by("sdf", "seq").alias("last"), F.count("*").alias("n"),
+    )
+    w = F.least("all", F.lit(max_weight))
+    over = F.greatest(F.col("w1") - max_weight, F.lit(0.0)) * F.col("d1")
+    return held.select(*XYZ, F.when(F.col("all") > 0, (F.col("dw") - over) / w).otherwise(F.col("last")).alias("distance"), w.alias("w"), "n")
 
 
 def depth_rays(rows: DataFrame, size: float) -> DataFrame:

@@ -57,5 +57,5 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """x, y, z, sdf, weight and an order."""
     x, y, z = _long("l_partkey") % 32, _long("l_suppkey") % 32, (_long("l_orderkey") + _long("l_linenumber")) % 32
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq")
+    order = (_long("l_orderkey") * 8 + _long("l_linenumber")).alias("seq")
     return _snapped(read(spark, sf_dir, "lineitem"), x, y, z, ((F.col("l_discount") - 0.05) * 2).alias("sdf"), F.lit(1.0).alias("weight"), order)
