@@ -134,12 +134,12 @@ def container_frames(data: bytes) -> list[bytes]:
         body = data[at : at + size]
         if zlib.crc32(body) != crc:
             raise ValueError("a frame's checksum is wrong")
-        out.append(_unpacked(codec, body, full))
+        out.append(unpacked(codec, body, full))
         at += size
     return out
 
 
-def _unpacked(codec: int, body: bytes, full: int) -> bytes:
+def unpacked(codec: int, body: bytes, full: int) -> bytes:
     if codec == CODECS["none"]:
         return body
     if codec == CODECS["zstd"]:
