@@ -35,7 +35,7 @@ def test_against_sql(spark, con, name):
     assert found == sorted(tuple(shown(r[names.index(c)]) for c in cols) for r in out.fetchall())
 
 
-@pytest.mark.parametrize("name", ["rays", "esdf_totals", "frontier_clusters", "point_cloud", "geojson_points"])
+@pytest.mark.parametrize("name", ["maze", "view_scores", "point_cloud", "geojson_points"])
 def test_without_sql_runs(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
 

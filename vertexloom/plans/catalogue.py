@@ -173,9 +173,21 @@ def batch_build(spark, sf_dir):
     return rows.select("id", "x", F.when(key.isNull(), "bad").otherwise("ok").alias("result"))
 
 
-@query()
+_HEAD = [*(ord(c) >> 5 for c in text.PREFIXES["index"]), 0, *(ord(c) & 31 for c in text.PREFIXES["index"])]
+_STEP = "xor(((c & 33554431) << 5), v)"
+for _i, _g in enumerate(text.GENERATOR):
+    _STEP = f"xor({_STEP}, ((c >> {25 + _i}) & 1) * {_g})"
+
+
+@query(
+    f"WITH c AS (SELECT DISTINCT {_INDEX} AS cell FROM ({CELLS})), "
+    "g AS (SELECT cell, list_append(list_transform(range(12), lambda i: (cell >> (59 - 5 * i)::INT) & 31), (cell & 15) << 1) AS v FROM c), "
+    f"s AS (SELECT cell, v, xor(list_reduce(list_concat({_HEAD}::BIGINT[], v, [0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, v: {_STEP}, 1::BIGINT), {text.CONSTANT}) AS check_ FROM g) "
+    f"SELECT cell, '{text.PREFIXES['index']}1' || array_to_string(list_transform(list_concat(v, list_transform(range(6), lambda i: (check_ >> (25 - 5 * i)::INT) & 31)), lambda x: '{text.ALPHABET}'[x + 1]), '') AS shown, true AS same, "
+    "printf('I64(f=%d,t=%d,l=%d,m=%012x)', (cell >> 52) & 255, (cell >> 60) & 3, (cell >> 48) & 15, cell & 281474976710655) AS fields FROM s"
+)
 def key_texts(spark, sf_dir):
-    """Checksummed text of keys, and back; SQL has no form of it, so that tests hold it against published values."""
+    """Checksummed text of keys, and back."""
     keys = tables.cell_keys(spark, sf_dir).select("cell").distinct().withColumn("shown", text.key_text(text.PREFIXES["index"], F.col("cell")))
     back = F.conv(F.hex(text.bech32m_decode(text.PREFIXES["index"], F.col("shown"), 8)), 16, -10).cast("long")
     return keys.select("cell", "shown", (back == F.col("cell")).alias("same"), ids.display_index(F.col("cell")).alias("fields"))
@@ -304,7 +316,20 @@ def radius_cells(spark, sf_dir):
     return topology.radius(tables.signed_cells(spark, sf_dir), 3.5).groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query()
+_ROUNDED = ", ".join(f"round({c} / 2)::BIGINT * 2 AS e{c}, round(({c} - 1) / 2)::BIGINT * 2 + 1 AS u{c}" for c in XYZ)
+_FAR = {k: " + ".join(f"({k}{c} - {c}) * ({k}{c} - {c})" for c in XYZ) for k in "eu"}
+_NEAREST = ", ".join(f"CASE WHEN {_FAR['e']} <= {_FAR['u']} THEN e{c} ELSE u{c} END AS {c}" for c in XYZ)
+
+
+@query(
+    "WITH r AS (SELECT id, x, y, z, greatest(abs(x), abs(y), abs(z)) * 2 AS far FROM (" + SIGNED + ")), "
+    "i AS (SELECT id, x, y, z, unnest(range(greatest(far, 1) + 1)) AS i, greatest(far, 1) AS steps FROM r), "
+    "p AS (SELECT id, i, x + (0 - x) * (i / steps) AS x, y + (0 - y) * (i / steps) AS y, z + (0 - z) * (i / steps) AS z FROM i), "
+    f"q AS (SELECT id, i, {_NEAREST} FROM (SELECT id, i, x, y, z, {_ROUNDED} FROM p)), "
+    "every AS (SELECT * FROM q UNION ALL SELECT id, greatest(far, 1) + 1, 0, 0, 0 FROM r), "
+    "b AS (SELECT id, i, x || ' ' || y || ' ' || z AS p, lag(x || ' ' || y || ' ' || z) OVER (PARTITION BY id ORDER BY i) AS before FROM every) "
+    "SELECT id, count(*)::INT AS n, list(p ORDER BY i) AS points FROM b WHERE p IS DISTINCT FROM before GROUP BY id"
+)
 def lines(spark, sf_dir):
     rows = topology.trace_lines(tables.signed_cells(spark, sf_dir), col(*XYZ), [F.lit(0).cast("long")] * 3)
     line = F.col("line")
@@ -315,9 +340,17 @@ def _free(spark, sf_dir):
     return tables.cells(spark, sf_dir).select(*XYZ).distinct().filter("x < 16 and y < 16 and z < 16")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE f AS (SELECT x, y, z, {_morton()} AS key FROM (SELECT DISTINCT x, y, z FROM ({CELLS})) WHERE x < 16 AND y < 16 AND z < 16), "
+    f"starts AS (SELECT id, x, y, z, {_morton()} AS key FROM (VALUES (1, 0, 0, 0), (2, 14, 14, 14)) v(id, x, y, z)), "
+    "cells AS (SELECT x, y, z, key FROM f UNION SELECT x, y, z, key FROM starts), "
+    f"edges AS (SELECT p.key AS a, q.key AS b, CASE WHEN n.a & 1 = 1 THEN sqrt(3.0::DOUBLE) ELSE 2.0::DOUBLE END AS cost FROM cells p, {_NEIGHBORS}, f q WHERE q.x = p.x + n.a AND q.y = p.y + n.b AND q.z = p.z + n.c), "
+    "best(id, key, cost) USING KEY (id, key) AS (SELECT id, cells.key, CASE WHEN cells.key = starts.key THEN 0.0::DOUBLE ELSE 'inf'::DOUBLE END FROM starts, cells "
+    "UNION SELECT l.id, e.b, min(l.cost + e.cost) FROM best l JOIN edges e ON l.key = e.a JOIN recurring.best r ON r.id = l.id AND r.key = e.b WHERE l.cost + e.cost < r.cost - 1e-12 GROUP BY l.id, e.b) "
+    "SELECT id::BIGINT AS id, x, y, z, round(cost, 6) AS cost FROM best JOIN cells USING (key) WHERE isfinite(cost)"
+)
 def blocked_paths(spark, sf_dir):
-    """Least costs from two corners through the cells that are there; SQL needs a recursion to a fixed point of costs."""
+    """Least costs from two corners through the cells that are there."""
     starts = spark.createDataFrame([(1, 0, 0, 0), (2, 14, 14, 14)], "id long, x long, y long, z long")
     return topology.shortest_paths(_free(spark, sf_dir), starts).select("id", *XYZ, r6(F.col("cost"), "cost"))
 
@@ -422,7 +455,16 @@ def runs(spark, sf_dir):
     return layers.run_lengths(rows, ["x", "y"], "order", "occupied")
 
 
-@query()
+@query(
+    "WITH r AS (SELECT id AS ray, x + 8 AS ex, y + 8 AS ey, z + 8 AS ez FROM (" + POINTS + ")), "
+    "d AS (SELECT *, sqrt((ex - 10) * (ex - 10) + (ey - 10) * (ey - 10) + (ez - 10) * (ez - 10)) AS far FROM r), "
+    "s AS (SELECT *, unnest(range(floor(far / 0.25)::BIGINT)) AS step FROM d WHERE far >= 0.000001), "
+    "hits AS (SELECT ray, step, 10 + (ex - 10) / far * (step * 0.25) AS x, 10 + (ey - 10) / far * (step * 0.25) AS y, 10 + (ez - 10) / far * (step * 0.25) AS z, 0.7::DOUBLE AS confidence, false AS occupied FROM s "
+    "UNION ALL SELECT ray, floor(far / 0.25)::BIGINT, ex, ey, ez, 0.9::DOUBLE, true FROM d WHERE far >= 0.000001), "
+    f"v AS ({_snap('round(x / 0.5)', 'round(y / 0.5)', 'round(z / 0.5)', 'hits', 'ray AS ray ; step AS step ; confidence AS confidence ; occupied AS occupied')}) "
+    f"SELECT x, y, z, round(list_reduce(list(CASE WHEN occupied THEN {_LOGIT} ELSE -{_LOGIT} END ORDER BY ray, step), lambda a, d: greatest(-3.5, least(3.5, a + d)), 0.0::DOUBLE), 6) AS l, count(*)::BIGINT AS n "
+    "FROM v WHERE x BETWEEN 0 AND 65535 AND y BETWEEN 0 AND 65535 AND z BETWEEN 0 AND 65535 GROUP BY x, y, z"
+)
 def rays(spark, sf_dir):
     """Voxels that rays from a corner to the points pass, with their evidence."""
     p = tables.points(spark, sf_dir)
@@ -468,7 +510,14 @@ def mesh_points(spark, sf_dir):
     return v.select(*XYZ, "nx", "ny", "nz", *[r6(F.col(f"v{c}"), f"v{c}") for c in XYZ])
 
 
-@query()
+@query(
+    "WITH v AS (SELECT {'x': x, 'y': y, 'z': z, 'nx': nx, 'ny': ny, 'nz': nz} AS e, (x + t * (nx - x)) * 0.02 AS vx, (y + t * (ny - y)) * 0.02 AS vy, (z + t * (nz - z)) * 0.02 AS vz "
+    f"FROM ({_EDGES}) WHERE x < 12 AND y < 12 AND z < 12 AND nx < 12 AND ny < 12 AND nz < 12), "
+    "ends AS (SELECT e.x AS x, e.y AS y, e.z AS z, e FROM v UNION ALL SELECT e.nx, e.ny, e.nz, e FROM v), "
+    "f AS (SELECT DISTINCT a.e AS a, b.e AS b, c.e AS c FROM ends a JOIN ends b USING (x, y, z) JOIN ends c USING (x, y, z) WHERE a.e < b.e AND b.e < c.e), "
+    "d AS (SELECT b.vx - a.vx AS ux, b.vy - a.vy AS uy, b.vz - a.vz AS uz, c.vx - a.vx AS wx, c.vy - a.vy AS wy, c.vz - a.vz AS wz FROM f JOIN v a ON f.a = a.e JOIN v b ON f.b = b.e JOIN v c ON f.c = c.e) "
+    "SELECT count(*)::BIGINT AS triangles, round(sum(0.5 * sqrt(pow(uy * wz - uz * wy, 2) + pow(uz * wx - ux * wz, 2) + pow(ux * wy - uy * wx, 2))), 4) AS area FROM d"
+)
 def mesh_faces(spark, sf_dir):
     from ..operators.topology import shared
 
@@ -486,13 +535,30 @@ def gradients(spark, sf_dir):
     return g.select(*XYZ, *[F.round(f"g{c}", 4).alias(f"g{c}") for c in XYZ])
 
 
-@query()
+_AXIS = "(SELECT unnest(range(-10, 11)) AS {0})"
+_ESDF = (
+    f"WITH near AS (SELECT x, y, z, d AS own FROM ({_T}) WHERE x < 16 AND abs(d) < 0.005 AND w > 0), "
+    f"o AS (SELECT a, b, c, list_sort([abs(a), abs(b), abs(c)]) AS s FROM {_AXIS.format('a')}, {_AXIS.format('b')}, {_AXIS.format('c')} WHERE (a & 1) = (b & 1) AND (b & 1) = (c & 1)), "
+    "cost AS (SELECT a, b, c, (sqrt(3.0::DOUBLE) * s[2] + (s[3] - s[2])) * 0.05::DOUBLE AS way FROM o), "
+    "spread AS (SELECT x + a AS x, y + b AS y, z + c AS z, own, way FROM near, cost WHERE way <= 0.4 AND x + a >= 0 AND y + b >= 0 AND z + c >= 0), "
+    "best AS (SELECT x, y, z, min(abs(own) + way) AS m, arg_min(CASE WHEN own < 0 THEN -1 ELSE 1 END, {'m': abs(own) + way, 's': CASE WHEN own < 0 THEN -1 ELSE 1 END}) AS sign, min(own) FILTER (way = 0) AS own FROM spread GROUP BY x, y, z), "
+    "sources AS (SELECT x, y, z FROM best WHERE m <= 0.3 - sqrt(3.0::DOUBLE) * 0.05 OR own IS NOT NULL), "
+    f"domain AS (SELECT x, y, z FROM sources UNION SELECT x + a, y + b, z + c FROM sources, {_NEIGHBORS}) "
+    "SELECT x, y, z, coalesce(own, sign * least(m, 0.3::DOUBLE)) AS distance FROM best SEMI JOIN domain USING (x, y, z)"
+)
+
+
+@query(
+    f"SELECT x, y, z, round(distance, 6) AS distance FROM ({_ESDF})"
+)
 def esdf_layer(spark, sf_dir):
     e = layers.esdf(_tsdf(spark, sf_dir).filter("x < 16"), 0.05, 0.3, 0.005)
     return e.select(*XYZ, r6(F.col("distance"), "distance"))
 
 
-@query()
+@query(
+    f"SELECT count(*)::BIGINT AS total, count_if(distance < 0)::BIGINT AS inside, count_if(distance >= 0)::BIGINT AS outside, round(min(distance), 6) AS least, round(max(distance), 6) AS most FROM ({_ESDF})"
+)
 def esdf_totals(spark, sf_dir):
     s = layers.esdf_stats(layers.esdf(_tsdf(spark, sf_dir).filter("x < 16"), 0.05, 0.3, 0.005))
     return s.select("total", "inside", "outside", r6(F.col("least"), "least"), r6(F.col("most"), "most"))
@@ -506,7 +572,14 @@ def frontier_cells(spark, sf_dir):
     return layers.frontier_voxels(_occupancy(spark, sf_dir))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE k AS (SELECT x, y, z, {_STATE} AS s FROM ({_FOLD})), g AS (SELECT DISTINCT x + a AS x, y + b AS y, z + c AS z FROM k, {_NEIGHBORS} WHERE s = 'Free' AND x + a >= 0 AND y + b >= 0 AND z + c >= 0), "
+    f"f AS (SELECT x, y, z, {_morton()} AS key FROM g ANTI JOIN (SELECT * FROM k WHERE s <> 'Unknown') w USING (x, y, z)), "
+    f"links AS (SELECT p.key AS a, q.key AS b FROM f p, {_NEIGHBORS}, f q WHERE q.x = p.x + n.a AND q.y = p.y + n.b AND q.z = p.z + n.c), "
+    "least_(key, cluster) USING KEY (key) AS (SELECT key, key FROM f UNION SELECT links.b, min(l.cluster) FROM least_ l JOIN links ON l.key = links.a JOIN recurring.least_ r ON r.key = links.b WHERE l.cluster < r.cluster GROUP BY links.b) "
+    "SELECT cluster, count(*)::BIGINT AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, min(x)::DOUBLE AS low_x, min(y)::DOUBLE AS low_y, min(z)::DOUBLE AS low_z, max(x)::DOUBLE AS high_x, max(y)::DOUBLE AS high_y, max(z)::DOUBLE AS high_z "
+    "FROM f JOIN least_ USING (key) GROUP BY cluster HAVING count(*) >= 5"
+)
 def frontier_clusters(spark, sf_dir):
     c = layers.frontiers(_occupancy(spark, sf_dir))
     return c.select("cluster", "n", *[r6(F.col(f"c{a}"), f"c{a}") for a in XYZ], *[F.col(f"{e}_{a}") for e in ("low", "high") for a in XYZ]).orderBy(F.desc("n"), "cluster")
