@@ -30,13 +30,16 @@ WEAK = [
 ]
 GAP = 256
 BIN = 512
+#: Matches whose starts are summed up together.
+BLOCK = 256
 _SPAN = "array<struct<start:bigint,ord:int,end:bigint,kind:string>>"
 
 
 def spans_of(text: F.Column, ord_: int, kind: str, pattern: str, group: int, least: int) -> F.Column:
     """Leftmost non-overlapping matches, in code points; those with a shorter group are dropped, without a retry.
 
-    Starts are running sums over the pieces between matches and the matches.
+    Starts are running sums over the pieces between matches and the matches. An array grows by copying, so that sums run
+    within blocks of ``BLOCK`` matches first, then over blocks.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
@@ -51,7 +54,19 @@ def spans_of(text: F.Column, ord_: int, kind: str, pattern: str, group: int, lea
         more = F.when(F.length(x["g"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct(end.cast("bigint").alias("at"), more.cast(_SPAN).alias("out"))
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(parts, zero, step)["out"]).otherwise(F.array().cast(_SPAN))
+    def blocks(parts):
+        at = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int"))
+        return F.transform(at, lambda b: F.aggregate(F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)), zero, step))
+
+    def moved(done):
+        none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all"))
+        before = F.aggregate(done, none, lambda a, b: F.struct((a["at"] + b["at"]).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))["all"]
+        shift = lambda s, by: F.struct((s["start"] + by).alias("start"), s["ord"].alias("ord"), (s["end"] + by).alias("end"), s["kind"].alias("kind"))
+        return F.flatten(F.transform(F.arrays_zip(done.alias("done"), before.alias("by")), lambda x: F.transform(x["done"]["out"], lambda s: shift(s, x["by"]))))
+
+    # A lambda over an array of one names a value that is used often, and computes it once.
+    whole = F.transform(F.array(parts), lambda v: F.transform(F.array(blocks(v)), moved)[0])[0]
+    return F.when(F.regexp_like(text, F.lit(pattern)), whole).otherwise(F.array().cast(_SPAN))
 
 
 def as_text(spans: F.Column) -> F.Column:
@@ -75,16 +90,18 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     right = right.select("rid", role[F.col("s.kind")].alias("role"), F.col("s.start").alias("lo"), F.col("s.end").alias("hi"))
     right = right.withColumn("bin", bins(F.col("lo"), F.col("hi")))
     needs = F.create_map(*[x for k, _, _, _, _, r in WEAK for x in (F.lit(k), F.array(*map(F.lit, r)))])
-    left = rows.select("rid", F.explode("weak").alias("w"), "strong").filter(~F.exists("strong", lambda s: (s["start"] < F.col("w.end")) & (s["end"] > F.col("w.start"))))
-    left = left.select("rid", "w", F.explode(needs[F.col("w.kind")]).alias("role"))
+    left = rows.select("rid", F.explode("weak").alias("w"))
     left = left.withColumn("bin", bins(F.col("w.start") - GAP, F.col("w.end") + GAP))
-    linked = left.alias("l").join(
+    near = left.alias("l").join(
         right.alias("r"),
-        (F.col("l.rid") == F.col("r.rid")) & (F.col("l.role") == F.col("r.role")) & (F.col("l.bin") == F.col("r.bin"))
+        (F.col("l.rid") == F.col("r.rid")) & (F.col("l.bin") == F.col("r.bin"))
         & (F.col("r.lo") <= F.col("l.w.end") + GAP) & (F.col("r.hi") >= F.col("l.w.start") - GAP),
-        "left_semi",
     )
-    linked = linked.groupBy(F.col("rid").alias("linked_rid")).agg(F.array_sort(F.collect_set("w")).alias("linked"))
+    # A candidate that overlaps a strong span is that span's; others need a complementary role nearby.
+    near = near.groupBy("l.rid", "w").agg(
+        F.bool_or((F.col("lo") < F.col("w.end")) & (F.col("hi") > F.col("w.start"))).alias("known"), F.bool_or(F.array_contains(needs[F.col("w.kind")], F.col("role"))).alias("fits")
+    )
+    linked = near.filter("fits and not known").groupBy(F.col("rid").alias("linked_rid")).agg(F.array_sort(F.collect_list("w")).alias("linked"))
     out = rows.join(linked, F.col("rid") == F.col("linked_rid"), "left")
     return out.select("doc_id", "strong", F.coalesce("linked", F.array().cast(_SPAN)).alias("linked"))
 
