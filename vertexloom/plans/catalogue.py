@@ -102,8 +102,10 @@ def _sorted_deltas(dx: str, dy: str, dz: str) -> tuple[str, str]:
 
 @query(f"SELECT {_INDEX} AS cell, count(*)::BIGINT AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM ({CELLS}) GROUP BY 1")
 def cell_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = tables.cell_keys(spark, sf_dir)
-    return cells.groupBy("cell").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), r6(F.avg("value"), "mean"))
+    """Points and a key at one level stand for each other, so that a key is made once a cell, not once a row."""
+    cells = tables.cells(spark, sf_dir).groupBy(*XYZ).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), r6(F.avg("value"), "mean"))
+    zero = F.lit(0)
+    return cells.select(ids.index64(zero, zero, F.lit(5), *col(*XYZ)).alias("cell"), "n", "total", "mean")
 
 
 @query(f"SELECT id, x, y, z, ((x & 1) = (y & 1) AND (y & 1) = (z & 1)) AS valid, (x & 1)::BIGINT AS parity, 1 - (x & 1)::BIGINT AS opposite, x * 2 AS sx, x::DOUBLE AS fx FROM (SELECT c_custkey AS id, c_custkey % 5 - 2 AS x, c_custkey % 7 - 3 AS y, c_custkey % 9 - 4 AS z FROM customer)")
