@@ -123,6 +123,13 @@ def test_distances_as_a_fold(spark, weights):
     assert abs(r.distance - d) < 1e-9 and r.w == w and r.n == len(rows)
 
 
+def test_morton_order(spark):
+    points = [(a * 7919 % 65536, a * 104729 % 65536, a * 1299709 % 65536) for a in range(300)] + list(itertools.product(range(3), repeat=3))
+    df = spark.createDataFrame([(*p, *points[i * 31 % len(points)]) for i, p in enumerate(points)], "x long, y long, z long, a long, b long, c long")
+    p, q = tuple(F.col(c) for c in "xyz"), tuple(F.col(c) for c in "abc")
+    assert df.filter(lattice.morton_less(p, q) != (ids.morton(*p) < ids.morton(*q))).count() == 0
+
+
 def test_runs_round_trip(spark):
     df = spark.createDataFrame([(0, i, v) for i, v in enumerate([1.0, 1.0, 1.0, 2.0, 2.0, None, None, 3.0])], "k int, i int, v double")
     runs = layers.run_lengths(df, ["k"], "i", "v")

@@ -107,6 +107,16 @@ def path_cost(dx: Column, dy: Column, dz: Column) -> Column:
     return b * (3.0**0.5) + (a - b)
 
 
+def morton_less(p: tuple[Column, Column, Column], q: tuple[Column, Column, Column]) -> Column:
+    """Whether p's Morton code is below q's, without either: the axis with the highest differing bit decides, z before y before x.
+    Coordinates are from 0 on."""
+    x, y, z = (a.bitwiseXOR(b) for a, b in zip(p, q, strict=True))
+    lower = lambda a, b: (a < b) & (a < a.bitwiseXOR(b))  # noqa: E731  # a's highest bit is below b's
+    by_y = lower(z, y)
+    by_x = lower(F.when(by_y, y).otherwise(z), x)
+    return F.when(by_x, p[0] < q[0]).when(by_y, p[1] < q[1]).otherwise(p[2] < q[2])
+
+
 def manhattan(dx: Column, dy: Column, dz: Column) -> Column:
     return F.abs(dx) + F.abs(dy) + F.abs(dz)
 

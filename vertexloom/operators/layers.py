@@ -207,10 +207,8 @@ def surface(layer: DataFrame, threshold: float) -> DataFrame:
 
 def zero_crossings(layer: DataFrame) -> DataFrame:
     """Edges between neighbours of opposite sign, once each (lower Morton code first): x .. z, nx .. nz, distance, n_value, t."""
-    from ..functions.ids import morton
-
     pairs = with_neighbor_values(layer.filter("w > 0").select(*XYZ, "distance"), "distance").filter("distance * n_value < 0")
-    pairs = pairs.filter(morton(*[F.col(c) for c in XYZ]) < morton(F.col("nx"), F.col("ny"), F.col("nz")))
+    pairs = pairs.filter(lattice.morton_less(tuple(F.col(c) for c in XYZ), tuple(F.col(f"n{c}") for c in XYZ)))
     change = F.col("n_value") - F.col("distance")
     t = F.when(F.abs(change) > 1e-6, -F.col("distance") / change).otherwise(0.5)
     return pairs.withColumn("t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
