@@ -363,26 +363,51 @@ def test_pages(spark):
     assert htmlmain.extract_main(pages.limit(0)).count() == 0
 
 
-def brute_repeats(rows, length):
-    seen = Counter()
-    for _, t in rows:
+def brute_repeats(rows, length, passage=240, words=50):
+    seen, where = Counter(), defaultdict(set)
+    for k, (_, t) in enumerate(rows):
         b = (t or "").encode()
         seen.update(b[i : i + length] for i in range(len(b) - length + 1))
+        for i in range(len(b) - passage + 1):
+            where[b[i : i + passage]].add(k)
     for d, t in rows:
         b = (t or "").encode()
-        gone = np.zeros(len(b) + 1, dtype=bool)
+        gone, shared = np.zeros(len(b) + 1, dtype=bool), np.zeros(len(b) + 1, dtype=bool)
         for i in range(len(b) - length + 1):
             if seen[b[i : i + length]] > 1:
                 gone[i : i + length] = True
+        for i in range(len(b) - passage + 1):
+            if len(where[b[i : i + passage]]) > 1:
+                shared[i : i + passage] = True
         spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
-        yield d, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=False) if not g)).hexdigest()
+        parts = bytes(x if s else 0 for x, s in zip(b, shared, strict=False)).split(b"\0")
+        n = sum(k for p in parts if (k := len(p.split())) > words)
+        yield d, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=False) if not g)).hexdigest(), n
 
 
-@pytest.mark.parametrize("kw", [{}, {"bucket_bytes": 2000}, {"split": 2}])
-def test_repeats(docs, empty, kw):
-    found = keyed(runindex.mark_repeats(docs, **kw).collect(), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert found == Counter(brute_repeats([(r.doc_id, r.text) for r in docs.collect()], 400))
-    assert runindex.mark_repeats(empty).count() == 0
+REPEAT_COLUMNS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_words")
+
+
+@pytest.fixture(scope="module")
+def passages(docs):
+    """docs, and passages of 55 words in texts of their own, passages twice in one text, a text longer than many pieces, and runs."""
+    own, spare = [prose(70, 1000 + i) for i in range(12)], prose(56, 2000)
+    more = [(500 + i, f"{t} {spare}" if i < 4 else f"{t} {prose(55, 3000 + i // 2)} {own[(i + 1) % 12][:200]}") for i, t in enumerate(own)]
+    more += [(600, f"{spare[:100]} {prose(90, 7)} {prose(30, 8)} {prose(90, 7)}"), (601, "ab " * 3000), (602, "ab " * 200 + prose(100, 9)), (603, "é" * 700 + prose(60, 10)), (604, "é" * 500)]
+    return docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(more, "doc_id long, text string")).cache()
+
+
+@pytest.mark.parametrize("kw", [{}, {"bucket_bytes": 2000}, {"bucket_bytes": 2000, "most_bytes": 1500}, {"piece": 450}, {"piece": 450, "most_bytes": 900}])
+def test_repeats(passages, empty, kw):
+    found = keyed(runindex.mark_repeats(passages, **kw).collect(), *REPEAT_COLUMNS)
+    expected = list(brute_repeats([(r.doc_id, r.text) for r in passages.collect()], 400))
+    assert found == Counter(expected) and any(r[5] and not r[2] for r in expected)
+    assert runindex.mark_repeats(empty, **kw).count() == 0
+
+
+def test_tied_places_are_one_row():
+    which, first, last, grams, wide = runindex.anchors([b"ab" * 200_000, b"x" * 399, b"x" * 100])
+    assert len(first) < 20 and set(which.tolist()) == {0, 1} and last[which == 0].max() == 400_000 - 64
 
 
 def test_run_index():
@@ -392,14 +417,20 @@ def test_run_index():
         data += data[: r.randint(0, len(data))]
         found = runindex.RunIndex(np.frombuffer(data, dtype=np.uint8))
         assert int(found.lengths.sum()) == len(data)
+        same = [[next((k for k in range(len(data)) if max(i, j) + k >= len(data) or data[i + k] != data[j + k]), 0) for j in range(len(data))] for i in range(len(data))]
         for i, m in enumerate(found.matching_statistics()):
-            best = 0
-            for j in range(len(data)):
-                k = 0
-                while i != j and max(i, j) + k < len(data) and data[i + k] == data[j + k]:
-                    k += 1
-                best = max(best, k)
-            assert m == best
+            assert m == max(same[i][j] for j in range(len(data)) if j != i)
+        # A region's own end byte tells where it ends; the places behind one are sampled.
+        parts = [bytes(r.choice(b"ab") for _ in range(r.randint(1, 30))) for _ in range(r.randint(2, 9))]
+        data = b"\xff".join(parts) + b"\xff"
+        owner = np.repeat([r.randrange(3) for _ in parts], [len(p) + 1 for p in parts])
+        found = runindex.RunIndex(np.frombuffer(data, dtype=np.uint8)).matching_statistics(owner)
+        begin = 0
+        for p in parts:
+            for i in range(begin, begin + len(p)):
+                longest = lambda j: next(k for k in range(len(data) + 1) if max(i, j) + k >= len(data) or data[i + k] != data[j + k])
+                assert found[i] == max((longest(j) for j in range(len(data)) if owner[j] != owner[i]), default=0)
+            begin += len(p) + 1
 
 
 def test_kernel():

@@ -202,21 +202,43 @@ SELECT doc_id, n_bytes, m.n::BIGINT AS payload_bytes, sha256(unhex(payload)) AS
 FROM m JOIN f USING (rid), crcs
 """
 
-OP10_SQL = r"""
+
+
+def _starts(width: int) -> str:
+    """Each place of a string of so many bytes, with its digest."""
+    return f"""SELECT rid, first + pos AS pos, md5_number(substr(piece, 2 * pos + 1, {2 * width})) AS gram
+  FROM (SELECT rid, first, piece, unnest(range(length(piece) // 2 - {width - 1})) AS pos FROM (
+    SELECT rid, first, substr(bytes, 2 * first + 1, {2 * (511 + width)}) AS piece FROM (SELECT rid, bytes, unnest(range(0, length(bytes) // 2 - {width - 1}, 512)) AS first FROM d)))"""
+
+
+def _runs(of: str, twice: str, width: int) -> str:
+    """Bytes that these strings cover, as [first, last)."""
+    return f"""SELECT rid, min(pos) AS first, max(pos) + {width} AS last
+  FROM (SELECT rid, pos, sum(opens::INT) OVER (PARTITION BY rid ORDER BY pos) AS run
+    FROM (SELECT rid, pos, pos > lag(pos, 1, -{width + 1}) OVER (PARTITION BY rid ORDER BY pos) + {width} AS opens FROM {of} SEMI JOIN {twice} USING (gram)))
+  GROUP BY rid, run"""
+
+
+_SPACES = "('20', '09', '0A', '0B', '0C', '0D')"
+
+OP10_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS bytes FROM documents),
-pieces AS (SELECT rid, first, substr(bytes, 2 * first + 1, 2 * 911) AS piece FROM (SELECT rid, bytes, unnest(range(0, length(bytes) // 2 - 399, 512)) AS first FROM d)),
-starts AS (SELECT rid, first + pos AS pos, md5_number(substr(piece, 2 * pos + 1, 800)) AS gram
-  FROM (SELECT rid, first, piece, unnest(range(length(piece) // 2 - 399)) AS pos FROM pieces)),
+starts AS ({_starts(400)}),
 twice AS (SELECT gram FROM starts GROUP BY gram HAVING count(*) > 1),
-marked AS (SELECT rid, pos, pos > lag(pos, 1, -401) OVER (PARTITION BY rid ORDER BY pos) + 400 AS opens FROM starts SEMI JOIN twice USING (gram)),
-runs AS (SELECT rid, min(pos) AS first, max(pos) + 400 AS last
-  FROM (SELECT rid, pos, sum(opens::INT) OVER (PARTITION BY rid ORDER BY pos) AS run FROM marked) GROUP BY rid, run),
+runs AS ({_runs("starts", "twice", 400)}),
 edges AS (SELECT rid, first, last, lag(last, 1, 0) OVER (PARTITION BY rid ORDER BY first) AS before FROM runs),
 cut AS (
   SELECT rid, sum(last - first)::BIGINT AS n_removed, count(*) AS n_spans, max(last) AS tail,
          string_agg(substr(bytes, 2 * before + 1, 2 * (first - before)), '' ORDER BY first) AS kept
-  FROM edges JOIN d USING (rid) GROUP BY rid)
+  FROM edges JOIN d USING (rid) GROUP BY rid),
+shorter AS ({_starts(240)}),
+elsewhere AS (SELECT gram FROM shorter GROUP BY gram HAVING min(rid) < max(rid)),
+shared AS ({_runs("shorter", "elsewhere", 240)}),
+worded AS (SELECT rid, len(list_filter(range(1, len(l) + 1), lambda k: l[k] NOT IN {_SPACES} AND (k = 1 OR l[k - 1] IN {_SPACES}))) AS words
+  FROM (SELECT rid, regexp_extract_all(substr(bytes, 2 * first + 1, 2 * (last - first)), '..') AS l FROM shared JOIN d USING (rid))),
+passages AS (SELECT rid, sum(words)::BIGINT AS passage_words FROM worded WHERE words > 50 GROUP BY rid)
 SELECT doc_id, (length(bytes) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(CASE WHEN n_spans IS NULL THEN bytes ELSE kept || substr(bytes, 2 * tail + 1) END)) AS kept_sha256
-FROM d LEFT JOIN cut USING (rid)
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN bytes ELSE kept || substr(bytes, 2 * tail + 1) END)) AS kept_sha256,
+       coalesce(passage_words, 0) AS passage_words
+FROM d LEFT JOIN cut USING (rid) LEFT JOIN passages USING (rid)
 """

@@ -1,18 +1,21 @@
 """Suffix-array dedup with a run-length index: bytes that a repeated string of ``LENGTH`` bytes covers.
 
 A window of LENGTH bytes keeps the place of the least hash of its ``GRAM``-byte grams (all places, if equal ones tie),
-so that equal windows keep equal grams at equal places. Grams kept at two places or more mark the regions that can
-repeat; a region is all bytes of the windows that keep the gram. Regions are dealt into buckets by gram, or by the
-least of the texts that have it, which any text with the gram agrees on, and regions of one text that overlap in a bucket are merged, so that a bucket holds each place of the corpus once, and all windows
-equal to one of its own. Equal regions are indexed once, with their count.
+so that equal windows keep equal grams at equal places; so does each window of ``PASSAGE`` bytes. Stretches of tied places
+are one row. Grams kept at two places or more mark the regions that can repeat; a region is all bytes of the windows
+that keep the gram. Regions are dealt into buckets by gram, or by the least of the texts that have it, which any text
+with the gram agrees on, and regions of one text that overlap in a bucket are merged, so that a bucket holds each place of
+the corpus once, and all windows equal to one of its own. Equal regions are indexed once.
 
 In a bucket the regions' text is suffix-sorted; its Burrows-Wheeler transform is kept as runs with the sampled
 suffixes at run ends. Longest matches with the neighbouring suffixes are computed at run ends only. Between these,
 the match of the next position is one byte shorter, so that streaming the text through the samples gives the matching
-statistics of every position against the rest of the bucket. Windows whose match is LENGTH or longer repeat.
+statistics of every position against the rest of the bucket. Windows whose match is LENGTH or longer repeat; those whose
+match with another text is PASSAGE or longer are shared, and a run of them with more than ``WORDS`` words is a passage.
 
-A gram in more than ``SPLIT`` different texts is dealt out over several buckets by text; there, windows also meet by
-their hash across the buckets of that gram, so that no task holds such a group.
+Equal texts are one text in the index, and repeat whole. A text is cut into pieces by where its windows start, ``PIECE``
+starts each. A bucket of more than ``MOST_BYTES`` is dealt out by region; there, windows also meet by their hash across its
+parts, so that no task holds such a group.
 
 Null text is empty. Texts shorter than LENGTH have nothing to remove. Rows are kept one for one; rows equal in id and
 text are texts of their own, as any other copies are.
@@ -29,16 +32,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own_names, python_rows, shipped, stored, table
+from .common import own_names, python_rows, shipped, small, stored, table
 from .textkernel import _TABLE, _power_tables, as_bytes, chunks, mix
 
 LENGTH, GRAM = 400, 64
-#: Bytes of regions in a bucket, about, and different texts of one gram that stay together.
-BUCKET_BYTES, SPLIT = 2_000_000, 5_000
+#: A passage: more than so many words, all in strings of so many bytes that other texts have too.
+WORDS, PASSAGE = 50, 240
+#: Starts of windows in a piece of a text; bytes of regions in a bucket, about; and at most, but for one region.
+PIECE, BUCKET_BYTES, MOST_BYTES = 1 << 20, 1_500_000, 3_000_000
 #: A gram in at most so many texts goes to a bucket by the least of them.
 FEW = 64
-#: Positions that a broadcast of candidate places may have.
-BROADCAST_PLACES = 2_000_000
+#: Bytes that the spans of all texts may have in a broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -64,38 +69,57 @@ def rolling(data: np.ndarray, k: int) -> np.ndarray:
         return mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, place and hash of the grams that windows keep."""
-    texts = [t if len(t) >= length else b"" for t in texts]
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    ends = np.cumsum([len(t) for t in texts])
-    if len(data) < length:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none.astype(np.uint64)
-    hashes = rolling(data, gram)
-    w = length - gram + 1
+def _least_kept(hashes: np.ndarray, w: int, length: int, ends: np.ndarray) -> np.ndarray:
+    """Which grams the windows of w grams (length bytes) keep; windows across two texts keep nothing."""
+    if len(hashes) < w:
+        return np.zeros(len(hashes), dtype=bool)
     least = _sliding(hashes, w, np.minimum)
-    # Windows across two texts keep nothing.
     for e in ends[:-1]:
-        if 0 < e < len(data):
+        if 0 < e:
             least[max(0, e - length + 1) : e] = 0
     padded = np.concatenate([np.zeros(w - 1, dtype=np.uint64), least, np.zeros(w - 1, dtype=np.uint64)])
-    places = np.flatnonzero(_sliding(padded, w, np.maximum) == hashes)
-    which = np.searchsorted(ends, places, side="right")
-    return which, places - (ends - [len(t) for t in texts])[which], hashes[places]
+    return _sliding(padded, w, np.maximum) == hashes
+
+
+def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE) -> tuple[np.ndarray, ...]:
+    """Text, first and last place, hash, and whether a window of length bytes keeps it, of the grams that windows keep.
+
+    Places with the same gram one after another are one row, as long as their windows meet.
+    """
+    texts = [t if len(t) >= passage else b"" for t in texts]
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    ends = np.cumsum(sizes)
+    if len(data) < passage:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none.astype(np.uint64), none.astype(bool)
+    hashes = rolling(data, gram)
+    wide = _least_kept(hashes, length - gram + 1, length, ends)
+    places = np.flatnonzero(wide | _least_kept(hashes, passage - gram + 1, passage, ends))
+    which, kept, wide = np.searchsorted(ends, places, side="right"), hashes[places], wide[places]
+    opens = np.ones(len(places), dtype=bool)
+    opens[1:] = (which[1:] != which[:-1]) | (kept[1:] != kept[:-1]) | (wide[1:] != wide[:-1]) | (np.diff(places) > passage)
+    firsts = np.flatnonzero(opens)
+    lasts = np.concatenate([firsts[1:] - 1, [len(places) - 1]]) if len(firsts) else firsts
+    which = which[firsts]
+    begin = (ends - sizes)[which]
+    return which, places[firsts] - begin, places[lasts] - begin, kept[firsts], wide[firsts]
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = as_bytes(batch.column(2))
+        texts = as_bytes(batch.column(3))
         for at, part in chunks(texts):
-            which, places, hashes = anchors(part)
+            which, first, last, hashes, wide = anchors(part)
             rows = pa.array(which + at)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(places), pa.array(hashes.view(np.int64))], ["doc_id", "th", "place", "gram"])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i).take(rows) for i in range(3)], pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(hashes.view(np.int64)), pa.array(wide)],
+                ["doc_id", "th", "piece", "place", "upto", "gram", "wide"],
+            )
 
 
-def _regions(length: int, gram: int):
-    """Merged regions of each text and bucket: with their bytes once in a batch, and where they are."""
+def _regions(length: int, gram: int, passage: int):
+    """Merged regions of each piece and bucket: with their bytes once in a batch, and where they are."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,30 +127,29 @@ def _regions(length: int, gram: int):
             out: list[tuple] = []
             size = 0
             for i, text in enumerate(as_bytes(batch.column(2))):
-                for (bucket, family), first, end in _merged(batch.column(3)[i].as_py(), len(text), length, gram):
+                for bucket, first, end in _merged(batch.column(3)[i].values, len(text), length, gram, passage):
                     content = text[first:end]
                     key = xxhash.xxh3_64_intdigest(content) - 2**63
                     new = (bucket, key) not in seen
                     seen.add((bucket, key))
-                    out.append((i, bucket, key, first, family, content if new else None))
+                    out.append((i, bucket, key, first, end - first, content if new else None))
                     size += len(content) if new else 0
-                if size > 32 << 20:
-                    yield _region_batch(batch, out)
-                    out, size = [], 0
+                    if size > 32 << 20:
+                        yield _region_batch(batch, out)
+                        out, size = [], 0
             yield _region_batch(batch, out)
 
     return rows
 
 
-def _merged(places: list[dict], n: int, length: int, gram: int) -> Iterator[tuple[tuple[int, int], int, int]]:
-    reach = length - gram
-    last: dict[tuple[int, int], list[int]] = {}
-    for p in sorted(places, key=lambda p: p["place"]):
-        first, end = max(0, p["place"] - reach), min(n, p["place"] + length)
-        bucket = p["bucket"], p["family"]
+def _merged(places: pa.StructArray, n: int, length: int, gram: int, passage: int) -> Iterator[tuple[int, int, int]]:
+    last: dict[int, list[int]] = {}
+    columns = [places.field(name).to_pylist() for name in ("place", "upto", "wide", "bucket")]
+    for place, upto, wide, bucket in sorted((p - (length if w else passage), u + (length if w else passage), w, b) for p, u, w, b in zip(*columns, strict=True)):
+        first, end = max(0, place + gram), min(n, upto)
         held = last.get(bucket)
         if held and first <= held[1]:
-            held[1] = end
+            held[1] = max(end, held[1])
         else:
             if held:
                 yield bucket, held[0], held[1]
@@ -137,11 +160,11 @@ def _merged(places: list[dict], n: int, length: int, gram: int) -> Iterator[tupl
 
 def _region_batch(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
     rows = pa.array([r[0] for r in out], pa.int64())
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays(
-        [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()),
-         pa.array([r[3] for r in out], pa.int64()), pa.array([r[4] for r in out], pa.int64()), pa.array([r[5] for r in out], pa.binary())],
-        ["doc_id", "th", "bucket", "region", "first", "family", "content"],
-    )
+        [batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array([r[j + 1] for r in out], k) for j, k in enumerate(kinds)]],
+        ["th", "piece", "bucket", "region", "first", "size", "content"],
+    )
 
 
 def suffix_ranks(data: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -184,6 +207,7 @@ class RunIndex:
         self.data = data
         order, self._levels = suffix_ranks(data)
         before = np.where(order > 0, data[order - 1].astype(np.int16), -1)
+        self.order, self.before = order, before
         heads = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
         tails = np.concatenate([heads[1:] - 1, [self.n - 1]])
         self.symbols, self.lengths = before[heads], tails - heads + 1
@@ -206,11 +230,27 @@ class RunIndex:
             a, b, out = a + same, b + same, out + same
         return out
 
-    def matching_statistics(self) -> np.ndarray:
-        """For each place the longest match of its suffix with another place's."""
+    def _samples(self, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places with the nearest suffix of another owner above, then below, where the transform isn't one run up to there.
+
+        Within a run the places before have the same neighbours; those behind an end of a region have none before.
+        """
+        index, of = np.arange(self.n), owner[self.order]
+        starts = self.before == 255
+        new = np.concatenate([[True], of[1:] != of[:-1]])
+        run = np.concatenate([[True], self.before[1:] != self.before[:-1]])
+        first, run_first = (np.maximum.accumulate(np.where(x, index, 0)) for x in (new, run))
+        at = np.flatnonzero((first > 0) & ((run_first >= first) | starts | (self.order == 0)))
+        yield self.order[at], self.order[first[at] - 1]
+        last, run_last = (np.minimum.accumulate(np.where(np.concatenate([x[1:], [True]]), index, self.n)[::-1])[::-1] for x in (new, run))
+        at = np.flatnonzero((last < self.n - 1) & ((run_last <= last) | starts | (self.order == 0)))
+        yield self.order[at], self.order[last[at] + 1]
+
+    def matching_statistics(self, owner: np.ndarray | None = None) -> np.ndarray:
+        """For each place the longest match of its suffix with another place's, or with a place of another owner's."""
         out = np.zeros(self.n, dtype=np.int64)
         places = np.arange(self.n)
-        for at, other in ((self.heads, self.above), (self.tails, self.below)):
+        for at, other in ((self.heads, self.above), (self.tails, self.below)) if owner is None else self._samples(owner):
             real = at != other
             found = np.zeros(len(at), dtype=np.int64)
             found[real] = self.extension(at[real], other[real])
@@ -221,14 +261,23 @@ class RunIndex:
         return out
 
 
-def repeated_windows(regions: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
-    """For each region the places of windows that are anywhere else too: in the region, in another, or in its copies."""
+def repeated_windows(regions: list[bytes], owners: list[int], again: list[bool], length: int, passage: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each region the places of windows of length bytes that are anywhere else too, and of those of passage bytes that another
+    owner has. owners: the text a region is of, -1 for one of several texts; again: whether a region is at two places or more."""
     data = np.frombuffer(b"\xff".join(regions) + b"\xff", dtype=np.uint8)
-    statistics = RunIndex(data).matching_statistics() if len(regions) > 1 or len(data) > length + 1 else np.zeros(len(data), dtype=np.int64)
+    sizes = np.array([len(r) + 1 for r in regions])
+    if len(regions) > 1 or len(data) > length + 1:
+        index = RunIndex(data)
+        anywhere = index.matching_statistics()
+        # A region of several texts is an owner of its own.
+        of = np.where(np.array(owners) < 0, -1 - np.arange(len(regions)), np.array(owners))
+        elsewhere = index.matching_statistics(np.repeat(of, sizes))
+    else:
+        anywhere = elsewhere = np.zeros(len(data), dtype=np.int64)
     out, at = [], 0
-    for r, c in zip(regions, counts, strict=True):
-        n = max(0, len(r) - length + 1)
-        out.append(np.arange(n) if c > 1 else np.flatnonzero(statistics[at : at + n] >= length))
+    for r, owner, twice in zip(regions, owners, again, strict=True):
+        n, m = max(0, len(r) - length + 1), max(0, len(r) - passage + 1)
+        out.append((np.arange(n) if twice else np.flatnonzero(anywhere[at : at + n] >= length), np.arange(m) if owner < 0 else np.flatnonzero(elsewhere[at : at + m] >= passage)))
         at += len(r) + 1
     return out
 
@@ -242,87 +291,141 @@ def _runs(windows: np.ndarray, length: int) -> list[list[int]]:
     return [[int(a), int(b) + length] for a, b in zip(firsts, lasts, strict=True)]
 
 
-def _index(length: int):
+_INDEXED = "bucket long, region long, part long, owner binary, removed array<array<bigint>>, shared array<array<bigint>>, hashes array<bigint>, passages array<bigint>"
+
+
+def _index(length: int, passage: int, across: bool):
     def rows(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("region")
         regions = [bytes(c) for c in pdf["content"]]
-        found = repeated_windows(regions, pdf["copies"].tolist(), length)
-        spans, hashes, alone = [], [], []
-        for r, f, family in zip(regions, found, pdf["family"], strict=True):
-            spans.append(_runs(f, length))
-            # Across the buckets of a gram that is dealt out: each window's hash, and which don't repeat here.
-            n = max(0, len(r) - length + 1) if family else 0
-            hashes.append(rolling(np.frombuffer(r, dtype=np.uint8), length).view(np.int64) if n else np.zeros(0, dtype=np.int64))
-            alone.append(~np.isin(np.arange(n), f))
-        return pd.DataFrame({"bucket": pdf["bucket"].to_numpy(), "region": pdf["region"].to_numpy(), "family": pdf["family"].to_numpy(), "spans": spans, "hashes": hashes, "alone": alone})
+        numbers: dict[bytes, int] = {}
+        owners = [-1 if several else numbers.setdefault(bytes(o), len(numbers)) for o, several in zip(pdf["owner"], pdf["several"], strict=True)]
+        found = repeated_windows(regions, owners, pdf["again"].tolist(), length, passage)
+        # Across the parts of a bucket that is dealt out: each window's hash.
+        hashed = lambda r, w: rolling(np.frombuffer(r, dtype=np.uint8), w).view(np.int64) if across and len(r) >= w else np.zeros(0, dtype=np.int64)
+        return pd.DataFrame({
+            "bucket": pdf["bucket"].to_numpy(), "region": pdf["region"].to_numpy(), "part": pdf["part"].to_numpy(), "owner": pdf["owner"].to_numpy(),
+            "removed": [_runs(a, length) for a, _ in found], "shared": [_runs(b, passage) for _, b in found],
+            "hashes": [hashed(r, length) for r in regions], "passages": [hashed(r, passage) for r in regions],
+        })
 
     return rows
 
 
+def _union(spans: list | None) -> list[list[int]]:
+    runs: list[list[int]] = []
+    for a, b in sorted(map(tuple, spans or ())):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(b, runs[-1][1])
+        else:
+            runs.append([a, b])
+    return runs
+
+
+_SPANS = pa.list_(pa.list_(pa.int64()))
+
+
+def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        removed, shared = (pa.array([_union(x) for x in batch.column(i).to_pylist()], _SPANS) for i in (1, 2))
+        yield pa.RecordBatch.from_arrays([batch.column(0), removed, shared], ["t", "removed", "shared"])
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, spans in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            runs: list[list[int]] = []
-            for a, b in sorted(map(tuple, spans or ())):
-                if runs and a <= runs[-1][1]:
-                    runs[-1][1] = max(b, runs[-1][1])
-                else:
-                    runs.append([a, b])
+        for text, runs, shared in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            runs = runs or []
             digest, at = hashlib.sha256(), 0
             for a, b in runs:
                 digest.update(text[at:a])
                 at = b
             digest.update(text[at:])
-            out.append((len(text), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), runs))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
-
-
-def mark_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, split: int = SPLIT) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed ([first, end] in bytes)."""
+            words = [len(text[a:b].split()) for a, b in shared or ()]
+            out.append((len(text), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), sum(w for w in words if w > WORDS), runs))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), _SPANS]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *[pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_words", "removed"]
+        )
+
+
+def _across(found: DataFrame) -> DataFrame:
+    """Windows of buckets that are dealt out which another part of the bucket has, as (bucket, region, removed, shared)."""
+    out = None
+    for column, width, to in (("hashes", LENGTH, "removed"), ("passages", PASSAGE, "shared")):
+        windows = found.select("bucket", "region", "part", "owner", F.posexplode(column).alias("pos", "h"))
+        apart = F.min("part") < F.max("part") if to == "removed" else F.min("owner") < F.max("owner")
+        twice = windows.groupBy(F.col("bucket").alias("b"), F.col("h").alias("of")).agg(apart.alias("apart")).filter("apart")
+        hit = windows.join(twice, (F.col("bucket") == F.col("b")) & (F.col("h") == F.col("of")))
+        span = F.array(F.array(F.col("pos").cast("long"), F.col("pos").cast("long") + width))
+        none = F.array().cast("array<array<bigint>>")
+        hit = hit.select("bucket", "region", (span if to == "removed" else none).alias("removed"), (span if to == "shared" else none).alias("shared"))
+        out = hit if out is None else out.unionByName(hit)
+    return out.groupBy("bucket", "region").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("removed", "shared")])
+
+
+def mark_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, most_bytes: int = MOST_BYTES, piece: int = PIECE) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, passage_words (words in passages) and
+    removed ([first, end] in bytes)."""
     shipped(docs.sparkSession)
     docs = own_names(docs, ["doc_id", "text"]).withColumn("text", F.coalesce("text", F.lit("")))
-    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    kept = stored(python_rows(docs.filter(F.octet_length("text") >= LENGTH), _anchor_rows, "doc_id long, th long, place long, gram long"), "anchors")
-    twice = kept.groupBy("gram", "th").count().groupBy("gram").agg(F.sum("count").alias("n"), F.count("*").alias("texts"), F.min("th").alias("least"))
+    docs = docs.select("doc_id", F.unhex(F.md5("text")).alias("th"), "text")
+    long = docs.filter(F.octet_length("text") >= PASSAGE)
+    cuts = F.sequence(F.lit(0), F.floor((F.octet_length("text") - PASSAGE) / piece).cast("int"))
+    pieces = long.select("doc_id", "th", F.encode("text", "UTF-8").alias("whole"), F.explode(cuts).alias("piece"))
+    pieces = pieces.select("doc_id", "th", "piece", F.expr(f"substring(whole, piece * {piece} + 1, {piece + LENGTH - 1})").alias("text"))
+    kept = stored(python_rows(pieces, _anchor_rows, "doc_id long, th binary, piece int, place int, upto int, gram long, wide boolean"), "anchors")
+    # Rows of equal texts are the same here, so that their grams count once.
+    of_gram = kept.groupBy("gram", "th", "piece").agg(F.min("place").alias("first"), F.max("upto").alias("last"))
+    twice = of_gram.groupBy("gram").agg(F.sum(F.when(F.col("last") > F.col("first"), 2).otherwise(1)).alias("n"), F.count("*").alias("texts"), F.min("th").alias("least"))
     # Grams of the same few texts share a bucket, where the regions of a text meet and are one.
-    near = F.when(F.col("texts") <= FEW, F.col("least")).otherwise(F.col("gram"))
+    near = F.when(F.col("texts") <= FEW, F.xxhash64("least")).otherwise(F.xxhash64("gram"))
     twice = stored(twice.filter("n > 1").select(F.col("gram").alias("g"), "texts", near.alias("near")), "twice")
     buckets = max(1, (twice.agg(F.sum("texts")).first()[0] or 0) * (2 * LENGTH - GRAM) // bucket_bytes)
-    places = stored(kept.join(twice, F.col("gram") == F.col("g")).drop("g"), "places")
-    # Grams in many texts get buckets of their own, by text; their family is the gram.
-    far = F.col("texts") > split
-    spread = F.floor(F.col("texts") / split).cast("long") + 1
-    family = F.when(far, F.xxhash64("gram").bitwiseOR(F.lit(1))).otherwise(0)
-    bucket = F.when(far, F.xxhash64("gram", F.pmod(F.col("th"), spread)).bitwiseOR(F.lit(-(2**63)))).otherwise(F.pmod(F.xxhash64("near"), F.lit(buckets)))
-    of_text = places.groupBy("doc_id", "th").agg(F.collect_set(F.struct(bucket.alias("bucket"), family.alias("family"), "place")).alias("places"))
-    of_text = of_text.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "places")
-    on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
-    texts = docs.join(of_text, on).select("doc_id", "th", "text", "places")
-    regions = stored(python_rows(texts, _regions(LENGTH, GRAM), "doc_id long, th long, bucket long, region long, first long, family long, content binary"), "regions")
-    unique = regions.groupBy("bucket", "region").agg(F.first("content", ignorenulls=True).alias("content"), F.count("*").alias("copies"), F.first("family").alias("family"))
-    found = unique.groupBy("bucket").applyInPandas(
-        _index(LENGTH), "bucket long, region long, family long, spans array<array<bigint>>, hashes array<bigint>, alone array<boolean>"
+    places = kept.join(twice, F.col("gram") == F.col("g"))
+    bucket = F.when(F.col("texts") <= FEW, F.pmod("near", F.lit(buckets))).otherwise(F.col("near").bitwiseOR(F.lit(-(2**63))))
+    of_piece = places.groupBy("th", "piece").agg(F.min("doc_id").alias("rep"), F.collect_set(F.struct(bucket.alias("bucket"), "place", "upto", "wide")).alias("places"))
+    of_piece = of_piece.select(F.col("th").alias("t"), F.col("piece").alias("p"), "rep", "places")
+    texts = pieces.join(of_piece, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("t")) & (F.col("piece") == F.col("p")))
+    schema = "th binary, piece int, bucket long, region long, first long, size long, content binary"
+    regions = stored(python_rows(texts.select("th", "piece", "text", "places"), _regions(LENGTH, GRAM, PASSAGE), schema), "regions")
+
+    sizes = regions.groupBy("bucket", "region").agg(F.max("size").alias("size")).groupBy("bucket").agg(F.sum("size").alias("size"))
+    large = stored(sizes.filter(F.col("size") > most_bytes).select(F.col("bucket").alias("b"), F.ceil(F.col("size") / most_bytes).alias("parts")), "large")
+    n_large = large.count()
+    place = F.struct("th", "piece", "first")
+    unique = regions.groupBy("bucket", "region").agg(
+        F.first("content", ignorenulls=True).alias("content"), F.min("th").alias("owner"), (F.min("th") < F.max("th")).alias("several"), (F.min(place) < F.max(place)).alias("again")
     )
-    found = stored(found, "repeats")
-
-    windows = found.filter("family <> 0").select("bucket", "region", "family", F.posexplode(F.arrays_zip("hashes", "alone"))).select("*", "col.*")
-    # A window that is alone in its bucket repeats if another bucket of the gram has it.
-    twice = windows.groupBy("family", "hashes").agg(F.count_distinct("bucket").alias("k")).filter("k > 1").select(F.col("family").alias("f"), F.col("hashes").alias("h"))
-    across = windows.filter("alone").join(twice, (F.col("family") == F.col("f")) & (F.col("hashes") == F.col("h")))
-    across = across.select("bucket", "region", F.array(F.col("pos").cast("long"), F.col("pos").cast("long") + LENGTH).alias("span"))
-    spans = found.select("bucket", "region", F.explode("spans").alias("span")).unionByName(across)
-    spans = spans.groupBy(F.col("bucket").alias("b"), F.col("region").alias("r")).agg(F.collect_list("span").alias("spans"))
-    where = regions.select("doc_id", "th", "bucket", "region", "first").join(spans, (F.col("bucket") == F.col("b")) & (F.col("region") == F.col("r")))
-    where = where.select("doc_id", "th", F.transform("spans", lambda s: F.array(s[0] + F.col("first"), s[1] + F.col("first"))).alias("spans"))
-    where = where.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    where = stored(where, "spans")
-    n_spans = where.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
-    texts = docs.join(F.broadcast(where) if n_spans <= BROADCAST_PLACES else where, on, "left").select("doc_id", "text", "spans")
-    return python_rows(texts, _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<bigint>>")
+    # A region of several texts is an owner of its own, told by its hash.
+    own = F.encode(F.concat(F.lit("region "), F.col("region").cast("string")), "UTF-8")
+    unique = unique.withColumn("owner", F.when(F.col("several"), own).otherwise(F.col("owner")))
+    whole = unique.join(F.broadcast(large.select("b")) if n_large <= 100_000 else large.select("b"), F.col("bucket") == F.col("b"), "left_anti") if n_large else unique
+    found = stored(whole.withColumn("part", F.lit(0).cast("long")).groupBy("bucket").applyInPandas(_index(LENGTH, PASSAGE, False), _INDEXED).drop("hashes", "passages"), "repeats")
+    found = found.select("bucket", "region", "removed", "shared")
+    if n_large:
+        dealt = unique.join(small(large, n_large), F.col("bucket") == F.col("b")).withColumn("part", F.pmod(F.xxhash64("region"), F.col("parts")))
+        dealt = dealt.groupBy("bucket", "part").applyInPandas(_index(LENGTH, PASSAGE, True), _INDEXED)
+        dealt = stored(dealt, "dealt")
+        found = found.unionByName(dealt.select("bucket", "region", "removed", "shared")).unionByName(_across(dealt))
+    found = found.filter((F.size("removed") > 0) | (F.size("shared") > 0)).select(F.col("bucket").alias("b"), F.col("region").alias("r"), "removed", "shared")
+
+    where = regions.select("th", "piece", "bucket", "region", "first").join(found, (F.col("bucket") == F.col("b")) & (F.col("region") == F.col("r")))
+    at = F.col("first") + F.col("piece").cast("long") * piece
+    moved = lambda spans: F.transform(spans, lambda s: F.array(s[0] + at, s[1] + at)).alias(spans)
+    where = where.select(F.col("th").alias("t"), moved("removed"), moved("shared"))
+    size = F.max(F.octet_length("text")).cast("long")
+    all_of_it = F.array(F.array(F.lit(0).cast("long"), F.col("size")))
+    copies = long.groupBy(F.col("th").alias("t")).agg(F.count("*").alias("n"), size.alias("size")).filter("n > 1")
+    copies = copies.select("t", F.when(F.col("size") >= LENGTH, all_of_it).otherwise(F.array().cast("array<array<bigint>>")).alias("removed"), all_of_it.alias("shared"))
+    where = where.unionByName(copies).groupBy("t").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("removed", "shared")])
+    where = stored(python_rows(where, _unions, "t binary, removed array<array<bigint>>, shared array<array<bigint>>"), "spans")
+    rows, spans = where.agg(F.count("*"), F.coalesce(F.sum(F.size("removed") + F.size("shared")), F.lit(0))).first()
+    near = where if 120 * rows + 40 * spans > BROADCAST_BYTES else F.broadcast(where)
+    texts = docs.join(near, F.col("th") == F.col("t"), "left").select("doc_id", "text", "removed", "shared")
+    return python_rows(texts, _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_words long, removed array<array<bigint>>")
 
 
 def op10_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
