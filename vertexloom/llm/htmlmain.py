@@ -4,6 +4,10 @@ Each page's containers are scored by the text in them, decaying with depth and l
 Spark adds the scores by host and generalised tag-and-class path; pages are then extracted from the elements on
 their host's winning path. A page without that path, or with far better text elsewhere, uses its own best path.
 
+A path is known by its hash, made from its parent's, so that a deeply nested page takes memory in proportion to its length.
+Markup that never ends its script, style or other raw element: scripts and styles go to the end of the page, of others only
+the tag goes. Elements that close themselves are empty.
+
 Null html is empty, and so is its text; a null url is the host of the empty name. Rows are kept one for one.
 """
 
@@ -14,6 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,20 +27,34 @@ from .common import own_names, python_rows, small, stored, table
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)>|<[!?][^>]*>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements whose content is no markup, with what ends them.
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe")}
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "svg", "annotation", "annotation-xml", "iframe")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OUT = frozenset("nav header footer aside form menu dialog button select option fieldset object audio video canvas head".split())
 _CONTAINER = frozenset("body article main section div td blockquote center".split())
 _BLOCK = _CONTAINER | _OUT | frozenset("html p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr th caption pre figure figcaption address details summary hr".split())
 #: An element that begins ends an open one of these.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Words of classes and ids that mark what is no main text.
-_NOT_MAIN = frozenset(
+#: Words of classes and ids that mark what is no main text; first those that do so inside an article too.
+_NOTES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus replies respond cookie cookies consent gdpr "
+    "notice notices notification alert share sharing newsletter subscribe subscription signup login popup modal overlay form".split()
+)
+_NOT_MAIN = _NOTES | frozenset(
+    "banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead social related recommended widget pagination pager toolbar "
+    "search skip".split()
+)
+#: Words that may stand beside them in a name; any other word gives the name another meaning, as in related-work.
+_BESIDE = frozenset(
+    "site page main global top bottom left right inner outer wrap wrapper container box block bar area list item items link links button buttons slot unit panel "
+    "section content reader user primary secondary mobile desktop posts post articles article js to google".split()
+)
+_MAIN = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
     "aside footer header masthead comment comments disqus replies respond cookie cookies consent gdpr notice notices notification alert share sharing social "
     "related recommended newsletter subscribe subscription signup login popup modal overlay widget pagination pager toolbar search form skip".split()
 )
 _MAIN = frozenset("article content entry main post story body text page".split())
+_STEP = 2**63
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 _WORDS = re.compile(r"[a-z]+")
 _SPLIT_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -43,46 +62,56 @@ DECAY, LINKED, BETTER = 0.9, 0.5, 3.0
 
 
 class Node:
-    __slots__ = ("tag", "path", "out", "chars", "fresh", "score", "links", "weight", "begin", "container")
+    __slots__ = ("tag", "path", "out", "chars", "fresh", "score", "links", "weight", "begin", "container", "main")
 
-    def __init__(self, tag, path, out, weight, begin, container):
-        self.tag, self.path, self.out, self.weight, self.begin, self.container = tag, path, out, weight, begin, container
+    def __init__(self, tag, path, out, weight, begin, container, main):
+        self.tag, self.path, self.out, self.weight, self.begin, self.container, self.main = tag, path, out, weight, begin, container, main
         self.chars = self.fresh = self.links = 0
         self.score = 0.0
 
 
+def path_of(parent: int, step: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{parent}/{step}") - _STEP
+
+
+def marks(name: str, words: frozenset) -> bool:
+    """Whether a name of a class or id says that this is none of the main text: one of the words, with others beside it at most."""
+    parts = _WORDS.findall(_SPLIT_CASE.sub(" ", name).lower())
+    return not words.isdisjoint(parts) and all(p in words or p in _BESIDE for p in parts)
+
+
 def _start(tag: str, attributes: str, parent: Node, begin: int) -> Node:
-    names, out = [], parent.out or tag in _OUT
+    out, main, step = parent.out or tag in _OUT, parent.main or tag in ("article", "main"), tag
     weight = 3.0 if tag in ("article", "main") else 1.0
     if attributes and ("=" in attributes):
-        first = ""
+        first, names = "", []
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             value = a or b or c
             if key.lower() == "role":
-                out = out or value.strip().lower() in _ROLES
-                weight = 3.0 if value.strip().lower() in ("main", "article") else weight
+                role = value.strip().lower()
+                out = out or role in _ROLES
+                if role in ("main", "article"):
+                    weight, main = 3.0, True
                 continue
-            words = _WORDS.findall(_SPLIT_CASE.sub(" ", value).lower())
-            names += words
+            names += value.split()
             if key.lower() == "class" and not first:
-                first = "-".join(words)
+                first = "-".join(_WORDS.findall(_SPLIT_CASE.sub(" ", value).lower()))
         if tag not in ("html", "body", "article", "main"):
-            out = out or not _NOT_MAIN.isdisjoint(names)
-        if weight == 1.0 and not _MAIN.isdisjoint(names):
+            out = out or any(marks(n, _NOTES if main else _NOT_MAIN) for n in names)
+        if weight == 1.0 and any(not _MAIN.isdisjoint(_WORDS.findall(n.lower())) for n in names):
             weight = 1.3
-        path = f"{parent.path}/{tag}.{first}" if first else f"{parent.path}/{tag}"
-    else:
-        path = f"{parent.path}/{tag}"
-    return Node(tag, path, out, weight, begin, tag in _CONTAINER)
+        step = f"{tag}.{first}" if first else tag
+    return Node(tag, path_of(parent.path, step), out, weight, begin, tag in _CONTAINER, main)
 
 
 def parse(page: str) -> tuple[list[tuple[str, int]], list[Node], list[tuple[int, int]]]:
     """Blocks of text (with their length in links), containers in the order they end, and the blocks they span."""
-    root = Node("", "", False, 0.0, 0, False)
+    root = Node("", 0, False, 0.0, 0, False, False)
     stack, blocks, done, spans = [root], [], [], []
     parts: list[str] = []
     links = 0
     in_link = 0
+    open_tags: dict[str, int] = {}
 
     def flush():
         nonlocal links
@@ -99,6 +128,7 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[Node], list[tuple[int,
 
     def close():
         node = stack.pop()
+        open_tags[node.tag] -= 1
         above = stack[-1]
         above.chars += node.chars
         above.links += node.links
@@ -113,6 +143,7 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[Node], list[tuple[int,
             above.score += node.score
 
     at, n = 0, len(page)
+    unended: set[str] = set()
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -132,15 +163,20 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[Node], list[tuple[int,
                 continue
             if tag in _BLOCK:
                 flush()
-                for i in range(len(stack) - 1, max(0, len(stack) - 257), -1):
-                    if stack[i].tag == tag:
-                        while len(stack) > i:
-                            close()
-                        break
+                if open_tags.get(tag):
+                    while stack[-1].tag != tag:
+                        close()
+                    close()
             continue
         if tag in _RAW:
-            end = _RAW[tag].search(page, at)
-            at = end.end() if end else n
+            if not m[3].rstrip().endswith("/") and tag not in unended:
+                end = _RAW[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = n
+                else:
+                    unended.add(tag)
             continue
         if tag == "a":
             in_link = 1
@@ -155,6 +191,7 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[Node], list[tuple[int,
                 if stack[-1].tag == ends:
                     close()
             stack.append(_start(tag, m[3], stack[-1], len(blocks)))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
         elif tag == "hr":
             flush()
     flush()
@@ -165,10 +202,10 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[Node], list[tuple[int,
     return blocks, done, spans
 
 
-def best_paths(page: str) -> list[tuple[str, float]]:
+def best_paths(page: str) -> list[tuple[int, float]]:
     """Paths of the page's containers with their best scores, as parts of the page's best."""
     _, nodes, _ = parse(page)
-    found: dict[str, float] = {}
+    found: dict[int, float] = {}
     for node in nodes:
         if node.score > 0:
             found[node.path] = max(found.get(node.path, 0.0), node.score)
@@ -176,9 +213,9 @@ def best_paths(page: str) -> list[tuple[str, float]]:
     return [(p, s / top) for p, s in found.items()]
 
 
-def extract(page: str, winner: str | None) -> str:
+def extract(page: str, winner: int | None) -> str:
     blocks, nodes, spans = parse(page)
-    scores: dict[str, float] = {}
+    scores: dict[int, float] = {}
     for node in nodes:
         scores[node.path] = max(scores.get(node.path, 0.0), node.score)
     own = max(scores, key=scores.get, default=None)
@@ -194,12 +231,12 @@ def extract(page: str, winner: str | None) -> str:
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        votes: dict[tuple[str, str], float] = {}
+        votes: dict[tuple[str, int], float] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             for path, score in best_paths(page.as_py() or ""):
                 votes[host, path] = votes.get((host, path), 0.0) + score
         yield pa.RecordBatch.from_arrays(
-            [pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.float64())], ["host", "path", "vote"]
+            [pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.int64()), pa.array(list(votes.values()), pa.float64())], ["host", "path", "vote"]
         )
 
 
@@ -215,8 +252,8 @@ def extract_main(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text and n_chars."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     pages = own_names(pages, ["page_id", "url", "html"]).withColumn("host", host)
-    votes = python_rows(pages.select("host", "html"), _votes, "host string, path string, vote double")
-    # Rounded, so that the order of adding can't change a winner; of equal paths the first by name.
+    votes = python_rows(pages.select("host", "html"), _votes, "host string, path long, vote double")
+    # Rounded, so that the order of adding can't change a winner; of equal paths that of the greatest hash.
     votes = votes.groupBy("host", "path").agg(F.round(F.sum("vote"), 6).alias("vote"))
     winners = votes.groupBy("host").agg(F.max_by("path", F.struct("vote", "path")).alias("winner"))
     winners = stored(winners, "page-paths")
