@@ -75,7 +75,7 @@ def find_personal(text: str, cues: ahocorasick.Automaton) -> list[tuple[int, int
                     lo, parts = at, m[0].split(".")
                     for k in range(0, len(parts) - 3, 4):
                         hi = lo + sum(map(len, parts[k : k + 4])) + 3
-                        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts[k : k + 4]):
+                        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in parts[k : k + 4]):
                             add("ip", lo, hi)
                         lo = hi + 1
             if at >= chain_end:
@@ -121,25 +121,27 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         counts: list[list[int]] = [[] for _ in BASE_KINDS]
-        digests, joined = [], []
+        digests, joined, personal = [], [], []
         for t in texts:
             spans = find_personal(t.as_py() or "", cues)
             base = ",".join(f"{k}:{a}:{b}" for a, o, b, k in spans if o < len(BASE_KINDS))
             for o, c in enumerate(counts):
                 c.append(sum(s[1] == o for s in spans))
+            personal.append(sum(s[3] != "url" for s in spans))
             digests.append(hashlib.sha256(base.encode()).hexdigest())
             joined.append(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans))
         yield pa.RecordBatch.from_arrays(
-            [ids, *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(joined, pa.string())],
-            ["doc_id", *[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans"],
+            [ids, *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(joined, pa.string()), pa.array(personal, pa.int64())],
+            ["doc_id", *[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans", "n_personal"],
         )
 
 
 def scan_personal(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): counts by kind, a digest of the base spans, and all spans as kind:start:end."""
+    """Per row of docs (doc_id, text): counts by kind, a digest of the base spans, all spans as kind:start:end, and how many of
+    these aren't addresses of pages."""
     return python_rows(
         own_names(docs, ["doc_id", "text"]), _rows,
-        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_personal long"
     )
 
 
