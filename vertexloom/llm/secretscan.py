@@ -1,9 +1,9 @@
 """Secret scans with linking of parts of a credential; DataFrame operations only.
 
 Strong spans come from three patterns. Weak candidates (access identifiers, secrets, endpoints) are too common
-to report alone: an interval join reports one only where a strong span of a complementary role lies within
-``GAP`` characters in the same text. The join's keys are text and position range, so that a very long text is
-dealt out over many tasks.
+to report alone: an interval join reports one only where another part of a complementary role, strong or weak, lies within
+``GAP`` characters in the same text without overlapping it. A candidate that overlaps a strong span is that span's. The
+joins' keys are text and position range, so that a very long text is dealt out over many tasks.
 
 Null text is empty and has no spans. Rows are kept one for one, with null or repeated ids as they are.
 """
@@ -22,10 +22,11 @@ STRONG = [
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18, "id"),
     ("hex", r"[0-9a-f]{16,}", 0, 16, "secret"),
 ]
-#: Weak kinds: kind, pattern, group that must be long enough, its least length, role, roles that complete it.
+#: Weak kinds: kind, pattern, group that must be long enough, its least length, role, roles that complete it. A token is a secret
+#: by its looks alone; one beside an endpoint isn't enough for either.
 WEAK = [
-    ("link_id", r"""(?i)(client_?id|account_?id|access_?key_?id|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 2, 3, "id", ["secret"]),
-    ("link_secret", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/=_-]*[0-9])(?=[A-Za-z0-9+/=_-]*[A-Z])(?=[A-Za-z0-9+/=_-]*[a-z])[A-Za-z0-9+/=_-]{20,}", 0, 20, "secret", ["id"]),
+    ("link_id", r"""(?i)(client_?id|account_?id|access_?key_?id|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 2, 3, "id", ["secret", "token"]),
+    ("link_secret", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/=_-]*[0-9])(?=[A-Za-z0-9+/=_-]*[A-Z])(?=[A-Za-z0-9+/=_-]*[a-z])[A-Za-z0-9+/=_-]{20,}", 0, 20, "token", ["id"]),
     ("link_endpoint", r"""(?i)(?:https?|ftp|s3|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\x20\x09-\x0D"'<>]+""", 0, 8, "endpoint", ["id", "secret"]),
 ]
 GAP = 256
@@ -80,28 +81,28 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     strong = F.array_sort(F.concat(*[F.col(k) for k, *_ in STRONG]))
     found = found.select("doc_id", "text", strong.alias("strong"))
     weak = F.concat(*[spans_of(F.col("text"), len(STRONG) + i, k, p, g, n) for i, (k, p, g, n, *_) in enumerate(WEAK)])
-    # A weak candidate needs a strong span in its text, so other texts aren't searched.
-    found = found.withColumn("weak", F.when(F.size("strong") > 0, weak).otherwise(F.array().cast(_SPAN)))
-    rows = stored(found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "strong", "weak"), "secrets")
-
-    bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / BIN), F.floor(hi / BIN)))
-    role = F.create_map(*[F.lit(x) for k, _, _, _, r in STRONG for x in (k, r)])
-    right = rows.filter(F.size("weak") > 0).select("rid", F.explode("strong").alias("s"))
-    right = right.select("rid", role[F.col("s.kind")].alias("role"), F.col("s.start").alias("lo"), F.col("s.end").alias("hi"))
-    right = right.withColumn("bin", bins(F.col("lo"), F.col("hi")))
+    rows = stored(found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "strong", weak.alias("weak")), "secrets")
+
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / BIN), F.floor(hi / BIN))).alias("bin")
+    role = F.create_map(*[F.lit(x) for k, _, _, _, r, *_ in STRONG + WEAK for x in (k, r)])
+    one = lambda of, to: rows.select("rid", F.explode(of).alias(to))
+    held = one("strong", "s").select("rid", F.col("s.start").alias("lo"), F.col("s.end").alias("hi"), role[F.col("s.kind")].alias("role"))
+    weak = one("weak", "w").alias("l")
+    # Which candidates overlap a strong span.
+    left = one("weak", "w").select("*", bins(F.col("w.start"), F.col("w.end") - 1)).alias("l")
+    right = held.select("*", bins(F.col("lo"), F.col("hi") - 1)).alias("r")
+    on = (F.col("l.rid") == F.col("r.rid")) & (F.col("l.bin") == F.col("r.bin"))
+    known = left.join(right, on & (F.col("r.lo") < F.col("l.w.end")) & (F.col("r.hi") > F.col("l.w.start"))).select("l.rid", "w").distinct().alias("k")
+    free = stored(weak.join(known, (F.col("l.rid") == F.col("k.rid")) & (F.col("l.w") == F.col("k.w")), "left_anti"), "weak")
+    # Of the others those with a part nearby that completes them.
+    parts = held.unionByName(free.select("rid", F.col("w.start").alias("lo"), F.col("w.end").alias("hi"), role[F.col("w.kind")].alias("role")))
     needs = F.create_map(*[x for k, _, _, _, _, r in WEAK for x in (F.lit(k), F.array(*map(F.lit, r)))])
-    left = rows.select("rid", F.explode("weak").alias("w"))
-    left = left.withColumn("bin", bins(F.col("w.start") - GAP, F.col("w.end") + GAP))
-    near = left.alias("l").join(
-        right.alias("r"),
-        (F.col("l.rid") == F.col("r.rid")) & (F.col("l.bin") == F.col("r.bin"))
-        & (F.col("r.lo") <= F.col("l.w.end") + GAP) & (F.col("r.hi") >= F.col("l.w.start") - GAP),
-    )
-    # A candidate that overlaps a strong span is that span's; others need a complementary role nearby.
-    near = near.groupBy("l.rid", "w").agg(
-        F.bool_or((F.col("lo") < F.col("w.end")) & (F.col("hi") > F.col("w.start"))).alias("known"), F.bool_or(F.array_contains(needs[F.col("w.kind")], F.col("role"))).alias("fits")
-    )
-    linked = near.filter("fits and not known").groupBy(F.col("rid").alias("linked_rid")).agg(F.array_sort(F.collect_list("w")).alias("linked"))
+    left = free.select("*", needs[F.col("w.kind")].alias("needs"), bins(F.col("w.start") - GAP, F.col("w.end") + GAP)).alias("l")
+    right = parts.select("*", bins(F.col("lo"), F.col("hi"))).alias("r")
+    near = (F.col("r.lo") <= F.col("l.w.end") + GAP) & (F.col("r.hi") >= F.col("l.w.start") - GAP)
+    apart = (F.col("r.lo") >= F.col("l.w.end")) | (F.col("r.hi") <= F.col("l.w.start"))
+    linked = left.join(right, on & near & apart & F.array_contains("l.needs", F.col("r.role"))).select(F.col("l.rid").alias("rid"), "w").distinct()
+    linked = linked.groupBy(F.col("rid").alias("linked_rid")).agg(F.array_sort(F.collect_list("w")).alias("linked"))
     out = rows.join(linked, F.col("rid") == F.col("linked_rid"), "left")
     return out.select("doc_id", "strong", F.coalesce("linked", F.array().cast(_SPAN)).alias("linked"))
 
