@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words as the contracts count them: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this machine only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The cluster's shared folder; a folder of this machine only where none is named and all work runs in this process, as in tests."""
+    conf = spark.sparkContext.getConf()
+    named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not named:
+        if not conf.get("spark.master", "").split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = getattr(_folder, "own", None)
         if named is None:
             named = _folder.own = "file://" + tempfile.mkdtemp(prefix="vertexloom-")
@@ -33,7 +37,7 @@ def _folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table in the shared folder and read it back: lineage is cut and lost executors cost nothing.
 
     The files go when the driver's JVM ends.
@@ -72,12 +76,33 @@ def shipped(spark: SparkSession) -> None:
     shipped.app = app
 
 
-def python_rows(df: DataFrame, function, schema: str) -> DataFrame:
+def python_rows(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     """mapInArrow with the package at hand."""
     shipped(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
+def text_last(df: DataFrame) -> DataFrame:
+    """df with its column text as the last one."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != "text"], "text")
+
+
+def more_columns(df: DataFrame, more: str) -> StructType:
+    """df's schema with more columns; names may be any, nested ones too."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
+def apart(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns, and all others as one column, so that no name which an operator adds can meet one of theirs."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(*[F.col(f"`{n}`") for n in names], (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("others"))
+
+
+def together(df: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
+    """Undoes apart(): the columns as they were."""
+    return df.select(*[F.col(f"`{c}`") if c in names else F.col(f"others.`{c}`").alias(c) for c in columns])
+
+
 def own_names(df: DataFrame, names: list[str]) -> DataFrame:
     """Only the named columns; extra columns, whatever their names, are left out."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -12,8 +12,9 @@ and 6 bytes, so that inflected and compounded forms share evidence.
 
 The classifier is fitted on at most ``SAMPLE`` labelled texts of each label, the first by hash, copies once; all
 texts are scored whole. Null text is empty and gets the score of no evidence. Labels that are null or whose
-document is missing are left out; a document labelled twice counts as toxic if any label says so. Without any
-training texts of either label all scores are 0. Rows are kept one for one, with null or repeated ids as they are.
+document is missing are left out; a document labelled twice, or a text in documents of either label, counts as toxic if
+any label says so. Without any training texts of either label all scores are 0. Rows are kept one for one, with null or
+repeated ids as they are. Columns of the input that are named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own_names, python_rows, shipped, stored, table
+from .common import more_columns, own_names, python_rows, shipped, stored, table, text_last
 from .textkernel import ALNUM, Words, as_bytes, chunks
 
-#: PRIOR: weight of the prior against the counts. CHANCE: tokens that may be in the lexicon by chance, about.
-SAMPLE, LEXICON, PRIOR, CHANCE, MOST = 30_000, 20_000, 0.1, 20.0, 8.0
+#: PRIOR: weight of the prior against the counts. CHANCE: tokens that may be in the lexicon by chance, about. The lexicon has
+#: all tokens that pass, which are some of those in the sample.
+SAMPLE, PRIOR, CHANCE, MOST = 30_000, 0.1, 20.0, 8.0
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 
@@ -137,17 +139,29 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tops(model):
+    """Of each text its words and best score, for the extreme values."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model.value
         for batch in batches:
-            ns, tops, all_scores = [], [], []
+            ns, tops = [], []
             for _, texts in chunks(as_bytes(batch.column(1))):
                 for n, found in _found(held, Words(texts, ALNUM)):
-                    scores = sorted((s for *_, s in found), reverse=True)[:32]
                     ns.append(n)
-                    tops.append(scores[0] if scores else 0.0)
-                    all_scores.append(scores)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(tops, pa.float64()), pa.array(all_scores, pa.list_(pa.float64()))], ["toxic", "n", "top", "scores"])
+                    tops.append(max((s for *_, s in found), default=0.0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(tops, pa.float64())], ["toxic", "n", "top"])
+
+    return rows
+
+
+def _features(model):
+    """Of each text the inputs of the logistic curve, over all its segments."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = model.value
+        for batch in batches:
+            found = [held.features(n, f) for _, texts in chunks(as_bytes(batch.column(1))) for n, f in _found(held, Words(texts, ALNUM))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[k] for x in found], pa.float64()) for k in (0, 1)]], ["toxic", "x", "y"])
 
     return rows
 
@@ -163,18 +177,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         picked = part if picked is None else picked.unionByName(part)
     own = own_names(docs, ["doc_id", "text"]).filter("text is not null")
     rows = own.join(F.broadcast(picked), F.col("doc_id") == F.col("id"))  # at most 2 * sample rows of three numbers
-    rows = rows.withColumn("th", F.xxhash64("text")).dropDuplicates(["th"]).select((F.col("toxic") == 1).alias("toxic"), "text", "th")
+    rows = rows.groupBy(F.xxhash64("text").alias("th")).agg((F.max("toxic") == 1).alias("toxic"), F.first("text").alias("text"))
     rows = stored(rows, "toxic-sample")
     half = F.pmod(F.col("th"), F.lit(2))
     counted = python_rows(rows.select("toxic", half.alias("half"), "text"), _counts, "token long, no0 long, yes0 long, no1 long, yes1 long")
     counts = stored(counted.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("no0", "yes0", "no1", "yes1")]), "toxic-tokens")
     shipped(spark)
     model = lexicon(counts, F.col("yes0") + F.col("yes1"), F.col("no0") + F.col("no1"))
-    tops = []
-    for k in (0, 1):  # each half is scored with the other half's log-odds
-        other = spark.sparkContext.broadcast(lexicon(counts, F.col(f"yes{1 - k}"), F.col(f"no{1 - k}")))
-        tops += python_rows(rows.filter(half == k).select("toxic", "text"), _tops(other), "toxic boolean, n long, top double, scores array<double>").collect()
-    return calibrate(model, tops) if len(model.hashes) else model
+    if not len(model.hashes):
+        return model
+    # Each half is scored with the other half's log-odds; a few numbers of each text of the sample come back.
+    halves = [lexicon(counts, F.col(f"yes{1 - k}"), F.col(f"no{1 - k}")) for k in (0, 1)]
+    tops, inputs = [], []
+    for k in (0, 1):
+        tops += python_rows(rows.filter(half == k).select("toxic", "text"), _tops(spark.sparkContext.broadcast(halves[k])), "toxic boolean, n long, top double").collect()
+    extreme_values(model, tops)
+    for k in (0, 1):
+        halves[k].scale, halves[k].shift = model.scale, model.shift
+        inputs += python_rows(rows.filter(half == k).select("toxic", "text"), _features(spark.sparkContext.broadcast(halves[k])), "toxic boolean, x double, y double").collect()
+    curve(model, inputs)
+    return model
 
 
 def lexicon(counts: DataFrame, yes: F.Column, no: F.Column) -> Model:
@@ -192,14 +214,15 @@ def lexicon(counts: DataFrame, yes: F.Column, no: F.Column) -> Model:
     share = n_yes / (n_yes + n_no)
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) / ((F.col("yes") + F.col("no")) * p))).otherwise(0.0)
     scored = counts.withColumn("odds", odds).withColumn("ratio", part("yes", share) + part("no", 1 - share))
-    found = scored.filter((F.col("odds") > 0) & (F.col("ratio") >= float(np.log(max(kinds / CHANCE, 1.0))))).orderBy(F.desc("ratio"), "token").limit(LEXICON).collect()
-    more = sum(r.yes for r in found) / total.yes - sum(r.no for r in found) / total.no
+    found = scored.filter((F.col("odds") > 0) & (F.col("ratio") >= float(np.log(max(kinds / CHANCE, 1.0))))).select("token", "odds", "yes", "no").toArrow()
+    token, odds, yes, no = (found.column(k).to_numpy() for k in range(4))
+    more = int(yes.sum()) / total.yes - int(no.sum()) / total.no
     pooled = min(-0.01, float(np.log1p(-min(max(more, 0.0), 0.5))))
-    return Model(np.array([r.token for r in found], dtype=np.int64).view(np.uint64), np.minimum([r.odds for r in found], MOST), pooled)
+    return Model(token.astype(np.int64).view(np.uint64), np.minimum(odds, MOST), pooled)
 
 
-def calibrate(model: Model, tops: list) -> Model:
-    """Extreme-value parameters from clean texts, then the logistic curve, by Newton steps with a ridge."""
+def extreme_values(model: Model, tops: list) -> None:
+    """Sets lambda and K from the best scores of clean texts."""
     clean = np.array([(r.n, r.top) for r in tops if not r.toxic and r.n > 0], dtype=float).reshape(-1, 2)
     above = clean[clean[:, 1] > 0]
     if len(above):
@@ -209,10 +232,15 @@ def calibrate(model: Model, tops: list) -> Model:
         model.shift = float(np.log(len(above) / clean[:, 0].sum()) + model.scale * floor)
     else:
         model.scale, model.shift = 1.0, float(-np.log(max(clean[:, 0].sum(), 1.0)))
-    x = np.array([(1.0, *model.features(r.n, [(0, 0, s) for s in r.scores])) for r in tops])
-    y = np.array([r.toxic for r in tops], dtype=float)
+
+
+def curve(model: Model, inputs: list) -> None:
+    """Sets the logistic curve, by Newton steps with a ridge; rows are sorted, so that their order can't change it."""
+    rows = sorted((r.x, r.y, r.toxic) for r in inputs)
+    x = np.array([(1.0, a, b) for a, b, _ in rows])
+    y = np.array([t for *_, t in rows], dtype=float)
     if not len(x) or y.min() == y.max():
-        return model
+        return
     w = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -221,7 +249,6 @@ def calibrate(model: Model, tops: list) -> Model:
         if np.abs(step).max() < 1e-8:
             break
     model.curve = tuple(w)
-    return model
 
 
 def _scored(model):
@@ -243,10 +270,9 @@ def _scored(model):
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """docs (text, ...) with __score and __passages: significant segments as [first word, end]."""
     shipped(docs.sparkSession)
-    names = [c for c in docs.columns if c != "text"] + ["text"]
-    kinds = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in names)
+    docs = text_last(docs.drop("__score", "__passages"))
     rows = _scored(docs.sparkSession.sparkContext.broadcast(model))
-    return python_rows(docs.select(*[F.col(f"`{c}`") for c in names]), rows, f"{kinds}, __score double, __passages array<array<bigint>>")
+    return python_rows(docs, rows, more_columns(docs, "__score double, __passages array<array<bigint>>"))
 
 
 def held_out(doc_id) -> F.Column:
