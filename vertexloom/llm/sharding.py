@@ -5,7 +5,8 @@ shard therefore takes records only into itself, and from all others in proportio
 a shard by hash: counts by hash range give each range its first slot, so that a task sorts one range, not a shard.
 
 Null keys: the text stands in for the key, so that rows without a key don't meet in one shard. Null text has
-size 1 and CRC 0. Repeated rows are rows like any other. An empty table gives an empty result.
+size 1 and CRC 0. Repeated rows are rows like any other. An empty table gives an empty result. Columns of the input that are
+named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ def rendezvous(key: F.Column, weights: list[float]) -> F.Column:
 def shard_records(docs: DataFrame, weights: list[float], grown: float | None = None, thin: bool = False, key: str = "doc_id") -> DataFrame:
     """docs (key, text, ...) with __size, __text_crc32, __law, __shard, __slot and __grown_shard (with one shard more, of weight
     ``grown``; by default 1). thin: only these and the key; else all columns of docs are kept."""
+    added = ("size", "text_crc32", "law", "shard", "grown_shard", "h", "cell", "n", "of", "at", "first", "slot")
+    docs = docs.drop(*[f"__{c}" for c in added])
     text = F.coalesce(F.col("text"), F.lit(""))
     name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text "), text))
     out = docs.select(

@@ -102,19 +102,26 @@ class Words:
             return mix((sums[ends] - sums[self.starts]) * inverse[self.starts] + (ends - self.starts).astype(np.uint64))
 
 
-def shingles(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of each run of k words (fewer words: none)."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
+def _mixed(columns: Iterator[np.ndarray], n: int, k: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = np.full(n, _U(0x243F6A8885A308D3 + k), dtype=np.uint64)
-        for j in range(k):
-            out = (out ^ words[j : j + n]) * _U(0xD6E8FEB86659FD93) + _U(j + 1)
+        for j, words in enumerate(columns):
+            out = (out ^ words) * _U(0xD6E8FEB86659FD93) + _U(j + 1)
             out ^= out >> _U(29)
     return mix(out)
 
 
+def shingles(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of each run of k words (fewer words: none)."""
+    n = len(words) - k + 1
+    return _mixed((words[j : j + n] for j in range(k)), n, k) if n > 0 else np.zeros(0, dtype=np.uint64)
+
+
+def shingles_at(words: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k words from these places."""
+    return _mixed((words[starts + j] for j in range(k)), len(starts), k)
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Index of the first text and the texts, about limit bytes at a time; a longer text comes alone."""
     at, size = 0, 0
