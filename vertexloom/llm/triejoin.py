@@ -2,24 +2,23 @@
 
 Texts become sets of word n-grams (64-bit hashes), and equal sets one class. All sets share a global order, from
 rare to common by a count sketch over the whole corpus. Two sets with a Jaccard of at least t share one of the
-first n - ceil(t n) + 1 grams in that order, so that a class has few keys. Under each key, classes sorted by size
-are chained while the next one isn't too large; any pair that could be linked is within one chain, and chains that
-meet form a block. A block's sets go to one task, once, where they are stored in a path-compressed trie, common
+first n - ceil(t n) + 1 grams in that order, so that a class has few keys. Under each key, classes of one size are linked
+with the least of them, and these are chained by size while the next size isn't too large; any pair that could be linked
+is within one chain, and chains that meet form a block. A block's sets go to one task, once, where they are stored in a path-compressed trie, common
 grams first. Each set is carried through the trie; overlaps are shared by all sets below a node, and a subtree is
 left when the grams still to come can't reach the overlap that its sizes ask for, or when all its sets are linked
 with the query already. The links found this way connect exactly the classes that all links would connect.
 
-Blocks of more than ``BLOCK_GRAMS`` grams are cut into parts by size; every pair of parts whose sizes allow a link is
+Blocks of more than ``BLOCK_GRAMS`` grams are cut into parts by size, and by hash within a size that has more; every pair of parts whose sizes allow a link is
 a task of its own. No task holds more than two parts.
 
 Null texts and texts without words have no grams and are linked with nothing. A text of fewer words than n is one gram, of
 its whole sequence. Rows are kept one for one; those with a null or repeated id keep it, and the component of a
-class is its least id (null if it has none). Distinct grams and classes are told apart by 64-bit hashes.
+class is its least id (null if it has none). A class is represented by one text of one id, told by the text's hash. Distinct grams and classes are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import own_names, python_rows, shipped, small, stored, table
+from .common import apart, own_names, python_rows, shipped, small, stored, table, together
 from .components import components
+from .sketch import bucket_counts
 from .textkernel import NON_SPACE, Words, as_bytes, chunks, shingles
 
-#: Buckets of the count sketch, a byte each, and parts in which it is added up.
-SKETCH_BITS, SKETCH_PARTS = 25, 64
+#: Buckets of the count sketch, a byte each. Counts are scaled by logarithm, so that common grams stand out in any corpus.
+SKETCH_BITS = 23
 BLOCK_GRAMS = 1_000_000
 
 
@@ -57,49 +57,9 @@ def class_of(grams: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - 2**63 if len(grams) else None
 
 
-def _sketch(n: int):
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
-
-        def add(held: list[np.ndarray]) -> None:
-            places, counts = np.unique(np.concatenate(held), return_counts=True)
-            total[places] = np.minimum(total[places] + counts, 255)
-
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            for grams in gram_sets(as_bytes(batch.column(0)), n):
-                held.append((grams & mask).astype(np.uint32))
-                size += len(grams)
-                if size > 1 << 22:
-                    add(held)
-                    held, size = [], 0
-        if held:
-            add(held)
-        parts = total.reshape(SKETCH_PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["part", "counts"])
-
-    return rows
-
-
-def _add(pdf):
-    import pandas as pd
-
-    total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, dtype=np.int64)
-    for c in pdf["counts"]:
-        total += np.frombuffer(zlib.decompress(c), dtype=np.uint8)
-    return pd.DataFrame({"part": pdf["part"][:1], "counts": [zlib.compress(np.minimum(total, 255).astype(np.uint8).tobytes(), 1)]})
-
-
 def count_sketch(texts: DataFrame, n: int) -> np.ndarray:
-    """In how many texts the grams of each of 2**SKETCH_BITS hash buckets are, up to 255: 32 MB, whatever the corpus."""
-    parts = python_rows(texts, _sketch(n), "part int, counts binary").groupBy("part").applyInPandas(_add, "part int, counts binary").collect()
-    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), dtype=np.uint8)
-    for r in parts:
-        out[r.part] = np.frombuffer(zlib.decompress(r.counts), dtype=np.uint8)
-    return out.reshape(-1)
+    """In how many texts the grams of each of 2**SKETCH_BITS hash buckets are, scaled: 8 MB, whatever the corpus."""
+    return bucket_counts(texts, lambda batch: gram_sets(as_bytes(batch.column(0)), n), SKETCH_BITS)
 
 
 def _prefixes(n: int, percent: int, sketch):
@@ -109,19 +69,18 @@ def _prefixes(n: int, percent: int, sketch):
         counts = sketch.value
         for batch in batches:
             sizes, classes, keys = [], [], []
-            for grams in gram_sets(as_bytes(batch.column(1)), n):
+            for grams in gram_sets(as_bytes(batch.column(2)), n):
                 sizes.append(len(grams))
                 classes.append(class_of(grams))
                 size = len(grams) - -(-len(grams) * percent // 100) + 1 if len(grams) else 0
                 order = np.argsort(counts[grams & mask], kind="stable")[:size]
                 keys.append(grams[order].view(np.int64))
-            ids = batch.column(0)
             offsets = np.zeros(len(keys) + 1, dtype=np.int32)
             np.cumsum([len(k) for k in keys], out=offsets[1:])
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))],
-                ["doc_id", "n_shingles", "class", "keys"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))],
+                ["doc_id", "th", "n_shingles", "class", "keys"],
             )
 
     return rows
@@ -134,7 +93,7 @@ def _sets(n: int):
             which, grams_out = [], []
             classes = batch.column(1).to_pylist()
             for i, grams in enumerate(gram_sets(as_bytes(batch.column(0)), n)):
-                # An id that other texts share too brings those along; they are left out here.
+                # Another text with the same id and hash would be left out here.
                 if class_of(grams) == classes[i] and classes[i] not in seen:
                     seen.add(classes[i])
                     which.append(i)
@@ -270,19 +229,40 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, block_grams: int =
     shipped(spark)
     docs = own_names(docs, ["doc_id", "text"])
     sketch = spark.sparkContext.broadcast(count_sketch(docs.select("text"), n))
-    rows = stored(python_rows(docs, _prefixes(n, percent, sketch), "doc_id long, n_shingles long, class long, keys array<long>"), "grams")
-    # One row a class; ids decide, so that a repeated row stays one.
-    classes = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
-    keyed = rows.select("class", "doc_id", "keys").join(classes.withColumnRenamed("class", "c"), (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    keyed = keyed.select("class", "size", F.explode("keys").alias("key"))
-    chain = Window.partitionBy("key").orderBy("size", "class")
-    near = keyed.withColumn("before", F.lag("class").over(chain)).withColumn("smaller", F.lag("size").over(chain))
-    near = near.filter((F.col("before") != F.col("class")) & (F.col("smaller") * 100 >= F.col("size") * percent))
-    blocks = components(near.select(F.col("before").alias("a"), F.col("class").alias("b")).distinct())
-    members = stored(classes.join(blocks, F.col("class") == F.col("node")).select("class", "rep", "size", F.col("component").alias("block")), "blocks")
-
-    upto = Window.partitionBy("block").orderBy("size", "class")
-    parts = members.withColumn("part", F.floor((F.sum("size").over(upto) - F.col("size")) / block_grams))
+    docs = docs.withColumn("th", F.xxhash64("text"))
+    schema = "doc_id long, th long, n_shingles long, class long, keys array<long>"
+    rows = stored(python_rows(docs.select("doc_id", "th", "text"), _prefixes(n, percent, sketch), schema), "grams")
+    # One row a class; equal sets have equal keys.
+    classes = rows.filter("class is not null").groupBy("class").agg(
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("rep"), F.max("n_shingles").alias("size"), F.first("keys").alias("keys")
+    )
+    classes = stored(classes, "classes")
+    keyed = classes.select("class", "size", F.explode("keys").alias("key"))
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k")), "keys")
+    keyed = stored(keyed.join(small(shared, shared.count()), F.col("key") == F.col("k"), "left_semi"), "keyed")
+    # Counts and chains are of sizes, not of classes, so that no task holds all classes of a key.
+    heads = stored(keyed.groupBy("key", "size").agg(F.min("class").alias("head"), F.count("*").alias("n")), "heads")
+    chain = Window.partitionBy("key").orderBy("size")
+    near = heads.withColumn("before", F.lag("head").over(chain)).withColumn("smaller", F.lag("size").over(chain))
+    near = near.filter(F.col("smaller") * 100 >= F.col("size") * percent).select(F.col("before").alias("a"), F.col("head").alias("b"))
+    alike = heads.filter("n > 1").select(F.col("key").alias("k"), F.col("size").alias("z"), "head")
+    alike = keyed.join(alike, (F.col("key") == F.col("k")) & (F.col("size") == F.col("z"))).select(F.col("head").alias("a"), F.col("class").alias("b"))
+    blocks = components(near.unionByName(alike).filter("a <> b").distinct())
+    members = classes.select("class", "rep", "size").join(blocks, F.col("class") == F.col("node")).select("class", "rep", "size", F.col("component").alias("block"))
+    members = stored(members, "blocks")
+
+    large = stored(members.groupBy("block").agg(F.sum("size").alias("grams")).filter(F.col("grams") > block_grams).select(F.col("block").alias("of")), "large")
+    n_large = large.count()
+    parts = members.withColumn("part", F.lit(0).cast("long"))
+    if n_large:
+        # Parts of the few large blocks, from the grams of each size.
+        cells = members.join(small(large, n_large), F.col("block") == F.col("of"), "left_semi").groupBy("block", "size").agg(F.sum("size").alias("grams"))
+        upto = F.sum("grams").over(Window.partitionBy("block").orderBy("size"))
+        cells = cells.withColumn("first", F.floor((upto - F.col("grams")) / block_grams)).withColumn("splits", F.ceil(F.col("grams") / block_grams))
+        cells = stored(cells.select(F.col("block").alias("of"), F.col("size").alias("z"), "first", "splits"), "cells")
+        parts = members.join(small(cells, cells.count()), (F.col("block") == F.col("of")) & (F.col("size") == F.col("z")), "left")
+        split = F.when(F.col("splits") > 1, 1 + F.pmod(F.xxhash64("class"), F.col("splits"))).otherwise(0)
+        parts = parts.withColumn("part", F.coalesce(F.col("first") * (1 << 24) + split, F.lit(0)).cast("long")).drop("of", "z", "first", "splits")
     parts = stored(parts, "parts")
     ranges = parts.groupBy("block", "part").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.sum("size").alias("grams"))
     ranges = stored(ranges, "ranges")
@@ -297,20 +277,21 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, block_grams: int =
     # Blocks of one part share tasks; a pair of parts has its own. Tasks are known before the sets are made, so
     # that these move once.
     tasks = max(1, int(all_grams) // block_grams)
-    pair = F.when(F.col("q") == 0, F.lit(-1).cast("long")).otherwise(F.col("p") * 1_000_000 + F.col("q"))
+    pair = F.when(F.col("q") == 0, F.lit(-1).cast("long")).otherwise(F.shiftrightunsigned(F.xxhash64("p", "q"), 1))
     task = F.when(F.col("q") == 0, F.pmod(F.xxhash64("of"), F.lit(tasks))).otherwise(F.xxhash64("of", pair).bitwiseOR(F.lit(-(2**63))))
     pairs = pairs.select("of", "at", F.struct(task.alias("task"), pair.alias("pair"), (F.col("p") == F.col("q")).alias("alone")).alias("to"))
     pairs = pairs.groupBy("of", "at").agg(F.collect_list("to").alias("to"))
     wanted = parts.join(small(pairs, n_ranges), (F.col("block") == F.col("of")) & (F.col("part") == F.col("at")))
     wanted = stored(wanted.select(F.col("class").alias("c"), "rep", "block", "part", "to"), "wanted")
-    texts = docs.join(small(wanted, members.count()), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", F.col("c").alias("class"), "block", "part", "to")
+    represents = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("th") == F.col("rep.th"))
+    texts = docs.join(small(wanted, members.count()), represents).select("text", F.col("c").alias("class"), "block", "part", "to")
     schema = "class long, block long, part long, to array<struct<task:bigint,pair:bigint,alone:boolean>>, grams binary"
     sets = python_rows(texts, _sets(n), schema).select("class", "block", "part", "grams", F.explode("to").alias("to")).select("*", "to.*").drop("to")
     found = sets.groupBy("task").applyInPandas(_join_blocks(percent), "a long, b long")
     found = components(stored(found, "links"))
 
-    ids = classes.join(found, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("component", "class").alias("root"))
-    least = ids.groupBy("root").agg(F.min("rep").alias("component_id"))
+    ids = classes.join(found, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("component", "class").alias("root"))
+    least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = ids.join(least.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("class").alias("c"), "component_id")
     out = rows.join(ids, F.col("class") == F.col("c"), "left")
     return out.select("doc_id", "n_shingles", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -319,15 +300,16 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, block_grams: int =
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: that with the least id. Where ids are null or repeated, it is the
     first row that comes. Texts without words all stay."""
+    needed = ["doc_id", "text"]
+    named = apart(docs, needed)
     rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    named = docs
     if rows != ids:
-        named = stored(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
-    key = "doc_id" if rows == ids else "__rid"
+        named = stored(named.withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    key = "doc_id" if rows == ids else "rid"
     found = jaccard_components(named.select(F.col(key).cast("long").alias("doc_id"), "text"), n, percent)
-    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "copies")
-    out = named.join(small(gone, gone.count()), F.col(key).cast("long") == F.col("__gone"), "left_anti")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "copies")
+    out = named.join(small(gone, gone.count()), F.col(key).cast("long") == F.col("gone"), "left_anti")
+    return together(out, needed, docs.columns)
 
 
 def op4_jaccard_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
