@@ -63,7 +63,9 @@ def keyed(rows, *columns):
 
 def test_mixing(docs, empty):
     rows = mixing.mix_sources(docs, thin=True).collect()
-    assert len(rows) == len(sample()) and rows == mixing.mix_sources(docs, thin=True).collect() or True
+    again = mixing.mix_sources(docs.repartition(5), thin=True).collect()
+    names = ("doc_id", "source", "__size", "__source_size", "__target", "__repeats", "__taken")
+    assert len(rows) == len(sample()) and keyed(rows, *names) == keyed(again, *names)
     by = defaultdict(list)
     for r, s in zip(rows, rows, strict=True):
         assert r["__taken"] == r["__size"] * r["__repeats"] and 0 <= r["__repeats"] <= 3
@@ -88,6 +90,28 @@ def test_mixing(docs, empty):
     assert set(docs.columns) <= set(mixed.columns)
 
 
+def test_mixing_takes_as_many_equal_rows_as_come_nearest(spark):
+    rows = [(7, "a b c d", "x")] * 100 + [(i, "a b", "y") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    for got in (mixing.mix_sources(docs).collect(), mixing.mix_sources(docs, thin=True).collect()):
+        taken = sum(r["__taken"] for r in got if r.source == "x")
+        target = next(r["__target"] for r in got if r.source == "x")
+        assert len(got) == 400 and abs(target - 1000 / 3) < 1e-6 and abs(taken - target) <= 2 and {r["__repeats"] for r in got if r.source == "x"} == {0, 1}
+
+
+def test_names_like_those_added(spark, docs):
+    names = ["__size", "__h", "__source", "__hits", "__items", "__n_words", "__score", "__passages", "__rid", "__copy", "__shard", "__slot", "__law", "__number", "rid", "others"]
+    more = docs.select("doc_id", "text", "source", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    model = toxicity.Model(np.zeros(0, dtype=np.uint64), np.zeros(0), -0.01)
+    benchmark = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    outs = [mixing.mix_sources(more), toxicity.score_toxicity(more, model), sharding.shard_records(more, [1.0] * 3)]
+    outs += [winnow.find_benchmark(more, benchmark, b) for b in (1 << 20, 1)]
+    for out in outs:
+        assert len(set(out.columns)) == len(out.columns) and set(docs.columns[:2]) <= set(out.columns) and len(out.collect()) == len(sample())
+    kept = triejoin.one_of_each(more)
+    assert kept.columns == more.columns and {r["__law"] for r in kept.collect()} == {names.index("__law")}
+
+
 def sql_rows(sql, **views):
     con = duckdb.connect()
     for name, path in views.items():
@@ -135,12 +159,21 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_toxicity(empty, model).count() == 0
 
 
+def maximal(every, lo, hi):
+    """All maximal-scoring segments by their definition: the best one (the longest prefix of the leftmost), then those beside it."""
+    best = max(((sum(every[a:b]), -a, -b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0, 0, 0))
+    if best[0] <= 1e-9:
+        return []
+    a, b = -best[1], -best[2]
+    return [*maximal(every, lo, a), (a, b), *maximal(every, b, hi)]
+
+
 def test_segments():
     r = random.Random(1)
     for _ in range(200):
         n = r.randint(1, 25)
         places = sorted(r.sample(range(n), r.randint(1, n)))
-        scores = [r.choice([1.0, 2.0, 3.5]) for _ in places]
+        scores = [r.choice([1.0, 2.0, 3.5]) + r.random() / 64 for _ in places]  # sums don't tie
         every = [-0.8] * n
         for p, s in zip(places, scores, strict=True):
             every[p] = s
@@ -149,6 +182,7 @@ def test_segments():
         assert abs(max(s for *_, s in found) - best) < 1e-9
         assert all(abs(sum(every[a:b]) - s) < 1e-9 for a, b, s in found)
         assert all(x[1] <= y[0] for x, y in itertools.pairwise(found))
+        assert [(a, b) for a, b, _ in found] == maximal(every, 0, n)
 
 
 BASE = {
@@ -156,7 +190,7 @@ BASE = {
     "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
     "hex": (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16),
     "email": (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
-    "ip": (re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+    "ip": (re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))),
     "card": (re.compile("[0-9]([\x20-]?[0-9])+"), lambda m: 14 <= len(re.sub("[ -]", "", m[0])) <= 19 and pii.luhn(re.sub("[ -]", "", m[0]))),
     "phone": (re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda m: 10 <= sum(c.isdigit() for c in m[0]) <= 15),
 }
@@ -187,8 +221,12 @@ def test_secrets(spark, docs, empty, tmp_path):
     assert found == expected
     linked = [x for r in secretscan.scan_secrets(docs).collect() for x in r.linked]
     assert {x.kind for x in linked} == {"link_secret", "link_endpoint"}
-    alone = docs.filter("doc_id < 5").withColumn("text", F.lit("https://host.example/x " + "Zz9" * 10))
-    assert not [x for r in secretscan.scan_secrets(alone).collect() for x in r.linked]
+    text = lambda t: docs.filter("doc_id < 3").withColumn("text", F.lit(t))
+    kinds = lambda t: [[x.kind for x in r.linked] for r in secretscan.scan_secrets(text(t)).collect()]
+    # Weak parts complete each other, within reach and not by themselves.
+    assert kinds("client_id: acmebot9 " + "Zz9" * 9 + " postgres://db.example/x") == [["link_id", "link_secret", "link_endpoint"]] * 3
+    assert kinds("https://host.example/x") == kinds("https://host.example/x " + "Zz9" * 10) == kinds("Zz9" * 10) == kinds("login: bob https") == [[]] * 3
+    assert kinds("login=" + "Zz9" * 9) == [[]] * 3 and kinds("login=bob " + "x " * 200 + "Zz9" * 9) == [[]] * 3
     assert secretscan.scan_secrets(empty).count() == 0
 
 
@@ -198,6 +236,7 @@ def test_personal_data(spark, docs, empty, tmp_path):
     parts = ["a.b@c-d.e", "@", "a@b", "x@y.z@w.v", "1.2.3.4.5.6.7.8", "1..2.3.4.5", "256.1.1.1", "4111-1111 11111111", "41111111111111111", "+1 (2", "+12345678901", "+1 +1 234 567 8901 ", " ", "é", "-", ".", "\U0001f600", "9", "+", "a@b.c.", "300.1.2.3.4", "4111111111111111", "--", "  "]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 9))) for _ in range(3000)]
     cues = pii.automaton()
+    texts += ["0" * 5000 + "1.2.3.4", "9" * 5000 + ".2.3.4", "+1" + " " * 5000 + "2345678901", "4" * 5000 + "@" * 300 + "a.b" * 900]
     for t in texts:
         assert [(a, k, b) for a, o, b, k in pii.find_personal(t, cues) if o < 4] == base_spans(t, kinds), t
     found = keyed(scan_rows(spark, docs, tmp_path, pii.op7_personal_data), "doc_id", "base_sha256")
@@ -343,7 +382,8 @@ def test_telephony(spark, docs, empty, tmp_path):
         p = t + b"\xff" * (-len(t) % 576 or (0 if t else 576))
         texts[r.doc_id, len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])] += 1
     assert keyed(rows, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == texts
-    del empty
+    none = tmp_path / "none"
+    assert scan_rows(spark, empty, none, telephony.op8_telephony_media) == []
 
 
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Menu</a></ul></nav>

@@ -45,10 +45,13 @@ strong AS ({_spans("assign", 0, _ASSIGN, "length(g) >= 12", 2)}
 weak AS ({_spans("link_id", 3, _LINK_ID, "length(g) >= 3", 2)}
   UNION ALL{_spans("link_secret", 4, "[A-Za-z0-9+/=_-]+", _MIXED)}
   UNION ALL{_spans("link_endpoint", 5, _ENDPOINT, "length(m) >= 8")}),
+free AS (SELECT * FROM weak w WHERE NOT EXISTS (SELECT 1 FROM strong s WHERE s.rid = w.rid AND s.lo < w.hi AND s.hi > w.lo)),
+parts AS (SELECT rid, lo, hi, CASE kind WHEN 'access' THEN 'id' WHEN 'link_id' THEN 'id' WHEN 'link_endpoint' THEN 'endpoint' WHEN 'link_secret' THEN 'token' ELSE 'secret' END AS role
+  FROM (SELECT * FROM strong UNION ALL SELECT * FROM free)),
 linked AS (
-  SELECT * FROM weak w WHERE NOT EXISTS (SELECT 1 FROM strong s WHERE s.rid = w.rid AND s.lo < w.hi AND s.hi > w.lo)
-    AND EXISTS (SELECT 1 FROM strong s WHERE s.rid = w.rid AND s.lo <= w.hi + 256 AND s.hi >= w.lo - 256
-      AND CASE w.kind WHEN 'link_id' THEN s.kind <> 'access' WHEN 'link_secret' THEN s.kind = 'access' ELSE true END)),
+  SELECT * FROM free w WHERE EXISTS (SELECT 1 FROM parts s WHERE s.rid = w.rid AND s.lo <= w.hi + 256 AND s.hi >= w.lo - 256
+    AND (s.lo >= w.hi OR s.hi <= w.lo)
+    AND CASE w.kind WHEN 'link_id' THEN s.role IN ('secret', 'token') WHEN 'link_secret' THEN s.role = 'id' ELSE s.role IN ('id', 'secret') END)),
 base AS (SELECT rid, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex,
                 {_LISTED} AS spans FROM strong GROUP BY rid),
 every AS (SELECT rid, {_LISTED} AS spans FROM (SELECT * FROM strong UNION ALL SELECT * FROM linked) GROUP BY rid)
@@ -174,10 +177,10 @@ every AS (
   UNION ALL SELECT rid, CASE WHEN iban THEN 'iban' ELSE 'account' END, CASE WHEN iban THEN 5 ELSE 6 END, first, last FROM steps WHERE taken),
 joined AS (
   SELECT rid, count_if(kind = 'email') AS n_email, count_if(kind = 'ip') AS n_ip, count_if(kind = 'card') AS n_card, count_if(kind = 'phone') AS n_phone,
-         {_LISTED} FILTER (ord < 4) AS base, {_LISTED} AS spans
+         {_LISTED} FILTER (ord < 4) AS base, {_LISTED} AS spans, count_if(kind <> 'url') AS n_personal
   FROM every GROUP BY rid)
 SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_personal, 0)::BIGINT AS n_personal
 FROM d LEFT JOIN joined USING (rid)
 """
 
