@@ -38,8 +38,8 @@ from .textkernel import _TABLE, _power_tables, as_bytes, chunks, mix
 LENGTH, GRAM = 400, 64
 #: A passage: more than so many words, all in strings of so many bytes that other texts have too.
 WORDS, PASSAGE = 50, 240
-#: Starts of windows in a piece of a text; bytes of regions in a bucket, about; and at most, but for one region.
-PIECE, BUCKET_BYTES, MOST_BYTES = 1 << 20, 1_500_000, 3_000_000
+#: Starts of windows in a piece of a text; bytes of regions in a bucket, about; at most, but for one region; and in a task, about.
+PIECE, BUCKET_BYTES, MOST_BYTES, TASK_BYTES = 1 << 20, 1_000_000, 2_000_000, 4_000_000
 #: A gram in at most so many texts goes to a bucket by the least of them.
 FEW = 64
 #: Bytes that the spans of all texts may have in a broadcast.
@@ -291,10 +291,10 @@ def _runs(windows: np.ndarray, length: int) -> list[list[int]]:
     return [[int(a), int(b) + length] for a, b in zip(firsts, lasts, strict=True)]
 
 
-_INDEXED = "bucket long, region long, part long, owner binary, removed array<array<bigint>>, shared array<array<bigint>>, hashes array<bigint>, passages array<bigint>"
+_INDEXED = "bucket long, region long, removed array<array<bigint>>, shared array<array<bigint>>"
 
 
-def _index(length: int, passage: int, across: bool):
+def _index(length: int, passage: int):
     def rows(pdf):
         import pandas as pd
 
@@ -303,17 +303,61 @@ def _index(length: int, passage: int, across: bool):
         numbers: dict[bytes, int] = {}
         owners = [-1 if several else numbers.setdefault(bytes(o), len(numbers)) for o, several in zip(pdf["owner"], pdf["several"], strict=True)]
         found = repeated_windows(regions, owners, pdf["again"].tolist(), length, passage)
-        # Across the parts of a bucket that is dealt out: each window's hash.
-        hashed = lambda r, w: rolling(np.frombuffer(r, dtype=np.uint8), w).view(np.int64) if across and len(r) >= w else np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({
-            "bucket": pdf["bucket"].to_numpy(), "region": pdf["region"].to_numpy(), "part": pdf["part"].to_numpy(), "owner": pdf["owner"].to_numpy(),
-            "removed": [_runs(a, length) for a, _ in found], "shared": [_runs(b, passage) for _, b in found],
-            "hashes": [hashed(r, length) for r in regions], "passages": [hashed(r, passage) for r in regions],
-        })
+        columns = {"bucket": pdf["bucket"].to_numpy(), "region": pdf["region"].to_numpy()}
+        return pd.DataFrame({**columns, "removed": [_runs(a, length) for a, _ in found], "shared": [_runs(b, passage) for _, b in found]})
 
     return rows
 
 
+def _window_hashes(region: bytes, width: int) -> np.ndarray:
+    return rolling(np.frombuffer(region, dtype=np.uint8), width).view(np.int64) if len(region) >= width else np.zeros(0, dtype=np.int64)
+
+
+def _distinct(length: int, passage: int):
+    """Of a part of a bucket: each window's hash once, with the least and the greatest number of the owners that have it."""
+
+    def rows(pdf):
+        import pandas as pd
+
+        owners = np.array([xxhash.xxh3_64_intdigest(bytes(o)) - 2**63 for o in pdf["owner"]], dtype=np.int64)
+        out = []
+        for width in (length, passage):
+            hashes = [_window_hashes(bytes(c), width) for c in pdf["content"]]
+            of = np.repeat(owners, [len(h) for h in hashes])
+            found = pd.DataFrame({"h": np.concatenate(hashes), "lo": of, "hi": of}).groupby("h", as_index=False).agg({"lo": "min", "hi": "max"})
+            out.append(found.assign(width=width))
+        out = pd.concat(out)
+        return out.assign(bucket=pdf["bucket"].iloc[0], part=pdf["part"].iloc[0])[["bucket", "part", "width", "h", "lo", "hi"]]
+
+    return rows
+
+
+def _elsewhere(length: int, passage: int):
+    """The windows of a part of a bucket whose hashes other parts have too, as regions' spans."""
+
+    def rows(pdf, known):
+        import pandas as pd
+
+        wanted = {w: known["h"][known["width"] == w].to_numpy(dtype=np.int64) for w in (length, passage)}
+        spans = [[_runs(np.flatnonzero(np.isin(_window_hashes(bytes(c), w), wanted[w])), w) for c in pdf["content"]] for w in (length, passage)]
+        return pd.DataFrame({"bucket": pdf["bucket"].to_numpy(), "region": pdf["region"].to_numpy(), "removed": spans[0], "shared": spans[1]})
+
+    return rows
+
+
+def _dealt(unique: DataFrame, large: DataFrame) -> DataFrame:
+    """Regions of the buckets in large, each part a group, and windows that meet across parts: a hash is a row a part at most."""
+    dealt = unique.join(large, F.col("bucket") == F.col("b")).withColumn("part", F.pmod(F.xxhash64("region"), F.col("parts"))).drop("b", "parts")
+    dealt = stored(dealt, "dealt")
+    hashes = dealt.groupBy("bucket", "part").applyInPandas(_distinct(LENGTH, PASSAGE), "bucket long, part long, width int, h long, lo long, hi long")
+    apart = (F.min("part") < F.max("part")) & ((F.col("width") == LENGTH) | (F.min("lo") < F.max("hi")))
+    met = hashes.groupBy("bucket", "width", "h").agg(apart.alias("apart"), F.collect_set("part").alias("parts")).filter("apart")
+    met = stored(met.select("bucket", "width", "h", F.explode("parts").alias("part")), "met")
+    inside = dealt.groupBy("bucket", "part").applyInPandas(_index(LENGTH, PASSAGE), _INDEXED)
+    across = dealt.groupBy("bucket", "part").cogroup(met.groupBy("bucket", "part")).applyInPandas(_elsewhere(LENGTH, PASSAGE), _INDEXED)
+    return inside.unionByName(across)
+
+
 def _union(spans: list | None) -> list[list[int]]:
     runs: list[list[int]] = []
     for a, b in sorted(map(tuple, spans or ())):
@@ -351,21 +395,6 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _across(found: DataFrame) -> DataFrame:
-    """Windows of buckets that are dealt out which another part of the bucket has, as (bucket, region, removed, shared)."""
-    out = None
-    for column, width, to in (("hashes", LENGTH, "removed"), ("passages", PASSAGE, "shared")):
-        windows = found.select("bucket", "region", "part", "owner", F.posexplode(column).alias("pos", "h"))
-        apart = F.min("part") < F.max("part") if to == "removed" else F.min("owner") < F.max("owner")
-        twice = windows.groupBy(F.col("bucket").alias("b"), F.col("h").alias("of")).agg(apart.alias("apart")).filter("apart")
-        hit = windows.join(twice, (F.col("bucket") == F.col("b")) & (F.col("h") == F.col("of")))
-        span = F.array(F.array(F.col("pos").cast("long"), F.col("pos").cast("long") + width))
-        none = F.array().cast("array<array<bigint>>")
-        hit = hit.select("bucket", "region", (span if to == "removed" else none).alias("removed"), (span if to == "shared" else none).alias("shared"))
-        out = hit if out is None else out.unionByName(hit)
-    return out.groupBy("bucket", "region").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("removed", "shared")])
-
-
 def mark_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, most_bytes: int = MOST_BYTES, piece: int = PIECE) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, passage_words (words in passages) and
     removed ([first, end] in bytes)."""
@@ -392,9 +421,9 @@ def mark_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, most_bytes:
     schema = "th binary, piece int, bucket long, region long, first long, size long, content binary"
     regions = stored(python_rows(texts.select("th", "piece", "text", "places"), _regions(LENGTH, GRAM, PASSAGE), schema), "regions")
 
-    sizes = regions.groupBy("bucket", "region").agg(F.max("size").alias("size")).groupBy("bucket").agg(F.sum("size").alias("size"))
+    sizes = stored(regions.groupBy("bucket", "region").agg(F.max("size").alias("size")).groupBy("bucket").agg(F.sum("size").alias("size")), "sizes")
     large = stored(sizes.filter(F.col("size") > most_bytes).select(F.col("bucket").alias("b"), F.ceil(F.col("size") / most_bytes).alias("parts")), "large")
-    n_large = large.count()
+    n_large, total = large.count(), sizes.agg(F.sum("size")).first()[0] or 0
     place = F.struct("th", "piece", "first")
     unique = regions.groupBy("bucket", "region").agg(
         F.first("content", ignorenulls=True).alias("content"), F.min("th").alias("owner"), (F.min("th") < F.max("th")).alias("several"), (F.min(place) < F.max(place)).alias("again")
@@ -402,14 +431,11 @@ def mark_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, most_bytes:
     # A region of several texts is an owner of its own, told by its hash.
     own = F.encode(F.concat(F.lit("region "), F.col("region").cast("string")), "UTF-8")
     unique = unique.withColumn("owner", F.when(F.col("several"), own).otherwise(F.col("owner")))
-    whole = unique.join(F.broadcast(large.select("b")) if n_large <= 100_000 else large.select("b"), F.col("bucket") == F.col("b"), "left_anti") if n_large else unique
-    found = stored(whole.withColumn("part", F.lit(0).cast("long")).groupBy("bucket").applyInPandas(_index(LENGTH, PASSAGE, False), _INDEXED).drop("hashes", "passages"), "repeats")
-    found = found.select("bucket", "region", "removed", "shared")
-    if n_large:
-        dealt = unique.join(small(large, n_large), F.col("bucket") == F.col("b")).withColumn("part", F.pmod(F.xxhash64("region"), F.col("parts")))
-        dealt = dealt.groupBy("bucket", "part").applyInPandas(_index(LENGTH, PASSAGE, True), _INDEXED)
-        dealt = stored(dealt, "dealt")
-        found = found.unionByName(dealt.select("bucket", "region", "removed", "shared")).unionByName(_across(dealt))
+    large = small(large, n_large)
+    whole = unique.join(large.select("b"), F.col("bucket") == F.col("b"), "left_anti") if n_large else unique
+    # Tasks by bytes: sorting takes about a second a megabyte.
+    found = whole.repartition(int(total // TASK_BYTES) + 1, "bucket").groupBy("bucket").applyInPandas(_index(LENGTH, PASSAGE), _INDEXED)
+    found = stored(found.unionByName(_dealt(unique, large)) if n_large else found, "repeats")
     found = found.filter((F.size("removed") > 0) | (F.size("shared") > 0)).select(F.col("bucket").alias("b"), F.col("region").alias("r"), "removed", "shared")
 
     where = regions.select("th", "piece", "bucket", "region", "first").join(found, (F.col("bucket") == F.col("b")) & (F.col("region") == F.col("r")))
