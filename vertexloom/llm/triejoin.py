@@ -32,8 +32,9 @@ from .components import components
 from .sketch import bucket_counts
 from .textkernel import NON_SPACE, Words, as_bytes, chunks, shingles
 
-#: Buckets of the count sketch, a byte each. Counts are scaled by logarithm, so that common grams stand out in any corpus.
-SKETCH_BITS = 23
+#: The count sketch has a bucket of a byte for each gram of the corpus, about, and 2**SKETCH_BITS at most. Counts are scaled by
+#: logarithm, so that common grams stand out in any corpus.
+SKETCH_BITS = 25
 BLOCK_GRAMS = 1_000_000
 
 
@@ -58,15 +59,16 @@ def class_of(grams: np.ndarray) -> int | None:
 
 
 def count_sketch(texts: DataFrame, n: int) -> np.ndarray:
-    """In how many texts the grams of each of 2**SKETCH_BITS hash buckets are, scaled: 8 MB, whatever the corpus."""
-    return bucket_counts(texts, lambda batch: gram_sets(as_bytes(batch.column(0)), n), SKETCH_BITS)
+    """In how many texts the grams of each hash bucket are, scaled: 32 MB at most, whatever the corpus."""
+    grams = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    bits = min(SKETCH_BITS, max(16, int(grams).bit_length()))
+    return bucket_counts(texts, lambda batch: gram_sets(as_bytes(batch.column(0)), n), bits)
 
 
 def _prefixes(n: int, percent: int, sketch):
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
+        mask = np.uint64(len(counts) - 1)
         for batch in batches:
             sizes, classes, keys = [], [], []
             for grams in gram_sets(as_bytes(batch.column(2)), n):
@@ -239,7 +241,7 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, block_grams: int =
     classes = stored(classes, "classes")
     keyed = classes.select("class", "size", F.explode("keys").alias("key"))
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k")), "keys")
-    keyed = stored(keyed.join(small(shared, shared.count()), F.col("key") == F.col("k"), "left_semi"), "keyed")
+    keyed = stored(keyed.join(shared, F.col("key") == F.col("k"), "left_semi"), "keyed")
     # Counts and chains are of sizes, not of classes, so that no task holds all classes of a key.
     heads = stored(keyed.groupBy("key", "size").agg(F.min("class").alias("head"), F.count("*").alias("n")), "heads")
     chain = Window.partitionBy("key").orderBy("size")
