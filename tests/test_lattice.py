@@ -2,7 +2,9 @@
 
 import heapq
 import itertools
+import json
 import math
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +176,91 @@ def test_stream_equals_batch(spark, tmp_path):
     found = {(r.x, r.y, r.z): r for r in spark.sql("SELECT * FROM voxels ORDER BY n").collect()}
     for r in layers.temporal(df, 1e-5).collect():
         assert found[r.x, r.y, r.z].n == r.n and abs(found[r.x, r.y, r.z].l - r.l) < 1e-9
+
+
+def test_strict_keys_and_cells(spark):
+    lit, one = F.lit, spark.range(1)
+    bad = [ids.index64(lit(0), lit(0), lit(16), *[lit(1).cast("long")] * 3, strict=True)]
+    for r, f in ((0, ids.cell_parent), (255, ids.cell_children)):
+        c = ids.cell_id(lit(0), lit(r), lit(0), lit(0), *[lit(2).cast("long")] * 3)
+        assert one.select(f(c).isNull().alias("n")).first().n
+        bad.append(f(c, strict=True))
+    bad.append(lattice.checked_point(lit(1).cast("long"), lit(2).cast("long"), lit(3).cast("long"), strict=True))
+    for c in bad:
+        with pytest.raises(Exception, match="range|parent|children|parity"):
+            one.select(c.alias("c")).collect()
+    for size in (0, -1.0, float("inf"), float("nan")):
+        with pytest.raises(ValueError):
+            lattice.Grid(size)
+
+
+def test_neighbors_at_the_edge(spark):
+    row = spark.range(1).select(
+        F.size(ids.route_neighbors(ids.route64(F.lit(0), *[F.lit(524286).cast("long")] * 3))).alias("r"), F.size(ids.index_neighbors(ids.index64(F.lit(0), F.lit(0), F.lit(5), *[F.lit(0).cast("long")] * 3))).alias("i")
+    ).first()
+    assert (row.r, row.i) == (11, 4)
+
+
+def test_rollup_and_aggregate_raise(spark):
+    layer = spark.createDataFrame([(0, 0, 0, float("nan")), (2, 2, 2, 10.0)], "x long, y long, z long, value double")
+    with pytest.raises(Exception, match="NaN"):
+        layers.rollup(layer).collect()
+    assert sum(r["count"] for r in layers.rollup(layer).select("count").collect()) == 2
+    with pytest.raises(Exception, match="no cells"):
+        layers.aggregate(layer.filter("x > 5"), layer.filter("x > 0")).collect()
+
+
+def test_median_of_many(spark):
+    for n in (1, 2, 7, 10):
+        layer = spark.createDataFrame([(2 * i, 0, 0, float(i * 7919 % 101)) for i in range(n)], "x long, y long, z long, value double")
+        assert layers.aggregate(layer, layer).first()["median"] == statistics.median(i * 7919 % 101 for i in range(n))
+
+
+def test_numbered(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v")).repartition(7)
+    assert [r.place for r in topology.numbered(df, ["v"]).orderBy("v").collect()] == list(range(1, 1001))
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    assert {r.component for r in topology.components(edges).collect()} == {0}
+
+
+def test_no_path_and_limits(spark):
+    free = spark.createDataFrame([(0, 0, 0), (2, 0, 0), (4, 0, 0), (20, 0, 0)], "x long, y long, z long")
+    asked = spark.createDataFrame([(1, 0, 0, 0, 4, 0, 0), (2, 0, 0, 0, 20, 0, 0), (3, 2, 0, 0, 2, 0, 0)], "id long, x long, y long, z long, gx long, gy long, gz long")
+    found = {r.id: (r.status, r.cost, r.hops) for r in topology.find_paths(free, asked).collect()}
+    assert found == {1: ("ok", 4.0, 2), 2: ("NoPathFound", None, None), 3: ("ok", 0.0, 0)}
+    with pytest.raises(RuntimeError, match="limit"):
+        topology.find_paths(free, asked, max_steps=1)
+
+
+def test_measurements(spark):
+    rows = spark.createDataFrame([("depth", 2.0), ("occupancy", -1.0)], "kind string, confidence double")
+    assert [r.confidence for r in layers.measurements(rows).collect()] == [1.0, 0.0]
+    assert layers.dispatch(rows, "occupancy").count() == 1 and layers.dispatch(rows, "esdf").count() == 0
+    with pytest.raises(Exception, match="depths only"):
+        layers.dispatch(rows, "tsdf").collect()
+    with pytest.raises(Exception, match="no such"):
+        layers.measurements(rows.withColumn("kind", F.lit("smell"))).collect()
+    assert abs(layers.Occupancy.of_probabilities(0.7, 0.3).occupied - 0.8473) < 1e-4
+
+
+def test_layers_by_name(spark):
+    m = layers.LayeredMap()
+    layer = spark.createDataFrame([(0, 0, 0, 1.0)], "x long, y long, z long, value double")
+    m.add("a", layer)
+    with pytest.raises(ValueError):
+        m.add("a", layer)
+    with pytest.raises(KeyError):
+        m.update("b", lambda l: l)
+    m.clear()
+    assert m.layer_types() == [] and m.total_voxels() == 0
+
+
+def test_packed_containers_and_collections(spark):
+    for codec in ("none", "zstd", "lz4"):
+        assert files.container_frames(files.container_bytes([b"one", b"", b"three" * 99], codec)) == [b"one", b"", b"three" * 99]
+    features = spark.createDataFrame([(i, json.dumps({"type": "Feature", "id": i})) for i in range(3)], "id long, feature string")
+    text = "".join(r.line for r in files.feature_collection(features, "id").orderBy("order").collect())
+    assert len(json.loads(text)["features"]) == 3

@@ -9,12 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lattice import children, is_valid, neighbors, parent
+
 MORTON_BITS = 48
+#: Shifts and masks that spread 16 bits to every third place.
 _SPREAD = [(32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)]
 _LOW, _LEVELS = 0x249249249249, 0x6DB6DB6DB6DB
 INDEX, ROUTE, HILBERT = 2, 1, 3
 ROUTE_MIN, ROUTE_MAX = -(1 << 19), (1 << 19) - 1
-#: Flag bits of a cell.
+INT_MIN, INT_MAX = -(1 << 31), (1 << 31) - 1
+#: Flag bits of a cell.
 FLAGS = {"BLOCKED": 1, "NO_FLY": 2, "WATER": 4, "BOUNDARY": 8}
 
 
@@ -67,13 +71,104 @@ def _good(tier, frame, lod, *coords) -> Column:
     return good
 
 
-def index64(frame: Column, tier: Column, lod: Column, x: Column, y: Column, z: Column) -> Column:
-    """Null where a field is out of range. Parity isn't asked for."""
-    return F.when(_good(tier, frame, lod, x, y, z), _head(INDEX, tier, frame, lod).bitwiseOR(morton(x, y, z)))
+def index64(frame: Column, tier: Column, lod: Column, x: Column, y: Column, z: Column, strict: bool = False) -> Column:
+    """Null where a field is out of range, or an error if strict, as a batch is encoded whole or not at all. Parity isn't asked for."""
+    bad = F.raise_error("a field of a key is out of range").cast("long") if strict else F.lit(None).cast("long")
+    return F.when(_good(tier, frame, lod, x, y, z), index_of_code(frame, tier, lod, morton(x, y, z))).otherwise(bad)
+
+
+def index_of_code(frame: Column, tier: Column, lod: Column, m: Column) -> Column:
+    """Index64 of a Morton code whose fields are known to be good."""
+    return _head(INDEX, tier, frame, lod).bitwiseOR(m)
+
+
+def hilbert_of_code(frame: Column, tier: Column, lod: Column, m: Column) -> Column:
+    return _head(HILBERT, tier, frame, lod).bitwiseOR(gray(m))
+
+
+def index_valid(k: Column) -> Column:
+    """Whether a number is an Index64."""
+    return kind(k) == INDEX
+
+
+def index_to_route(k: Column) -> Column:
+    """Route64 of the same tier and coordinates; null where those are of mixed parity."""
+    return route64(tier(k), *morton_decode(code(k)))
+
+
+def index_neighbors(k: Column) -> Column:
+    """Keys of the neighbours within 16 bits, in their order; frame, tier and level stay."""
+    inside = lambda p: p["x"].between(0, 65535) & p["y"].between(0, 65535) & p["z"].between(0, 65535)
+    at = lambda k: F.struct(k.alias("k"), *[c.alias(n) for c, n in zip(morton_decode(code(k)), "xyz", strict=True)])
+
+    def around(c):
+        near = F.filter(neighbors(c["x"], c["y"], c["z"]), inside)
+        return F.transform(near, lambda p: index_of_code(frame(c["k"]), tier(c["k"]), lod(c["k"]), morton(p["x"], p["y"], p["z"])))
+
+    # Lambdas over arrays of one, so that a key is made and decoded once, not once a neighbour.
+    return F.transform(F.transform(F.array(k), at), around)[0]
+
+
+def route_neighbors(k: Column) -> Column:
+    """Keys of the neighbours within 20 bits, in their order."""
+    keys = F.transform(neighbors(*route_coords(k)), lambda p: route64(tier(k), p["x"], p["y"], p["z"]))
+    return F.filter(keys, lambda n: n.isNotNull())
+
+
+def galactic_neighbors(g: Column) -> Column:
+    """Keys of the neighbours within 32 bits, in their order, with all attributes."""
+    f = galactic_fields(g)
+    inside = lambda p: p["x"].between(INT_MIN, INT_MAX) & p["y"].between(INT_MIN, INT_MAX) & p["z"].between(INT_MIN, INT_MAX)
+    near = F.filter(neighbors(f["x"], f["y"], f["z"]), inside)
+    return F.transform(near, lambda p: galactic128(f["frame"], f["mant"], f["tier"], f["lod"], f["user"], p["x"], p["y"], p["z"]))
+
+
+def galactic_valid(g: Column) -> Column:
+    """Whether 128 bits are a key: the version is 1 and parity holds; all other fields take any value."""
+    f = galactic_fields(g)
+    return (f["version"] == 1) & is_valid(f["x"], f["y"], f["z"])
+
+
+def cell_neighbors(c: Column) -> Column:
+    """Neighbours of the same frame and resolution; exponent and flags are 0."""
+    f = cell_fields(c)
+    zero = F.lit(0)
+    return F.transform(neighbors(f["x"], f["y"], f["z"]), lambda p: cell_id(f["frame"], f["resolution"], zero, zero, p["x"], p["y"], p["z"]))
+
+
+_CELL = "struct<hi:bigint,lo:bigint>"
+
+
+def cell_parent(c: Column, strict: bool = False) -> Column:
+    """The lattice parent at one resolution less; exponent and flags are 0. Null at 0, or an error if strict."""
+    f = cell_fields(c)
+    zero = F.lit(0)
+    none = F.raise_error("a cell of resolution 0 has no parent").cast(_CELL) if strict else F.lit(None).cast(_CELL)
+    up = cell_id(f["frame"], f["resolution"] - 1, zero, zero, *parent(f["x"], f["y"], f["z"]))
+    return F.when(f["resolution"] > 0, up).otherwise(none)
+
+
+def cell_children(c: Column, strict: bool = False) -> Column:
+    """The eight lattice children at one resolution more; exponent and flags are 0. Null at 255, or an error if strict."""
+    f = cell_fields(c)
+    zero = F.lit(0)
+    none = F.raise_error("a cell of resolution 255 has no children").cast(f"array<{_CELL}>") if strict else F.lit(None).cast(f"array<{_CELL}>")
+    down = F.transform(children(f["x"], f["y"], f["z"]), lambda p: cell_id(f["frame"], f["resolution"] + 1, zero, zero, p["x"], p["y"], p["z"]))
+    return F.when(f["resolution"] < 255, down).otherwise(none)
+
+
+def display_galactic(g: Column) -> Column:
+    f = galactic_fields(g)
+    return F.format_string("G128(f=%d, t=%d:%d, lod=%d, %d,%d,%d)", *[f[n] for n in ("frame", "tier", "mant", "lod", "x", "y", "z")])
+
+
+def display_cell(c: Column) -> Column:
+    f = cell_fields(c)
+    return F.format_string("CellID(frame=%d, res=%d, x=%d, y=%d, z=%d)", *[f[n] for n in ("frame", "resolution", "x", "y", "z")])
 
 
 def hilbert64(frame: Column, tier: Column, lod: Column, x: Column, y: Column, z: Column) -> Column:
-    return F.when(_good(tier, frame, lod, x, y, z), _head(HILBERT, tier, frame, lod).bitwiseOR(gray(morton(x, y, z))))
+    return F.when(_good(tier, frame, lod, x, y, z), hilbert_of_code(frame, tier, lod, morton(x, y, z)))
 
 
 def tier(k: Column) -> Column:
@@ -128,8 +223,6 @@ def hilbert_children(k: Column) -> Column:
 
 def route64(tier_: Column, x: Column, y: Column, z: Column, checked: bool = True) -> Column:
     """Signed coordinates of 20 bits; null where out of range or, if checked, of mixed parity."""
-    from .lattice import is_valid
-
     packed = F.shiftleft(tier_.cast("long"), 60)
     for c, at in ((x, 40), (y, 20), (z, 0)):
         packed = packed.bitwiseOR(F.shiftleft(_and(c.cast("long"), (1 << 20) - 1), at))
@@ -144,15 +237,11 @@ def route_coords(k: Column) -> tuple[Column, Column, Column]:
 
 
 def route_valid(k: Column) -> Column:
-    from .lattice import is_valid
-
     return (kind(k) == ROUTE) & is_valid(*route_coords(k))
 
 
 def galactic128(frame_, mant, tier_, level, user, x, y, z) -> Column:
     """struct(hi, lo): mantissa 8, tier 2, level 6, frame 8, version 4 (1), user 4, x 32 | y 32, z 32; checked."""
-    from .lattice import is_valid
-
     hi = F.shiftleft(mant.cast("long"), 56).bitwiseOR(F.shiftleft(tier_.cast("long"), 54)).bitwiseOR(F.shiftleft(level.cast("long"), 48))
     hi = hi.bitwiseOR(F.shiftleft(frame_.cast("long"), 40)).bitwiseOR(F.lit(1 << 36).cast("long")).bitwiseOR(F.shiftleft(user.cast("long"), 32)).bitwiseOR(_and(x.cast("long"), 0xFFFFFFFF))
     lo = F.shiftleft(_and(y.cast("long"), 0xFFFFFFFF), 32).bitwiseOR(_and(z.cast("long"), 0xFFFFFFFF))

@@ -10,7 +10,7 @@ NEIGHBORS = [
     (1, 1, 1), (1, 1, -1), (1, -1, 1), (1, -1, -1), (-1, 1, 1), (-1, 1, -1), (-1, -1, 1), (-1, -1, -1),
     (2, 0, 0), (-2, 0, 0), (0, 2, 0), (0, -2, 0), (0, 0, 2), (0, 0, -2),
 ]
-#: Children of p are 2 p plus these.
+#: Children of p are 2 p plus these.
 CHILDREN = [(0, 0, 0), (2, 0, 0), (0, 2, 0), (0, 0, 2)] + [(1, y, z) for y in (1, -1) for z in (1, -1)]
 
 
@@ -26,6 +26,15 @@ def is_valid(x: Column, y: Column, z: Column) -> Column:
     return (odd(x) == odd(y)) & (odd(y) == odd(z))
 
 
+def scale(x: Column, y: Column, z: Column, by: int) -> tuple[Column, Column, Column]:
+    return x * by, y * by, z * by
+
+
+def half(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """Halves cut towards zero; they may be no lattice point, so that hierarchies use parent() instead."""
+    return tuple((c / 2).cast("long") for c in (x, y, z))
+
+
 def opposite(parity: Column) -> Column:
     return 1 - parity
 
@@ -64,7 +73,7 @@ def physical_to_voxel(x: Column, y: Column, z: Column, size: float) -> tuple[Col
     return snap(*(_round(c / size) for c in (x, y, z)))
 
 
-#: How far integer points are from what snap() gives, at most, as the mapping layers state it.
+#: Fixed value: how far integer points are from what snap() gives, at most, as the mapping layers state it.
 MAX_SNAP_ERROR = 0.75**0.5
 
 
@@ -89,6 +98,45 @@ def neighbors(x: Column, y: Column, z: Column) -> Column:
     return F.array(*[point(x + a, y + b, z + c) for a, b, c in NEIGHBORS])
 
 
+def linear_index(x: Column, y: Column, z: Column, extent: tuple[int, int, int]) -> Column:
+    """Row-major number of a cell in a box from 0 on; null outside."""
+    inside = F.lit(True)
+    for c, n in zip((x, y, z), extent, strict=True):
+        inside = inside & (c >= 0) & (c < n)
+    return F.when(inside, (x * extent[1] + y) * extent[2] + z)
+
+
+def from_linear_index(i: Column, extent: tuple[int, int, int]) -> tuple[Column, Column, Column]:
+    return F.floor(i / (extent[1] * extent[2])).cast("long"), F.floor(i / extent[2]).cast("long") % extent[1], i % extent[2]
+
+
+class Grid:
+    """Cells of a size in physical units: cells at points as Route64 of tier 0, and their centres."""
+
+    def __init__(self, size: float):
+        if not (size > 0 and size < float("inf")):
+            raise ValueError("a cell's size must be positive and finite")
+        self.size = float(size)
+
+    def lattice_at(self, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+        return physical_to_lattice(*[c / (self.size / 2) for c in (x, y, z)])
+
+    def cell_at(self, x: Column, y: Column, z: Column) -> Column:
+        from .ids import route64
+
+        return route64(F.lit(0), *self.lattice_at(x, y, z))
+
+    def center_of(self, route: Column) -> tuple[Column, Column, Column]:
+        from .ids import route_coords
+
+        return tuple(c * (self.size / 2) for c in route_coords(route))
+
+    def distance(self, a: Column, b: Column) -> Column:
+        from .ids import route_coords
+
+        return euclid(*[p - q for p, q in zip(route_coords(a), route_coords(b), strict=True)]) * (self.size / 2)
+
+
 def _by_size(dx: Column, dy: Column, dz: Column) -> tuple[Column, Column, Column]:
     size = [F.abs(d) for d in (dx, dy, dz)]
     most, least = F.greatest(*size), F.least(*size)

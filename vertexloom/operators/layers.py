@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lattice
-from .topology import XYZ, explode_neighbors, with_neighbor_values
+from .topology import XYZ, explode_neighbors, numbered, with_neighbor_values
 
 
 @dataclass(frozen=True)
 class Occupancy:
-    """Thresholds on log-odds and their clamps; clamp_p: whether probabilities are kept within [0.001, 0.999]."""
+    """Thresholds on log-odds and their clamps, fixed values by default; clamp_p: whether probabilities are kept within [0.001, 0.999]."""
 
     occupied: float = 0.85
     free: float = -0.85
@@ -27,13 +27,24 @@ class Occupancy:
     clamp_p: bool = True
 
 
+    @classmethod
+    def of_probabilities(cls, occupied: float, free: float, **more) -> Occupancy:
+        """Thresholds from probabilities."""
+        import math
+
+        at = lambda p: math.log(max(0.001, min(0.999, p)) / (1 - max(0.001, min(0.999, p))))
+        return cls(at(occupied), at(free), **more)
+
+
 PLAIN = Occupancy()
+#: Fixed values of the decaying layer and of the layer in blocks.
 TEMPORAL = Occupancy(0.847, -1.099, -3.466, 3.466, False)
 BLOCKS = Occupancy(0.847, -1.099, -3.466, 3.466, False)
 
 
-def log_odds(p: Column) -> Column:
-    p = F.greatest(F.lit(0.001), F.least(F.lit(0.999), p))
+def log_odds(p: Column, clamp_p: bool = True) -> Column:
+    if clamp_p:
+        p = F.greatest(F.lit(0.001), F.least(F.lit(0.999), p))
     return F.ln(p / (1 - p))
 
 
@@ -47,7 +58,7 @@ def state(l: Column, conf: Occupancy = PLAIN) -> Column:
 
 def occupancy(rows: DataFrame, conf: Occupancy = PLAIN, segment: str = "86400 seconds") -> DataFrame:
     """rows (x, y, z, ts, seq, occupied, confidence) to x, y, z, l, n."""
-    d = log_odds(F.col("confidence"))
+    d = log_odds(F.col("confidence"), conf.clamp_p)
     rows = rows.select(*XYZ, "ts", "seq", F.when(F.col("occupied"), d).otherwise(-d).alias("d"), F.window("ts", segment)["start"].alias("segment"))
     clamp = lambda v: F.greatest(F.lit(conf.low), F.least(F.lit(conf.high), v))
     start = F.struct(F.lit(0.0).alias("a"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
@@ -110,6 +121,86 @@ def prune_stale(layer: DataFrame, as_of: Column, max_age: float) -> DataFrame:
     return layer.filter(as_of - F.col("last") < max_age)
 
 
+def temporal_stats(layer: DataFrame, as_of: Column, rate: float, max_age: float, conf: Occupancy = TEMPORAL) -> DataFrame:
+    """Counts by decayed state, whatever the age, and of stale voxels. Nothing tracks motion, so that no voxel is dynamic."""
+    age = as_of - F.col("last")
+    s = state(F.col("l") * F.exp(-rate * age), conf)
+    return layer.agg(
+        F.count("*").alias("total"), F.count_if(s == "Occupied").alias("occupied"), F.count_if(s == "Free").alias("free"), F.count_if(s == "Unknown").alias("unknown"),
+        F.lit(0).cast("long").alias("dynamic"), F.count_if(age > max_age).alias("stale"),
+    )
+
+
+def temporal_rays(rays: DataFrame, size: float, p_free: float, p_occupied: float, most: int = 1000) -> DataFrame:
+    """rays (ray, sx .. sz, ex .. ez) to measurements, as the decaying layer takes them: floor voxels, one step for each voxel on the
+    longest axis up to ``most``, rounded, without a move to the lattice; the end is occupied. Cells outside of 16 bits are left out."""
+    a, b = ([F.floor(F.col(f"{e}{c}") / size).cast("long") for c in XYZ] for e in "se")
+    rays = rays.select("ray", *[v.alias(f"a{c}") for v, c in zip(a, XYZ, strict=True)], *[v.alias(f"b{c}") for v, c in zip(b, XYZ, strict=True)])
+    n = F.least(lattice.chebyshev(*[F.col(f"b{c}") - F.col(f"a{c}") for c in XYZ]), F.lit(most))
+    steps = rays.select("*", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("step"))
+    on = F.col("step") < F.col("n")
+    at = [F.when(on, F.round(F.col(f"a{c}") + F.col("step") / F.col("n") * (F.col(f"b{c}") - F.col(f"a{c}")))).otherwise(F.col(f"b{c}")).cast("long").alias(c) for c in XYZ]
+    out = steps.select("ray", "step", *at, (~on).alias("occupied"), F.when(on, p_free).otherwise(p_occupied).alias("confidence"))
+    for c in XYZ:
+        out = out.filter(F.col(c).between(0, 65535))
+    return out
+
+
+def block_occupancy(rows: DataFrame, size: int = 8) -> DataFrame:
+    """The layer in dense blocks, by its own rules: logits as they are, its clamps and thresholds (BLOCKS)."""
+    return blocks(occupancy(rows, BLOCKS), size)
+
+
+def block_state(l: Column) -> Column:
+    return state(l, BLOCKS)
+
+
+def block_runs(held: DataFrame) -> DataFrame:
+    """bx, by, bz and runs: (value, length) of equal values one after another."""
+    zero = F.array().cast("array<struct<value:double,length:int>>")
+
+    def step(out, v):
+        last = F.element_at(out, -1)
+        same = (F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["value"] == v)
+        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["value"].alias("value"), (last["length"] + 1).alias("length"))))
+        return F.when(same, longer).otherwise(F.concat(out, F.array(F.struct(v.alias("value"), F.lit(1).alias("length")))))
+
+    return held.select("bx", "by", "bz", F.aggregate("values", zero, step).alias("runs"))
+
+
+def unrun_blocks(runs: DataFrame) -> DataFrame:
+    return runs.select("bx", "by", "bz", F.flatten(F.transform("runs", lambda r: F.array_repeat(r["value"], r["length"]))).alias("values"))
+
+
+def compression_stats(held: DataFrame) -> DataFrame:
+    """Blocks as runs of eight bytes against four bytes a value: bytes, ratio (1 without blocks) and megabytes saved."""
+    v = F.col("values")
+    turns = F.size(F.filter(F.sequence(F.lit(1), F.size(v) - 1), lambda i: F.get(v, i) != F.get(v, i - 1))) + 1
+    sums = held.select((turns * 8).cast("long").alias("packed"), (F.size(v) * 4).cast("long").alias("full"))
+    sums = sums.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("packed"), F.lit(0)).alias("packed"), F.coalesce(F.sum("full"), F.lit(0)).alias("full"))
+    ratio = F.when(F.col("packed") == 0, 1.0).otherwise(F.col("full") / F.col("packed"))
+    return sums.select("*", ratio.alias("ratio"), ((F.col("full") - F.col("packed")) / 1048576.0).alias("saved_mb"))
+
+
+def measurements(rows: DataFrame) -> DataFrame:
+    """Measurements (kind: depth, occupancy, color or intensity; confidence; ...) with the confidence within [0, 1]."""
+    known = F.col("kind").isin("depth", "occupancy", "color", "intensity")
+    rows = rows.withColumn("kind", F.when(known, F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("no such measurement: "), F.coalesce("kind", F.lit("null"))))))
+    return rows.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))))
+
+
+def dispatch(rows: DataFrame, layer: str) -> DataFrame:
+    """Which measurements a layer takes: occupancy leaves all others, tsdf raises on them, esdf takes none."""
+    if layer == "occupancy":
+        return rows.filter("kind = 'occupancy'")
+    if layer == "tsdf":
+        depth = F.when(F.col("kind") == "depth", F.col("kind")).otherwise(F.raise_error("a distance layer takes depths only"))
+        return rows.withColumn("kind", depth)
+    if layer == "esdf":
+        return rows.limit(0)
+    raise ValueError(f"no layer {layer}")
+
+
 def blocks(layer: DataFrame, size: int = 8) -> DataFrame:
     """Dense blocks: bx, by, bz and size**3 values, x fastest; cells without evidence are 0."""
     at = (F.col("x") % size + F.col("y") % size * size + F.col("z") % size * size * size).cast("int")
@@ -130,22 +221,47 @@ def decode_runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.select(*keys, "run", F.posexplode(F.array_repeat(F.col(value), F.col("length").cast("int"))).alias("pos", value))
 
 
+def _no_nan(value: str) -> Column:
+    return F.when(F.isnan(value), F.raise_error("NaN in layer").cast("double")).otherwise(F.col(value))
+
+
 def aggregate(cells: DataFrame, layer: DataFrame, value: str = "value") -> DataFrame:
     """Count, sum, mean, min, max and median of the layer's values at cells; repeated cells count again, missing ones don't.
-    NaN raises, but for the count."""
-    good = F.when(F.isnan(value), F.raise_error("NaN in layer").cast("double")).otherwise(F.col(value))
-    return cells.select(*XYZ).join(layer, XYZ).agg(
-        F.count("*").cast("double").alias("count"), F.sum(good).alias("sum"), F.avg(good).alias("mean"), F.min(good).alias("min"), F.max(good).alias("max"), F.percentile(good, 0.5).alias("median"),
-    )
+    NaN raises, but for the count; so does a set of cells of which none is there.
+
+    The median comes from a sort by ranges: its middle rows are the only ones that meet.
+    """
+    good = _no_nan(value)
+    held = cells.select(*XYZ).join(layer, XYZ).select(value)
+    some = F.when(F.count("*") > 0, F.count("*")).otherwise(F.raise_error("no cells to aggregate").cast("long"))
+    out = held.agg(some.cast("double").alias("count"), F.sum(good).alias("sum"), F.avg(good).alias("mean"), F.min(good).alias("min"), F.max(good).alias("max"))
+    ranked = numbered(held.filter(F.col(value).isNotNull()), [value])
+    n = ranked.agg(F.max("place").alias("n"))
+    middle = ranked.join(F.broadcast(n), F.col("place").isin(F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)))
+    return out.crossJoin(F.broadcast(middle.agg(F.avg(value).alias("median"))))  # one row
 
 
 def rollup(layer: DataFrame, value: str = "value", levels: int = 1) -> DataFrame:
-    """Values by lattice parent, ``levels`` up."""
+    """Values by lattice parent, ``levels`` up. NaN raises, but for the count. With a column resolution, cells that reach 0 before
+    their last step drop out, and the others' is less by ``levels``."""
+    graded = "resolution" in layer.columns
+    keys = [*XYZ, "resolution"] if graded else XYZ
     for _ in range(levels):
         p = lattice.parent(F.col("x"), F.col("y"), F.col("z"))
+        if graded:
+            layer = layer.filter("resolution > 0").withColumn("resolution", F.col("resolution") - 1)
         layer = layer.select(*[c.alias(n) for c, n in zip(p, XYZ, strict=True)], *[c for c in layer.columns if c not in XYZ])
-    v = F.col(value)
-    return layer.groupBy(*XYZ).agg(F.count("*").alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, 0.5).alias("median"))
+    v = _no_nan(value)
+    return layer.groupBy(*keys).agg(F.count("*").alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, 0.5).alias("median"))
+
+
+def get(layer: DataFrame, cells: DataFrame) -> DataFrame:
+    """A layer's values at cells, null where there are none, and whether the cell is there."""
+    return cells.select(*XYZ).join(layer.withColumn("there", F.lit(True)), XYZ, "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
+def remove(layer: DataFrame, cells: DataFrame) -> DataFrame:
+    return layer.join(cells.select(*XYZ).distinct(), XYZ, "left_anti")
 
 
 def upsert(layer: DataFrame, order: str, value: str = "value") -> DataFrame:
@@ -221,6 +337,29 @@ def mesh_vertices(layer: DataFrame, size: float) -> DataFrame:
     return e.select(*XYZ, "nx", "ny", "nz", *at)
 
 
+def with_normals(vertices: DataFrame, layer: DataFrame, size: float) -> DataFrame:
+    """Adds gx, gy, gz: the normal at the edge's first voxel, null where the field is flat."""
+    return vertices.join(gradient(layer.filter("w > 0"), scale=size), XYZ, "left")
+
+
+def numbered_mesh(vertices: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices with vid, from 0 in the order of their edges, and triangles as tid and three of these."""
+    names = [*XYZ, "nx", "ny", "nz"]
+    v = numbered(vertices, names, "vid").withColumn("vid", F.col("vid") - 1)
+    ids = v.select(F.struct(*names).alias("e"), "vid")
+    out = triangles
+    for n in "abc":
+        out = out.join(ids.select(F.col("e").alias(n), F.col("vid").alias(f"v{n}")), n).drop(n)
+    out = numbered(out.select(*[F.col(f"v{n}").alias(n) for n in "abc"]), ["a", "b", "c"], "tid")
+    return v, out.withColumn("tid", F.col("tid") - 1)
+
+
+def mesh_stats(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
+    """Counts, area and box of a mesh."""
+    box = [f(f"v{c}").alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in XYZ]
+    return vertices.agg(F.count("*").alias("vertices"), *box).crossJoin(surface_area(triangles, vertices))  # one row each
+
+
 def mesh_triangles(vertices: DataFrame) -> DataFrame:
     """All triples of crossing edges at a voxel, once each: a, b, c (edges as structs, ascending)."""
     edge = F.struct(*[F.col(c) for c in (*XYZ, "nx", "ny", "nz")])
@@ -282,6 +421,15 @@ def esdf(layer: DataFrame, size: float, max_distance: float, threshold: float) -
     return best.join(domain, XYZ, "left_semi").select(*XYZ, value.alias("distance"))
 
 
+def within_distance(field: DataFrame, threshold: float) -> DataFrame:
+    return field.filter(F.abs("distance") <= threshold)
+
+
+def is_free_space(distance: Column, threshold: float) -> Column:
+    """Whether a voxel is further outside than threshold; one that isn't in the field isn't."""
+    return F.coalesce(distance > threshold, F.lit(False))
+
+
 def esdf_stats(layer: DataFrame) -> DataFrame:
     return layer.agg(F.count("*").alias("total"), F.count_if(F.col("distance") < 0).alias("inside"), F.count_if(F.col("distance") >= 0).alias("outside"), F.min("distance").alias("least"), F.max("distance").alias("most"))
 
@@ -295,7 +443,7 @@ def frontier_voxels(layer: DataFrame, conf: Occupancy = PLAIN) -> DataFrame:
 
 
 def frontiers(layer: DataFrame, min_size: int = 5, conf: Occupancy = PLAIN, size: float = 1.0) -> DataFrame:
-    """Clusters of frontier voxels that touch: cluster, n, cx, cy, cz, low and high corners."""
+    """Clusters of frontier voxels that touch: cluster, n, cx, cy, cz, low and high corners, and area (of one face a voxel)."""
     from ..functions.ids import morton
     from .topology import components, shared
 
@@ -303,7 +451,7 @@ def frontiers(layer: DataFrame, min_size: int = 5, conf: Occupancy = PLAIN, size
     links = with_neighbor_values(cells, "key").filter("key < n_value").select(F.col("key").alias("a"), F.col("n_value").alias("b"))
     named = cells.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("cluster", F.coalesce("component", "key"))
     parts = [f(F.col(c) * size).alias(f"{n}{c}") for n, f in (("c", F.avg), ("low_", F.min), ("high_", F.max)) for c in XYZ]
-    return named.groupBy("cluster").agg(F.count("*").alias("n"), *parts).filter(F.col("n") >= min_size)
+    return named.groupBy("cluster").agg(F.count("*").alias("n"), *parts, (F.count("*") * (size * size)).alias("area")).filter(F.col("n") >= min_size)
 
 
 def view_directions(fov: float, step: float) -> list[tuple[float, float]]:
@@ -330,7 +478,7 @@ def information_gain(views: DataFrame, layer: DataFrame, size: float = 1.0, reac
     return views.select("view").join(seen, "view", "left").select("view", F.coalesce("gain", F.lit(0.0)).alias("gain"))
 
 
-def viewpoints(clusters: DataFrame, top: int | None = None) -> DataFrame:
+def viewpoints(clusters: DataFrame) -> DataFrame:
     """24 poses around each cluster (radii 1, 2, 3; 8 angles) that look at its centroid: view, cluster, px .. pz, dx .. dz."""
     poses = F.array(*[F.struct(F.lit(float(r)).alias("r"), F.lit(a * 0.7853981633974483).alias("a"), F.lit(r * 8 + a).alias("i")) for r in (1, 2, 3) for a in range(8)])
     v = clusters.select("cluster", "cx", "cy", "cz", F.explode(poses).alias("o"))
@@ -349,6 +497,18 @@ class LayeredMap:
             raise ValueError(f"{name} is there")
         self.layers[name] = layer
 
+    def update(self, name: str, change) -> None:
+        """Replaces a layer by what change makes of it; a layer that isn't there raises."""
+        if name not in self.layers:
+            raise KeyError(name)
+        self.layers[name] = change(self.layers[name])
+
+    def layer_types(self) -> list[str]:
+        return sorted(self.layers)
+
+    def clear(self) -> None:
+        self.layers.clear()
+
     def remove(self, name: str) -> DataFrame | None:
         return self.layers.pop(name, None)
 

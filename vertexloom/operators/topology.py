@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, lattice
@@ -17,18 +18,36 @@ def _c(*names):
 
 
 def shared(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage with a table in the folder that spark.checkpoint.dir names, or else in one of this machine."""
+    """Cut lineage with a table in the folder that spark.checkpoint.dir names; one of this machine only where all work runs in this process."""
+    return df.sparkSession.read.schema(df.schema).parquet(shared_path(df, label))
+
+
+def shared_path(df: DataFrame, label: str) -> str:
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    conf = spark.sparkContext.getConf()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not folder:
         import tempfile
 
+        if conf.get("spark.master", "").split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.gettempdir()
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def numbered(df: DataFrame, order: list, name: str = "place") -> DataFrame:
+    """Rows numbered from 1 in a total order: a sort by ranges, and the counts of the ranges before, so that no task has all rows."""
+    rows = shared(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33)
+    counts = rows.groupBy(part.alias("__part")).count()
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    counts = counts.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    out = rows.join(F.broadcast(counts), part == F.col("__part"))
+    return out.withColumn(name, F.col("__before") + F.expr("__at & 8589934591") + 1).drop("__at", "__part", "__before")
 
 
 def explode_neighbors(df: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -80,48 +99,121 @@ def trace_lines(df: DataFrame, start: list, end: list) -> DataFrame:
     return df.withColumn("line", line).drop("__steps", "__every", "__pairs", *[f"__{c}{i}" for c in "se" for i in range(3)])
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of edges (a, b): least labels spread with pointer jumping until nothing changes."""
     both = shared(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = shared(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         moved = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         jump = moved.select(F.col("node").alias("component"), F.col("component").alias("far"))
         moved = shared(moved.join(jump, "component", "left").select("node", F.least("component", F.coalesce("far", "component")).alias("component"), "was"), "labels")
         labels = moved.select("node", "component")
         if moved.filter("component <> was").isEmpty():
-            break
-    return labels
+            return labels
 
 
-def shortest_paths(free: DataFrame, starts: DataFrame, max_steps: int = 10_000) -> DataFrame:
+def euclidean(cells: dict[str, Column], near: dict[str, Column]) -> Column:
+    """The plain cost of a step."""
+    return lattice.euclid(*[near[c] - cells[c] for c in XYZ])
+
+
+def shortest_paths(free: DataFrame, starts: DataFrame, max_steps: int = 10_000, cost: Callable | None = None, goals: DataFrame | None = None) -> DataFrame:
     """Least cost over edges between free cells from each start (id, x, y, z): id, x, y, z, cost, px, py, pz (the cell
     before). Frontiers relax level by level; a cell re-enters while it gets cheaper, so obstacles need no ordering.
-    A start needn't be free. Reaching max_steps raises."""
+    A start needn't be free. cost: from two dicts of coordinates, and the neighbour's columns in free, to a Column; null or infinite
+    is no way. goals (id, x, y, z): cells that can't be on a cheaper way to the goal, by the straight distance, are left;
+    use them only where no step costs less than its length. Reaching max_steps raises."""
     zero = F.lit(0.0)
     none = [F.lit(None).cast("long").alias(n) for n in ("px", "py", "pz")]
-    best = shared(starts.select("id", *XYZ, zero.alias("cost"), *none), "paths")
-    frontier = best
+    # Each level adds its own rows; what a cell costs so far is the least of them.
+    first = starts.select("id", *XYZ, zero.alias("cost"), *none)
+    levels = [shared_path(first, "paths")]
+    read = lambda paths: starts.sparkSession.read.schema(first.schema).parquet(*paths)
+    frontier = read(levels)
+    others = [c for c in free.columns if c not in XYZ] if cost else []
+    held = shared(free.select(*XYZ, *others).dropDuplicates(XYZ), "free")
     for _ in range(max_steps):
-        step = F.when(F.col("slot") < 8, 3.0**0.5).otherwise(2.0)
-        reached = explode_neighbors(frontier.select("id", *XYZ, "cost")).select("id", F.col("nx"), F.col("ny"), F.col("nz"), (F.col("cost") + step).alias("cost"), *[F.col(c).alias(f"p{c}") for c in XYZ])
-        reached = reached.select("id", *[F.col(f"n{c}").alias(c) for c in XYZ], "cost", "px", "py", "pz").join(free.select(*XYZ).distinct(), XYZ, "left_semi")
+        reached = explode_neighbors(frontier.select("id", *[F.col(c) for c in XYZ], "cost"))
+        reached = reached.select("id", F.col("cost").alias("so_far"), *[F.col(c).alias(f"p{c}") for c in XYZ], *[F.col(f"n{c}").alias(c) for c in XYZ]).join(held, XYZ)
+        step = (cost or euclidean)({c: F.col(f"p{c}") for c in XYZ}, {c: F.col(c) for c in XYZ})
+        reached = reached.select("id", *XYZ, (F.col("so_far") + step).alias("cost"), "px", "py", "pz").filter("cost < double('infinity')")
         reached = reached.groupBy("id", *XYZ).agg(F.min(F.struct("cost", "px", "py", "pz")).alias("w")).select("id", *XYZ, "w.*")
-        old = best.select("id", *XYZ, F.col("cost").alias("old"))
+        old = read(levels).groupBy("id", *XYZ).agg(F.min("cost").alias("old"))
         frontier = reached.join(old, ["id", *XYZ], "left").filter(F.col("old").isNull() | (F.col("cost") < F.col("old") - 1e-9)).drop("old")
-        frontier = shared(frontier, "frontier")
+        if goals is not None:
+            g = goals.select("id", *[F.col(c).alias(f"g{c}") for c in XYZ])
+            ends = g.join(old.select(F.col("id").alias("i"), *[F.col(c).alias(f"b{c}") for c in XYZ], F.col("old").alias("most")), (F.col("id") == F.col("i")) & (F.col("gx") == F.col("bx")) & (F.col("gy") == F.col("by")) & (F.col("gz") == F.col("bz")), "left")
+            frontier = frontier.join(ends.select("id", "gx", "gy", "gz", "most"), "id")
+            left = lattice.euclid(*[F.col(f"g{c}") - F.col(c) for c in XYZ])
+            frontier = frontier.filter(F.col("most").isNull() | (F.col("cost") + left < F.col("most") + 1e-9)).select(*reached.columns)
+        path = shared_path(frontier.select(*first.columns), "paths")
+        frontier = read([path])
+        if frontier.isEmpty():
+            least = F.min(F.struct("cost", "px", "py", "pz")).alias("w")
+            return shared(read(levels).groupBy("id", *XYZ).agg(least).select("id", *XYZ, "w.*"), "paths")
+        levels.append(path)
+    raise RuntimeError("search limit exceeded")
+
+
+def find_paths(free: DataFrame, asked: DataFrame, max_steps: int = 10_000, cost: Callable | None = None) -> DataFrame:
+    """asked (id, x, y, z, gx, gy, gz) to id, status (ok or NoPathFound), cost, hops and path: cells from start to goal.
+
+    Predecessors are followed back from all goals at once, a step a round. A start that is the goal is a path of cost 0.
+    """
+    goals = asked.select("id", *[F.col(f"g{c}").alias(c) for c in XYZ])
+    best = shortest_paths(free, asked.select("id", *XYZ), max_steps, cost, goals)
+    at = lambda *names: F.struct(*[F.col(n).cast("long").alias(c) for n, c in zip(names, XYZ, strict=True)])
+    ends = shared(goals.join(best, ["id", *XYZ]).select("id", "cost", F.array(at(*XYZ)).alias("path"), "px", "py", "pz"), "ends")
+    done = ends.filter("px is null")
+    back = best.select("id", F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("pz").alias("qz"), *XYZ)
+    while not (ends := ends.filter("px is not null")).isEmpty():
+        longer = ends.select("id", "cost", F.concat(F.array(at("px", "py", "pz")), "path").alias("path"), F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"))
+        ends = shared(longer.join(back, ["id", *XYZ]).select("id", "cost", "path", F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("qz").alias("pz")), "ends")
+        done = done.unionByName(ends.filter("px is null"))
+    found = done.select("id", "cost", (F.size("path") - 1).alias("hops"), "path")
+    return asked.select("id").join(found, "id", "left").select("id", F.when(F.col("path").isNull(), "NoPathFound").otherwise("ok").alias("status"), "cost", "hops", "path")
+
+
+def path_is_valid(path: Column) -> Column:
+    """Whether each cell of a path is a neighbour of the one before."""
+    steps = F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda i: lattice.hops(*[F.element_at(path, i + 1)[c] - F.element_at(path, i)[c] for c in XYZ]) == 1)
+    return F.when(F.size(path) > 1, F.forall(steps, lambda ok: ok)).otherwise(F.lit(True))
+
+
+def bfs_levels(edges: DataFrame, starts: DataFrame, max_steps: int = 10_000) -> DataFrame:
+    """edges (a, b), both ways; starts (node): node and hops from the nearest start. Reaching max_steps raises."""
+    both = shared(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    seen = frontier = shared(starts.select("node", F.lit(0).alias("hops")).distinct(), "levels")
+    for k in range(1, max_steps + 1):
+        near = both.join(frontier.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
+        frontier = shared(near.join(seen, "node", "left_anti").select("node", F.lit(k).alias("hops")), "level")
         if frontier.isEmpty():
-            return best
-        keep = best.join(frontier.select("id", *XYZ), ["id", *XYZ], "left_anti")
-        best = shared(keep.unionByName(frontier), "paths")
+            return seen
+        seen = seen.unionByName(frontier)  # files only, one a level
     raise RuntimeError("search limit exceeded")
 
 
+def furthest_corner(cells: DataFrame, points: DataFrame, extent: tuple[int, int, int]) -> DataFrame:
+    """points (id, x, y, z) to id and sx, sy, sz: the cell nearest to the corner of the box that is furthest from the point.
+
+    Of equal corners the first counts (x, then y, then z; 0 first), of equal cells the least. Eight corners ask, not all points.
+    """
+    corners = [tuple((n - 1) * (i >> k & 1) for n, k in zip(extent, (2, 1, 0), strict=True)) for i in range(8)]
+    far = [lattice.euclid_squared(*[F.col(c) - F.lit(v) for c, v in zip(XYZ, corner, strict=True)]) for corner in corners]
+    which = F.array_position(F.array(*far), F.greatest(*far)) - 1
+    eight = cells.sparkSession.createDataFrame([(i, *map(int, c)) for i, c in enumerate(corners)], "corner long, kx long, ky long, kz long")
+    near = cells.select(*XYZ).crossJoin(F.broadcast(eight))  # eight rows
+    d = lattice.euclid_squared(*[F.col(c) - F.col(f"k{c}") for c in XYZ])
+    near = near.groupBy("corner").agg(F.min(F.struct(d.alias("d"), *XYZ)).alias("s")).select("corner", *[F.col(f"s.{c}").alias(f"s{c}") for c in XYZ])
+    return points.select("id", which.alias("corner")).join(F.broadcast(near), "corner").drop("corner")
+
+
 def spanning_tree(edges: DataFrame, seed: int = 0) -> DataFrame:
     """A spanning forest of edges (a, b) with hashed weights, by Borůvka's rounds: the same for the same seed."""
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    edges = shared(edges.select(low.alias("a"), high.alias("b")).filter("a <> b").distinct().withColumn("w", F.struct(F.xxhash64("a", "b", F.lit(seed)).alias("h"), "a", "b")), "edges")
+    weight = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "a", "b")), 1, 15), 16, 10).cast("long").alias("h")  # the same in any engine
+    edges = shared(edges.select(low.alias("a"), high.alias("b")).filter("a <> b").distinct().withColumn("w", F.struct(weight, "a", "b")), "edges")
     tree, open_edges = None, edges.select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb"))
     while True:
         ends = open_edges.select(F.col("ca").alias("c"), "w").unionByName(open_edges.select(F.col("cb").alias("c"), "w"))
@@ -137,7 +229,8 @@ def spanning_tree(edges: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def bounding_box(df: DataFrame, low: tuple, high: tuple, morton_column: str | None = None) -> DataFrame:
-    """Rows within [low, high]; with a Morton column, its range also prunes row groups of sorted files."""
+    """Rows within [low, high]. A Morton column that is stored, and sorted by, prunes row groups by its range; one that is only
+    computed costs more than it saves, so leave it out then."""
     out = df
     for c, a, b in zip(XYZ, low, high, strict=True):
         out = out.filter(F.col(c).between(a, b))

@@ -116,21 +116,30 @@ def parity(spark, sf_dir):
     return rows.select("id", *XYZ, lattice.is_valid(x, y, z).alias("valid"), lattice.odd(x).alias("parity"), lattice.opposite(lattice.odd(x)).alias("opposite"), (x * 2).alias("sx"), x.cast("double").alias("fx"))
 
 
+def _morton_cells(spark, sf_dir):
+    """Distinct points first, then a code for each."""
+    return tables.cells(spark, sf_dir).select(*XYZ).distinct().withColumn("m", ids.morton(*col(*XYZ)))
+
+
+def _distinct_keys(spark, sf_dir):
+    zero = F.lit(0)
+    return _morton_cells(spark, sf_dir).select(*XYZ, ids.index_of_code(zero, zero, F.lit(5), F.col("m")).alias("cell"))
+
+
 @query(f"SELECT DISTINCT x, y, z, m, g, {_MIN} + ({_LEVEL5} | m) AS cell, (-4611686018427387904)::BIGINT + ({_LEVEL5} | g) AS hilbert FROM (SELECT *, {_GRAY} AS g FROM (SELECT x, y, z, {_morton()} AS m FROM ({CELLS})))")
 def curve_keys(spark, sf_dir):
-    x, y, z = col(*XYZ)
-    m = ids.morton(x, y, z)
-    zero, five = F.lit(0), F.lit(5)
-    return tables.cells(spark, sf_dir).select(*XYZ).distinct().select(*XYZ, m.alias("m"), ids.gray(m).alias("g"), ids.index64(zero, zero, five, x, y, z).alias("cell"), ids.hilbert64(zero, zero, five, x, y, z).alias("hilbert"))
+    zero, five, m = F.lit(0), F.lit(5), F.col("m")
+    cells = _morton_cells(spark, sf_dir)
+    return cells.select(*XYZ, "m", ids.gray(m).alias("g"), ids.index_of_code(zero, zero, five, m).alias("cell"), ids.hilbert_of_code(zero, zero, five, m).alias("hilbert"))
 
 
-@query(f"SELECT DISTINCT x, y, z, x AS mx, y AS my, z AS mz, x AS hx, 0::BIGINT AS frame, 0::BIGINT AS tier, 5::BIGINT AS lod, 2::BIGINT AS kind, true AS same FROM ({CELLS})")
+@query(f"SELECT DISTINCT x, y, z, x AS mx, y AS my, z AS mz, x AS hx, y AS hy, z AS hz, 0::BIGINT AS frame, 0::BIGINT AS tier, 5::BIGINT AS lod, 2::BIGINT AS kind, true AS same FROM ({CELLS})")
 def curve_round_trip(spark, sf_dir):
-    keys = tables.cell_keys(spark, sf_dir).select(*XYZ, "cell").distinct()
+    keys = _distinct_keys(spark, sf_dir)
     k = F.col("cell")
     mx, my, mz = ids.morton_decode(ids.code(k))
     h = ids.index_to_hilbert(k)
-    return keys.select(*XYZ, mx.alias("mx"), my.alias("my"), mz.alias("mz"), ids.morton_decode(ids.gray_decode(ids.code(h)))[0].alias("hx"), ids.frame(k).alias("frame"), ids.tier(k).alias("tier"), ids.lod(k).alias("lod"), ids.kind(k).alias("kind"), (ids.hilbert_to_index(h) == k).alias("same"))
+    return keys.select(*XYZ, mx.alias("mx"), my.alias("my"), mz.alias("mz"), *[c.alias(f"h{n}") for c, n in zip(ids.morton_decode(ids.gray_decode(ids.code(h))), XYZ, strict=True)], ids.frame(k).alias("frame"), ids.tier(k).alias("tier"), ids.lod(k).alias("lod"), ids.kind(k).alias("kind"), (ids.hilbert_to_index(h) == k).alias("same"))
 
 
 @query(f"SELECT id, (4611686018427387904 + ((x & 1048575) << 40) + ((y & 1048575) << 20) + (z & 1048575))::BIGINT AS route, x AS rx, y AS ry, z AS rz, true AS valid, 'R64(t=0,x=' || x || ',y=' || y || ',z=' || z || ')' AS shown FROM ({SIGNED})")
@@ -153,10 +162,8 @@ def cell_id_order(spark, sf_dir):
     lit = F.lit
     rows = tables.signed_cells(spark, sf_dir).withColumn("c", ids.cell_id(lit(0), lit(2), lit(0), lit(5), *col(*XYZ)))
     f = ids.cell_fields(F.col("c"))
-    from pyspark.sql import Window
-
-    order = Window.orderBy(ids.unsigned_order(F.col("c.hi")), ids.unsigned_order(F.col("c.lo")), "id")
-    return rows.select("id", *[f[c].alias(f"c{c}") for c in XYZ], f["resolution"].alias("resolution"), f["flags"].alias("flags"), F.row_number().over(order).alias("place"))
+    rows = topology.numbered(rows, [ids.unsigned_order(F.col("c.hi")), ids.unsigned_order(F.col("c.lo")), "id"])
+    return rows.select("id", *[f[c].alias(f"c{c}") for c in XYZ], f["resolution"].alias("resolution"), f["flags"].alias("flags"), F.col("place").cast("int"))
 
 
 @query("SELECT id, flags, (flags & 1) <> 0 AS blocked, (flags | 4) AS with_water, (flags & ~8) AS without_boundary FROM (SELECT c_custkey AS id, (c_custkey % 16)::INT AS flags FROM customer)")
@@ -190,7 +197,7 @@ for _i, _g in enumerate(text.GENERATOR):
 )
 def key_texts(spark, sf_dir):
     """Checksummed text of keys, and back."""
-    keys = tables.cell_keys(spark, sf_dir).select("cell").distinct().withColumn("shown", text.key_text(text.PREFIXES["index"], F.col("cell")))
+    keys = _distinct_keys(spark, sf_dir).select("cell").withColumn("shown", text.key_text(text.PREFIXES["index"], F.col("cell")))
     back = F.conv(F.hex(text.bech32m_decode(text.PREFIXES["index"], F.col("shown"), 8)), 16, -10).cast("long")
     return keys.select("cell", "shown", (back == F.col("cell")).alias("same"), ids.display_index(F.col("cell")).alias("fields"))
 
@@ -214,7 +221,7 @@ def lattice_children(spark, sf_dir):
 
 @query(f"SELECT cell, {_MIN} + ((4::BIGINT << 48) | (m >> 3)) AS parent, {_MIN} + ((6::BIGINT << 48) | ((m << 3) & 281474976710655)) AS first_child, {_MIN} + ((6::BIGINT << 48) | (((m << 3) | 7) & 281474976710655)) AS last_child, 8 AS n FROM (SELECT DISTINCT {_INDEX} AS cell, {_morton()} AS m FROM ({CELLS}))")
 def key_hierarchy(spark, sf_dir):
-    keys = tables.cell_keys(spark, sf_dir).select("cell").distinct()
+    keys = _distinct_keys(spark, sf_dir).select("cell")
     k = ids.index_children(F.col("cell"))
     return keys.select("cell", ids.index_parent(F.col("cell")).alias("parent"), k[0].alias("first_child"), k[7].alias("last_child"), F.size(k).alias("n"))
 
@@ -232,7 +239,7 @@ def _nearest(scale: str) -> str:
 @query(f"SELECT id, cx, cy, cz, round(cx::DOUBLE / 4, 6) AS wx, round(cy::DOUBLE / 4, 6) AS wy, round(cz::DOUBLE / 4, 6) AS wz FROM (SELECT id, {_nearest('4.0')} FROM ({POINTS}))")
 def grid_cells(spark, sf_dir):
     """Cells of size 0.5 at points, and their centres."""
-    c = lattice.physical_to_lattice(*[F.col(n) / 0.25 for n in XYZ])
+    c = lattice.Grid(0.5).lattice_at(*col(*XYZ))
     rows = tables.points(spark, sf_dir).select("id", *[v.alias(f"c{n}") for v, n in zip(c, XYZ, strict=True)])
     return rows.select("*", *[r6(F.col(f"c{n}") * 0.25, f"w{n}") for n in XYZ])
 
@@ -300,8 +307,7 @@ def distances_to_one(spark, sf_dir):
 
 @query(f"SELECT count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM ({CELLS}) WHERE x BETWEEN 4 AND 19 AND y BETWEEN 0 AND 15 AND z BETWEEN 8 AND 27")
 def box_query(spark, sf_dir):
-    cells = tables.cells(spark, sf_dir).withColumn("m", ids.morton(*col(*XYZ)))
-    return topology.bounding_box(cells, (4, 0, 8), (19, 15, 27), "m").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return topology.bounding_box(tables.cells(spark, sf_dir), (4, 0, 8), (19, 15, 27)).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query(f"WITH s AS (SELECT x, y, z, count(*) AS k FROM ({CELLS}) GROUP BY x, y, z) SELECT q.id, o.hop, count(*)::BIGINT AS cells, sum(s.k)::BIGINT AS n FROM (SELECT id, x & 31 AS x, y & 31 AS y, z & 31 AS z FROM ({SIGNED}) WHERE id % 10 = 0) q, {_ring(2)}, s WHERE s.x = q.x + a AND s.y = q.y + b AND s.z = q.z + c GROUP BY 1, 2")
@@ -313,9 +319,9 @@ def ring_density(spark, sf_dir):
     return topology.ring(asked, 2).join(held, ["ox", "oy", "oz"]).groupBy("id", "hop").agg(F.count("*").alias("cells"), F.sum("k").alias("n"))
 
 
-@query(f"SELECT id, count(*)::BIGINT AS n FROM ({SIGNED}), {_ring(4)} WHERE a * a + b * b + c * c <= 12.25 GROUP BY id")
+@query(f"SELECT id, x + a AS ox, y + b AS oy, z + c AS oz FROM ({SIGNED}), {_ring(4)} WHERE a * a + b * b + c * c <= 12.25")
 def radius_cells(spark, sf_dir):
-    return topology.radius(tables.signed_cells(spark, sf_dir), 3.5).groupBy("id").agg(F.count("*").alias("n"))
+    return topology.radius(tables.signed_cells(spark, sf_dir), 3.5).select("id", "ox", "oy", "oz")
 
 
 _ROUNDED = ", ".join(f"round({c} / 2)::BIGINT * 2 AS e{c}, round(({c} - 1) / 2)::BIGINT * 2 + 1 AS u{c}" for c in XYZ)
@@ -338,12 +344,16 @@ def lines(spark, sf_dir):
     return rows.select("id", F.size(line).alias("n"), F.transform(line, lambda p: F.concat_ws(" ", p["x"], p["y"], p["z"])).alias("points"))
 
 
+#: A smaller world for searches: all line items in cells of 0 to 15.
+ROOMS = _snap("l_partkey % 16", "l_suppkey % 16", "(l_orderkey + l_linenumber) % 16", "lineitem")
+
+
 def _free(spark, sf_dir):
-    return tables.cells(spark, sf_dir).select(*XYZ).distinct().filter("x < 16 and y < 16 and z < 16")
+    return tables.cells(spark, sf_dir, 16).select(*XYZ).distinct()
 
 
 @query(
-    f"WITH RECURSIVE f AS (SELECT x, y, z, {_morton()} AS key FROM (SELECT DISTINCT x, y, z FROM ({CELLS})) WHERE x < 16 AND y < 16 AND z < 16), "
+    f"WITH RECURSIVE f AS (SELECT x, y, z, {_morton()} AS key FROM (SELECT DISTINCT x, y, z FROM ({ROOMS}))), "
     f"starts AS (SELECT id, x, y, z, {_morton()} AS key FROM (VALUES (1, 0, 0, 0), (2, 14, 14, 14)) v(id, x, y, z)), "
     "cells AS (SELECT x, y, z, key FROM f UNION SELECT x, y, z, key FROM starts), "
     f"edges AS (SELECT p.key AS a, q.key AS b, CASE WHEN n.a & 1 = 1 THEN sqrt(3.0::DOUBLE) ELSE 2.0::DOUBLE END AS cost FROM cells p, {_NEIGHBORS}, f q WHERE q.x = p.x + n.a AND q.y = p.y + n.b AND q.z = p.z + n.c), "
@@ -442,9 +452,12 @@ def temporal_layer(spark, sf_dir):
     return out.select(*XYZ, "n", r6(F.col("l"), "l"), "stale", "state")
 
 
-@query(f"SELECT x // 8 AS bx, y // 8 AS by, z // 8 AS bz, count(*)::BIGINT AS n, round(sum(l), 5) AS total, 512 AS size FROM ({_FOLD}) GROUP BY 1, 2, 3")
+_BFOLD = f"SELECT x, y, z, list_reduce(list(CASE WHEN occupied THEN {_TLOGIT} ELSE -{_TLOGIT} END ORDER BY ts, seq), lambda a, d: greatest(-3.466, least(3.466, a + d)), 0.0::DOUBLE) AS l, count(*)::BIGINT AS n FROM ({OBS}) GROUP BY x, y, z"
+
+
+@query(f"SELECT x // 8 AS bx, y // 8 AS by, z // 8 AS bz, count(*)::BIGINT AS n, round(sum(l), 5) AS total, 512 AS size FROM ({_BFOLD}) GROUP BY 1, 2, 3")
 def dense_blocks(spark, sf_dir):
-    b = layers.blocks(_occupancy(spark, sf_dir))
+    b = layers.block_occupancy(tables.observations(spark, sf_dir))
     return b.select("bx", "by", "bz", "n", F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 5).alias("total"), F.size("values").alias("size"))
 
 
@@ -514,7 +527,7 @@ def mesh_points(spark, sf_dir):
 
 @query(
     "WITH v AS (SELECT {'x': x, 'y': y, 'z': z, 'nx': nx, 'ny': ny, 'nz': nz} AS e, (x + t * (nx - x)) * 0.02 AS vx, (y + t * (ny - y)) * 0.02 AS vy, (z + t * (nz - z)) * 0.02 AS vz "
-    f"FROM ({_EDGES}) WHERE x < 12 AND y < 12 AND z < 12 AND nx < 12 AND ny < 12 AND nz < 12), "
+    f"FROM ({_EDGES})), "
     "ends AS (SELECT e.x AS x, e.y AS y, e.z AS z, e FROM v UNION ALL SELECT e.nx, e.ny, e.nz, e FROM v), "
     "f AS (SELECT DISTINCT a.e AS a, b.e AS b, c.e AS c FROM ends a JOIN ends b USING (x, y, z) JOIN ends c USING (x, y, z) WHERE a.e < b.e AND b.e < c.e), "
     "d AS (SELECT b.vx - a.vx AS ux, b.vy - a.vy AS uy, b.vz - a.vz AS uz, c.vx - a.vx AS wx, c.vy - a.vy AS wy, c.vz - a.vz AS wz FROM f JOIN v a ON f.a = a.e JOIN v b ON f.b = b.e JOIN v c ON f.c = c.e) "
@@ -523,7 +536,7 @@ def mesh_points(spark, sf_dir):
 def mesh_faces(spark, sf_dir):
     from ..operators.topology import shared
 
-    v = shared(layers.mesh_vertices(_tsdf(spark, sf_dir).filter("x < 12 and y < 12 and z < 12"), 0.02), "vertices")
+    v = shared(layers.mesh_vertices(_tsdf(spark, sf_dir), 0.02), "vertices")
     out = layers.surface_area(layers.mesh_triangles(v), v)
     return out.select("triangles", F.round("area", 4).alias("area"))
 
@@ -539,7 +552,7 @@ def gradients(spark, sf_dir):
 
 _AXIS = "(SELECT unnest(range(-10, 11)) AS {0})"
 _ESDF = (
-    f"WITH near AS (SELECT x, y, z, d AS own FROM ({_T}) WHERE x < 16 AND abs(d) < 0.005 AND w > 0), "
+    f"WITH near AS (SELECT x, y, z, d AS own FROM ({_T}) WHERE abs(d) < 0.005 AND w > 0), "
     f"o AS (SELECT a, b, c, list_sort([abs(a), abs(b), abs(c)]) AS s FROM {_AXIS.format('a')}, {_AXIS.format('b')}, {_AXIS.format('c')} WHERE (a & 1) = (b & 1) AND (b & 1) = (c & 1)), "
     "cost AS (SELECT a, b, c, (sqrt(3.0::DOUBLE) * s[2] + (s[3] - s[2])) * 0.05::DOUBLE AS way FROM o), "
     "spread AS (SELECT x + a AS x, y + b AS y, z + c AS z, own, way FROM near, cost WHERE way <= 0.4 AND x + a >= 0 AND y + b >= 0 AND z + c >= 0), "
@@ -554,7 +567,7 @@ _ESDF = (
     f"SELECT x, y, z, round(distance, 6) AS distance FROM ({_ESDF})"
 )
 def esdf_layer(spark, sf_dir):
-    e = layers.esdf(_tsdf(spark, sf_dir).filter("x < 16"), 0.05, 0.3, 0.005)
+    e = layers.esdf(_tsdf(spark, sf_dir), 0.05, 0.3, 0.005)
     return e.select(*XYZ, r6(F.col("distance"), "distance"))
 
 
@@ -562,7 +575,7 @@ def esdf_layer(spark, sf_dir):
     f"SELECT count(*)::BIGINT AS total, count_if(distance < 0)::BIGINT AS inside, count_if(distance >= 0)::BIGINT AS outside, round(min(distance), 6) AS least, round(max(distance), 6) AS most FROM ({_ESDF})"
 )
 def esdf_totals(spark, sf_dir):
-    s = layers.esdf_stats(layers.esdf(_tsdf(spark, sf_dir).filter("x < 16"), 0.05, 0.3, 0.005))
+    s = layers.esdf_stats(layers.esdf(_tsdf(spark, sf_dir), 0.05, 0.3, 0.005))
     return s.select("total", "inside", "outside", r6(F.col("least"), "least"), r6(F.col("most"), "most"))
 
 
@@ -579,46 +592,26 @@ def frontier_cells(spark, sf_dir):
     f"f AS (SELECT x, y, z, {_morton()} AS key FROM g ANTI JOIN (SELECT * FROM k WHERE s <> 'Unknown') w USING (x, y, z)), "
     f"links AS (SELECT p.key AS a, q.key AS b FROM f p, {_NEIGHBORS}, f q WHERE q.x = p.x + n.a AND q.y = p.y + n.b AND q.z = p.z + n.c), "
     "least_(key, cluster) USING KEY (key) AS (SELECT key, key FROM f UNION SELECT links.b, min(l.cluster) FROM least_ l JOIN links ON l.key = links.a JOIN recurring.least_ r ON r.key = links.b WHERE l.cluster < r.cluster GROUP BY links.b) "
-    "SELECT cluster, count(*)::BIGINT AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, min(x)::DOUBLE AS low_x, min(y)::DOUBLE AS low_y, min(z)::DOUBLE AS low_z, max(x)::DOUBLE AS high_x, max(y)::DOUBLE AS high_y, max(z)::DOUBLE AS high_z "
+    "SELECT cluster, count(*)::BIGINT AS n, count(*)::DOUBLE AS area, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, min(x)::DOUBLE AS low_x, min(y)::DOUBLE AS low_y, min(z)::DOUBLE AS low_z, max(x)::DOUBLE AS high_x, max(y)::DOUBLE AS high_y, max(z)::DOUBLE AS high_z "
     "FROM f JOIN least_ USING (key) GROUP BY cluster HAVING count(*) >= 5"
 )
 def frontier_clusters(spark, sf_dir):
     c = layers.frontiers(_occupancy(spark, sf_dir))
-    return c.select("cluster", "n", *[r6(F.col(f"c{a}"), f"c{a}") for a in XYZ], *[F.col(f"{e}_{a}") for e in ("low", "high") for a in XYZ]).orderBy(F.desc("n"), "cluster")
-
-
-@query()
-def view_scores(spark, sf_dir):
-    """Poses around the clusters by what they would see."""
-    from ..operators.topology import shared
-
-    layer = shared(_occupancy(spark, sf_dir), "layer")
-    views = shared(layers.viewpoints(shared(layers.frontiers(layer), "clusters")), "views")
-    return layers.information_gain(views, layer, reach=2.0, step=0.2617993877991494).orderBy(F.desc("gain"), "view")
+    return c.select("cluster", "n", "area", *[r6(F.col(f"c{a}"), f"c{a}") for a in XYZ], *[F.col(f"{e}_{a}") for e in ("low", "high") for a in XYZ]).orderBy(F.desc("n"), "cluster")
 
 
 @query(
-    f"WITH o AS (SELECT x, y, z, l FROM ({_FOLD})), t AS ({_T}) SELECT v.x, v.y, v.z, round(o.l, 6) AS occupancy_l, round(t.d, 6) AS tsdf_distance FROM (SELECT DISTINCT x, y, z FROM ({CELLS}) WHERE x < 20) v "
+    f"WITH o AS (SELECT x, y, z, l FROM ({_FOLD})), t AS ({_T}) SELECT v.x, v.y, v.z, round(o.l, 6) AS occupancy_l, round(t.d, 6) AS tsdf_distance FROM (SELECT DISTINCT x, y, z FROM ({CELLS})) v "
     "LEFT JOIN o ON o.x = v.x AND o.y = v.y AND o.z = v.z LEFT JOIN t ON t.x = v.x AND t.y = v.y AND t.z = v.z"
 )
 def layered_map(spark, sf_dir):
     m = layers.LayeredMap()
     m.add("occupancy", _occupancy(spark, sf_dir).select(*XYZ, r6(F.col("l"), "l")))
     m.add("tsdf", _tsdf(spark, sf_dir).select(*XYZ, r6(F.col("distance"), "distance")))
-    return m.query(tables.cells(spark, sf_dir).filter("x < 20").select(*XYZ).distinct())
+    return m.query(tables.cells(spark, sf_dir).select(*XYZ).distinct())
 
 
 @query(f"SELECT x, y, CAST(max(round(100 / (1 + exp(-l)))) AS INT) AS value FROM ({_FOLD}) GROUP BY x, y")
 def flat_map(spark, sf_dir):
     """An occupancy grid seen from above: the most in each column, 0 to 100."""
     return files.occupancy_grid(_occupancy(spark, sf_dir))
-
-
-@query()
-def point_cloud(spark, sf_dir):
-    return files.point_cloud(_occupancy(spark, sf_dir).filter("l > 0.85"), 0.05)
-
-
-@query()
-def geojson_points(spark, sf_dir):
-    return files.geojson_points(tables.signed_cells(spark, sf_dir).withColumn("frame", F.lit(0)), files.frames(spark))

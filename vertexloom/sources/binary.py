@@ -17,20 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import shipped
-from .files import CODECS, DATASET, PACKED_MOST, UNPACKED_MOST, unpacked
+from .files import CODECS, DATASET, PACKED_MOST, UNPACKED_MOST, packed, unpacked
 
 #: Container format 2, fixed values: magic, bytes of the header, of an entry of the table of contents and of the footer, flag of hashes.
 MAGIC_2, HEADER, ENTRY, FOOTER, HASHED = b"OCTA3D2\0", 32, 32, 32, 1
 
 
-def _packed(codec: str, data: bytes) -> bytes:
-    if codec == "none":
-        return data
-    if codec == "zstd":
-        return pa.Codec("zstd").compress(data, asbytes=True)
-    return struct.pack("<I", len(data)) + pa.Codec("lz4_raw").compress(data, asbytes=True)
-
-
 def stream_bytes(payloads: list[bytes], stream: int = 0, codec: str = "lz4", hashed: bool = False, every: int = 1000, every_bytes: int = 64 << 20) -> bytes:
     """A container of format 2. Header: magic, version (1 byte), flags (1), reserved (6), stream id (8), where the first frame is (8).
     Each frame: a header as in format 1, the packed bytes, and their unpacked SHA-256 where the flag says so. After ``every`` frames or
@@ -40,7 +32,7 @@ def stream_bytes(payloads: list[bytes], stream: int = 0, codec: str = "lz4", has
     table = b""
     since = count = 0
     for i, data in enumerate(payloads):
-        body = _packed(codec, data)
+        body = packed(codec, data)
         table += struct.pack(">QIIBBBBQ4x", len(out), len(data), len(body), CODECS[codec], 0, 0, 0, i)
         out += struct.pack(">BBBBIII", CODECS[codec], 0, 0, 0, len(data), len(body), zlib.crc32(body)) + body + (hashlib.sha256(data).digest() if hashed else b"")
         since, count = since + len(body), count + 1
@@ -103,6 +95,48 @@ def _rows_of(read):
     return rows
 
 
+def stream_frames_of(data: DataFrame) -> DataFrame:
+    """path, frame, payload of containers of format 2 (path, data)."""
+    shipped(data.sparkSession)
+    return data.select(F.col("path").cast("string"), "data").mapInArrow(_rows_of(stream_frames), "path string, frame long, payload binary")
+
+
+def block_bytes(held: DataFrame, codec: str = "lz4") -> DataFrame:
+    """Dense blocks (bx, by, bz, values) as packed little-endian floats: bx, by, bz, data."""
+    shipped(held.sparkSession)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [packed(codec, np.asarray(v, dtype="<f4").tobytes()) for v in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], ["bx", "by", "bz", "data"])
+
+    return held.select("bx", "by", "bz", "values").mapInArrow(rows, "bx long, by long, bz long, data binary")
+
+
+def blocks_of_bytes(data: DataFrame, codec: str = "lz4", size: int = 512) -> DataFrame:
+    shipped(data.sparkSession)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.frombuffer(unpacked(CODECS[codec], d, 4 * size), dtype="<f4").astype(float).tolist() for d in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(values, pa.list_(pa.float64()))], ["bx", "by", "bz", "values"])
+
+    return data.select("bx", "by", "bz", "data").mapInArrow(rows, "bx long, by long, bz long, values array<double>")
+
+
+def _bytes_of_cbor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [from_cbor(d) for d in batch.column(0).to_pylist()]
+        cells = [[{k: float(c[k]) if k == "value" else c[k] for k in _CELL} for c in f["cells"]] for f in found]
+        yield pa.RecordBatch.from_arrays([pa.array([f["name"] for f in found], pa.string()), pa.array(cells, pa.list_(_KIND))], ["name", "cells"])
+
+
+def datasets_of(data: DataFrame) -> DataFrame:
+    """Rows of CBOR data sets (data)."""
+    shipped(data.sparkSession)
+    return data.select("data").mapInArrow(_bytes_of_cbor, DATASET).select("name", F.inline("cells"))
+
+
 def read_stream_containers(spark: SparkSession, path: str) -> DataFrame:
     """path, frame, payload of all containers of format 2 under a path."""
     shipped(spark)
@@ -175,6 +209,7 @@ def from_cbor(data: bytes):
 
 
 _CELL = ("frame", "resolution", "x", "y", "z", "value")
+_KIND = pa.struct([("frame", pa.int32()), ("resolution", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("z", pa.int32()), ("value", pa.float64())])
 
 
 def cbor_datasets(layer: DataFrame) -> DataFrame:
@@ -190,16 +225,7 @@ def cbor_datasets(layer: DataFrame) -> DataFrame:
 
 def read_cbor_datasets(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all CBOR data sets under a path."""
-    shipped(spark)
-    kind = pa.struct([("frame", pa.int32()), ("resolution", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("z", pa.int32()), ("value", pa.float64())])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [from_cbor(d) for d in batch.column(0).to_pylist()]
-            cells = [[{k: float(c[k]) if k == "value" else c[k] for k in _CELL} for c in f["cells"]] for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array([f["name"] for f in found], pa.string()), pa.array(cells, pa.list_(kind))], ["name", "cells"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, DATASET).select("name", F.inline("cells"))
+    return datasets_of(spark.read.format("binaryFile").load(path).select(F.col("content").alias("data")))
 
 
 def _records(names: list[str], shape: list):

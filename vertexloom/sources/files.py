@@ -6,8 +6,9 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import shipped
@@ -56,6 +57,27 @@ def geojson_line(cells: DataFrame, frames: DataFrame, keys: list[str], order: st
     return g.select(*keys, F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(F.size("p").alias("count")).alias("properties"))).alias("feature"))
 
 
+def cells_geojson(cells: DataFrame) -> DataFrame:
+    """cells (c: a 128-bit cell) to cell_id and feature: points in lattice units with the cell's checksummed text."""
+    from ..functions import ids, text
+
+    f = ids.cell_fields(F.col("c"))
+    shown = text.bech32m(text.PREFIXES["cell"], ids.key_bytes(F.col("c.hi"), F.col("c.lo")))
+    rows = cells.select(shown.alias("cell_id"), *[f[n].alias(n) for n in ("frame", "resolution", *XYZ)])
+    at = F.array(*[F.col(c).cast("double") for c in XYZ])
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), at.alias("coordinates")).alias("geometry"), F.struct("cell_id", "frame", "resolution").alias("properties"))
+    return rows.select("cell_id", F.to_json(feature).alias("feature"))
+
+
+def feature_collection(features: DataFrame, order: str) -> DataFrame:
+    """Lines (order, line) of a FeatureCollection of features (order, feature); no task has them all."""
+    place = F.struct(F.lit(1).alias("part"), F.col(order).cast("string").alias("n")).alias("order")
+    first = features.agg(F.min(F.col(order).cast("string")).alias("first"))
+    body = features.crossJoin(F.broadcast(first)).select(place, F.concat(F.when(F.col(order).cast("string") == F.col("first"), "").otherwise(","), "feature").alias("line"))  # one row
+    ends = features.sparkSession.createDataFrame([(0, '{"type":"FeatureCollection","features":['), (2, "]}")], "part int, line string")
+    return body.unionByName(ends.select(F.struct("part", F.lit("").alias("n")).alias("order"), "line"))
+
+
 def write_dataset(layer: DataFrame, path: str) -> None:
     """Rows (name, frame, resolution, x, y, z, value) as JSON lines, one data set a name."""
     layer.groupBy("name").agg(F.collect_list(F.struct("frame", "resolution", *XYZ, "value")).alias("cells")).write.json(path)
@@ -73,14 +95,29 @@ def occupancy_grid(layer: DataFrame) -> DataFrame:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array([struct.pack("<3f", *r) for r in rows], pa.binary())], ["data"])
+        table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype("<f4") if batch.num_rows else np.zeros((0, batch.num_columns), "<f4")
+        yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in table], pa.binary())], ["data"])
 
 
-def point_cloud(voxels: DataFrame, size: float) -> DataFrame:
-    """Twelve bytes a point: x, y, z as little-endian floats; a cloud's data are its rows one after another."""
+def point_cloud(voxels: DataFrame, size: float, intensity: Column | None = None) -> DataFrame:
+    """Twelve bytes a point: x, y, z as little-endian floats, and four more with an intensity; a cloud's data are its rows one
+    after another."""
     shipped(voxels.sparkSession)
-    return voxels.select(*[(F.col(c) * size).cast("double").alias(c) for c in XYZ]).mapInArrow(_packed, "data binary")
+    columns = [(F.col(c) * size).cast("double").alias(c) for c in XYZ]
+    return voxels.select(*columns, *([intensity.cast("double").alias("intensity")] if intensity is not None else [])).mapInArrow(_packed, "data binary")
+
+
+def _unpacked_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [np.frombuffer(d, "<f4").astype(float) for d in batch.column(0).to_pylist()]
+        columns = [pa.array([float(r[k]) if k < len(r) else None for r in rows], pa.float64()) for k in range(4)]
+        yield pa.RecordBatch.from_arrays(columns, [*XYZ, "intensity"])
+
+
+def read_point_cloud(cloud: DataFrame) -> DataFrame:
+    """x, y, z and intensity (null without one) of a cloud's rows."""
+    shipped(cloud.sparkSession)
+    return cloud.select("data").mapInArrow(_unpacked_points, "x double, y double, z double, intensity double")
 
 
 def mesh_text(vertices: DataFrame, triangles: DataFrame, kind: str) -> DataFrame:
@@ -110,12 +147,21 @@ def mesh_text(vertices: DataFrame, triangles: DataFrame, kind: str) -> DataFrame
     return out.select(F.struct(F.lit(1).alias("part"), F.col("tid").alias("n")).alias("order"), line.alias("line"))
 
 
-def container_bytes(payloads: list[bytes]) -> bytes:
-    """A container of frames that aren't compressed. Header: magic, version (1 byte), flags (1), frames (4), reserved (2). Then all
+def packed(codec: str, data: bytes) -> bytes:
+    if codec == "none":
+        return data
+    if codec == "zstd":
+        return pa.Codec("zstd").compress(data, asbytes=True)
+    return struct.pack("<I", len(data)) + pa.Codec("lz4_raw").compress(data, asbytes=True)
+
+
+def container_bytes(payloads: list[bytes], codec: str = "none") -> bytes:
+    """A container of frames. Header: magic, version (1 byte), flags (1), frames (4), reserved (2). Then all
     frame headers: codec, its version, graph, reserved (1 byte each), bytes unpacked, bytes packed, CRC-32 of the packed bytes (4
     each). Then the frames. Numbers have their highest byte first."""
-    heads = [struct.pack(">BBBBIII", CODECS["none"], 1, 0, 0, len(p), len(p), zlib.crc32(p)) for p in payloads]
-    return MAGIC + struct.pack(">BBIxx", 1, 0, len(payloads)) + b"".join(heads) + b"".join(payloads)
+    bodies = [packed(codec, p) for p in payloads]
+    heads = [struct.pack(">BBBBIII", CODECS[codec], 1, 0, 0, len(p), len(b), zlib.crc32(b)) for p, b in zip(payloads, bodies, strict=True)]
+    return MAGIC + struct.pack(">BBIxx", 1, 0, len(payloads)) + b"".join(heads) + b"".join(bodies)
 
 
 def container_frames(data: bytes) -> list[bytes]:
@@ -154,6 +200,27 @@ def _frame_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.binary())], ["path", "frame", "payload"])
 
 
+def containers(frames: DataFrame, codec: str = "none", most: int = 1000) -> DataFrame:
+    """frames (container, seq from 0 without gaps, payload) to container, part, data: containers of at most ``most`` frames."""
+    shipped(frames.sparkSession)
+
+    def write(pdf):
+        import pandas as pd
+
+        payloads = [bytes(p) for p in pdf.sort_values("seq")["payload"]]
+        return pd.DataFrame({"container": pdf["container"][:1], "part": [int(pdf["part"].iloc[0])], "data": [container_bytes(payloads, codec)]})
+
+    kind = dict(frames.dtypes)["container"]
+    parts = frames.select("container", F.floor(F.col("seq") / most).alias("part"), "seq", "payload")
+    return parts.groupBy("container", "part").applyInPandas(write, f"container {kind}, part long, data binary")
+
+
+def frames_of(data: DataFrame) -> DataFrame:
+    """path, frame, payload of containers (path, data)."""
+    shipped(data.sparkSession)
+    return data.select(F.col("path").cast("string"), "data").mapInArrow(_frame_rows, "path string, frame long, payload binary")
+
+
 def read_containers(spark: SparkSession, path: str) -> DataFrame:
     """path, frame, payload of all containers under a path; files go to tasks whole."""
     shipped(spark)

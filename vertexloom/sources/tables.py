@@ -22,9 +22,9 @@ def _snapped(df: DataFrame, x, y, z, *others) -> DataFrame:
     return df.select(sx.alias("x"), sy.alias("y"), sz.alias("z"), *df.columns[3:])
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """x, y, z (0 to 31), value; many rows a cell."""
-    x, y, z = _long("l_partkey") % 32, _long("l_suppkey") % 32, (_long("l_orderkey") + _long("l_linenumber")) % 32
+def cells(spark: SparkSession, sf_dir: str, n: int = 32) -> DataFrame:
+    """x, y, z (0 to n - 1), value; many rows a cell."""
+    x, y, z = _long("l_partkey") % n, _long("l_suppkey") % n, (_long("l_orderkey") + _long("l_linenumber")) % n
     return _snapped(read(spark, sf_dir, "lineitem"), x, y, z, F.col("l_extendedprice").alias("value"))
 
 
