@@ -2,10 +2,12 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -373,6 +375,9 @@ def test_telephony(spark, docs, empty, tmp_path):
     for tag, data, block in ((telephony.MULAW, b"\x10\x20\x30", 1), (telephony.IMA, telephony.encode_ima(tone, 256), 256)):
         assert telephony.read_wav(telephony.wav(data, tag, block=block))[3] == data
     media = spark.createDataFrame([(1, telephony.wav(telephony.encode_ima(tone, 256), telephony.IMA, block=256)), (2, None)], "id long, media binary")
+    odd = [b"", b"RIFF", b"\0" * 100, telephony.wav(b"abc", 99), telephony.wav(b"a" * 9, telephony.PCM), telephony.wav(b"", telephony.MULAW)[:30], telephony.wav(b"a", telephony.MULAW, rate=0)]
+    bad = telephony.decode_audio(spark.createDataFrame(list(enumerate(odd)), "id long, media binary"), "id", "media").collect()
+    assert len(bad) == len(odd) and all(r.pcm is None and r.error for r in bad)
     out = {r.id: r.pcm for r in telephony.decode_audio(media, "id", "media").collect()}
     assert out[2] is None and len(telephony.decode(bytes(out[1]))[1]) == 2 * len(telephony.decode_ima(telephony.encode_ima(tone, 256), 256))
     rows = scan_rows(spark, docs, tmp_path, telephony.op8_telephony_media)
@@ -516,3 +521,202 @@ def test_secrets_in_a_very_long_text(spark):
     r = secretscan.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert [(s.start, s.kind, s.end) for s in r.strong] == base_spans(text, ["assign", "access", "hex"])
     assert len(r.linked) == 3000 and {x.kind for x in r.linked} == {"link_id"}
+
+
+def plain_tokens(word):
+    data = word.encode()
+    return [(0, data), *[(k, data[:k]) for k in toxicity.PREFIXES if len(data) >= k]]
+
+
+def plain_lexicon(counts, words):
+    """counts: token to texts by label; words: words by label."""
+    counts = {t: c for t, c in counts.items() if sum(c)}
+    n, y = (float(sum(c[k] for c in counts.values())) for k in (0, 1))
+    weight, share, odds = toxicity.PRIOR * (y + n), y / (y + n), {}
+    for t, (no, yes) in counts.items():
+        prior = toxicity.PRIOR * (yes + no)
+        o = math.log((yes + prior) / (y + weight - yes - prior)) - math.log((no + prior) / (n + weight - no - prior))
+        ratio = sum(c * math.log(c / ((yes + no) * s)) for c, s in ((yes, share), (no, 1 - share)) if c)
+        if o > 0 and ratio >= math.log(max(len(counts) / toxicity.CHANCE, 1)):
+            odds[t] = min(o, toxicity.MOST)
+    more = sum(counts[t][1] for t in odds) / words[1] - sum(counts[t][0] for t in odds) / words[0]
+    return odds, min(-0.01, math.log1p(-min(max(more, 0.0), 0.5)))
+
+
+def plain_segments(text, odds, pooled):
+    words = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))
+    scores = [max((odds[t] for t in plain_tokens(w) if t in odds), default=pooled) for w in words]
+    return len(words), [sum(scores[a:b]) for a, b in maximal(scores, 0, len(scores))]
+
+
+def test_toxic_query_against_plain_python(spark, tmp_path):
+    """The whole query: counts, log-odds, all maximal segments, extreme values and the curve, fitted and scored anew."""
+    vile = ["vileword", "awfully", "nastier", "rotten"]
+    r = random.Random(8)
+    rows = []
+    for i in range(160):
+        words = prose(r.randint(5, 30), i).split(" ")
+        for _ in range(r.randint(1, 4) if i % 4 == 0 else r.random() < 0.05):
+            words.insert(r.randrange(len(words)), r.choice(vile))
+        rows.append((i, " ".join(words)))
+    rows += [(None, "vileword rotten"), (500, None), (501, ""), (502, rows[0][1]), (3, rows[3][1])]
+    labels = [(i, 0, int(i % 4 == 0)) for i in range(150)] + [(502, 0, 0), (None, 0, 1), (7, 1, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = toxicity.op2_toxic_segments(spark, f"file://{tmp_path}").collect()
+
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    label = defaultdict(list)
+    for i, _, t in labels:
+        if i is not None and t is not None and not held(i):
+            label[i].append(t)
+    texts: dict = {}
+    for i, t in rows:
+        if t is not None and i in label:
+            texts[t] = max(texts.get(t, 0), *label[i])
+    half = {x.text: x.h for x in spark.createDataFrame([(t,) for t in texts], "text string").withColumn("h", F.pmod(F.xxhash64("text"), F.lit(2))).collect()}
+    counts, words = [defaultdict(lambda: [0, 0]) for _ in range(2)], [[0, 0], [0, 0]]
+    for t, y in texts.items():
+        own = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
+        words[half[t]][y] += len(own)
+        for k in {k for w in own for k in plain_tokens(w)}:
+            counts[half[t]][k][y] += 1
+    both = {k: [a + b for a, b in zip(counts[0][k], counts[1][k], strict=True)] for k in {*counts[0], *counts[1]}}
+    whole = plain_lexicon(both, [a + b for a, b in zip(*words, strict=True)])
+    other = [plain_lexicon(counts[1 - k], words[1 - k]) for k in (0, 1)]
+    scored = {t: plain_segments(t, *other[half[t]]) for t in texts}
+    clean = [(n, max(s, default=0.0)) for t, (n, s) in scored.items() if not texts[t] and n]
+    tops = [s for _, s in clean if s > 0]
+    floor = min(tops)
+    scale = 1 / max(0.25, sum(s - floor for s in tops) / len(tops))
+    shift = math.log(len(tops) / sum(n for n, _ in clean)) + scale * floor
+
+    def inputs(n, s):
+        e = sorted((max(0.0, scale * x - shift - math.log(max(n, 1))) for x in s), reverse=True)
+        return 1.0, min(e[0], 40.0) / 10 if e else 0.0, math.log1p(sum(x > 3 for x in e))
+
+    x = np.array([inputs(*scored[t]) for t in texts])
+    y = np.array([texts[t] for t in texts], dtype=float)
+    loss = lambda w: float(np.sum(np.logaddexp(0, x @ w) - y * (x @ w)) + 0.05 * w @ w)
+    w = np.zeros(3)
+    for _ in range(100):  # down the slope of the ridge's loss
+        p = 1 / (1 + np.exp(-(x @ w)))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + 0.1 * np.eye(3), x.T @ (p - y) + 0.1 * w)
+        while loss(w - step) > loss(w) + 1e-12:
+            step /= 2
+        w = w - step
+    expected = Counter()
+    for i, t in rows:
+        n, s = plain_segments(t, *whole)
+        z = float(np.dot(w, inputs(n, s)))
+        score = 1 / (1 + math.exp(-z))
+        passages = sum(scale * v - shift - math.log(max(n, 1)) > 3 for v in s)
+        expected[i, held(i), round(score, 5), int(score >= 0.3), passages] += 1
+    assert Counter((r.doc_id, r.held_out, round(r.score, 5), r.predicted, r.n_passages) for r in found) == expected
+    assert {r.predicted for r in found} == {0, 1}
+
+
+class Article(HTMLParser):
+    """Blocks of an article, without adverts, by the standard parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside = self.out = 0
+        self.parts, self.blocks = [], []
+
+    def flush(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "nav", "footer", "head") or dict(attrs).get("class") == "ad":
+            self.out += 1
+        if tag == "article":
+            self.inside += 1
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag not in ("b", "i", "a"):
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a"):
+            self.flush()
+        if tag in ("script", "style", "nav", "footer", "head", "div"):
+            self.out = max(0, self.out - 1)
+        if tag == "article":
+            self.inside -= 1
+
+    def handle_data(self, data):
+        if self.inside and not self.out:
+            self.parts.append(data)
+
+
+def test_pages_against_the_standard_parser(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    found = {r.page_id: r.text for r in htmlmain.op9_main_text(spark, "/root/testdata/sf0.01").collect()}
+    assert found.keys() == pages.keys()
+    for i, page in pages.items():
+        parser = Article()
+        parser.feed(page or "")
+        parser.flush()
+        assert found[i] == "\n".join(parser.blocks)
+
+
+def test_hosts_vote(spark):
+    """A page whose own best container is another one follows its host; one far better elsewhere doesn't."""
+    main, note = '<div class="x-body">{}</div>', '<div class="x-panel">{}</div>'
+    text = "some words of text in a row " * 3
+    page = lambda a, b: "<body>" + main.format(f"<p>{a}</p>") + note.format(f"<p>{b}</p>") + "</body>"
+    rows = [(i, f"http://a.example/{i}", page(text, "short")) for i in range(8, 28)] + [(k, f"http://{h}.example/{k}", page(*x)) for k, h, *x in [(5, "a", "one two three", "a bit longer than that"), (6, "b", "one two three", "a bit longer than that"), (7, "a", "one", text * 9)]]
+    found = {r.page_id: r.text for r in htmlmain.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[8] == text.strip() and found[5] == "one two three" and found[6] == "one two three\na bit longer than that" and found[7] == (text * 9).strip()
+
+
+def test_odd_pages():
+    text = lambda body: htmlmain.extract(f"<body><article>{body}</article></body>", None)
+    assert text('<svg class="i"/><p>a</p>') == text("<iframe/><p>a</p>") == text("<svg><text>no</text></svg><p>a</p>") == "a"
+    assert text("<p>x <math><mi>y</mi><annotation>no</annotation></math> z</p>") == "x y z"
+    assert text('<div class="related-work">kept</div><div class="search-methods">too</div><p id="comment-policy-text">here</p>') == "kept\ntoo\nhere"
+    assert text('<p>a</p><div class="cookie-notice">no</div><div class="comments">no</div><div class="adSlot">no</div><form>no</form>') == "a"
+    assert text("<div>" * 300 + "deep" + "</div>" * 300 + "<p>" + "b" * 50) == "deep\n" + "b" * 50
+    assert htmlmain.extract("<body><article><p>" + "in" * 50 + "<section><b>" * 400 + "</article><p>out</body>", None) == "in" * 50
+    assert htmlmain.extract("<body><p>a<title>never ended <p>b", None) == "a\nnever ended\nb" and htmlmain.extract("<body><p>a<script>never ended <p>b", None) == "a"
+
+
+def test_many_null_ids(spark):
+    rows = [(None, prose(12, i) + f" only{i}") for i in range(6000)] + [(None, "the same text of several words again")] * 4000 + [(9, prose(12, i) + f" only{i}") for i in range(50)]
+    found = triejoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 3, 90).collect()
+    assert len(found) == len(rows) and {r.component_id for r in found if r.doc_id == 9} == {9}
+
+
+def test_benchmark_of_one_word_again_and_again(spark):
+    docs = spark.createDataFrame([(1, "x " * 60_000), (2, "y x")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, "x " * (20 + i)) for i in range(200)], "item_id long, text string")
+    for block in (winnow.BLOCK_BYTES, 10):
+        found = {r.doc_id: r for r in winnow.find_benchmark(docs, items, block).collect()}
+        assert found[1]["__hits"] == [[0, 60_000]] and len(found[1]["__items"]) == 200 and found[2]["__hits"] == []
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long, others string, rid long, shard string, __size int, `a b.c` int"
+    rows = [(i, prose(40, i), "en", "s", 1, "o", i, "kept", 5, 7) for i in range(30)] + [(None, None, None, None, None, None, None, None, None, None), (None, "", None, None, None, None, None, None, None, None), (3, prose(40, 3), "en", "s", 1, "o", 1, "kept", 5, 7)]
+    for kind, docs in (("full", spark.createDataFrame(rows, columns)), ("empty", spark.createDataFrame([], columns))):
+        path = f"file://{tmp_path}/{kind}"
+        docs.write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(1, 0, 0)] if kind == "full" else [], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame([(None, None), (1, "")] if kind == "full" else [], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        left = docs
+        for _, stage in p.STAGES[:4]:
+            left = stage(spark, left, path)
+            assert left.columns == docs.columns
+        out = p.run(spark, path)
+        assert out.columns == [*[c for c in docs.columns if c != "shard"], "shard", "slot"]
+        assert (out.count() > 0) == (kind == "full")
+        for name, query in queries.queries().items():
+            if name != "op9_main_text":
+                assert query(spark, path).count() == docs.count(), name
+        slots = out.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m"), F.count_distinct("slot").alias("d")).collect()
+        assert all(r.n == r.m + 1 == r.d for r in slots)

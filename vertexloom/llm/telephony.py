@@ -126,13 +126,15 @@ def wav(data: bytes, tag: int, rate: int = RATE, block: int = 1, bits: int = 8)
 
 def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
     """Format tag, rate, block size and the data's bytes."""
-    if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
+    if len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, tag, rate, block = 12, 0, 0, 1
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if name == b"fmt ":
             tag, _, rate, _, block, _ = struct.unpack_from("<HHIIHH", media, at + 8)
+            if not rate or not block:
+                raise ValueError("a WAV file without a rate or a block size")
         elif name == b"data":
             return tag, rate, block, media[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
@@ -181,20 +183,22 @@ def _decoded(rate: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 media = batch.column(1)[i].as_py()
-                if media is None:
-                    pcm = None
-                else:
-                    have, samples = decode(media)
-                    pcm = wav(resample(samples, have, rate).astype("<i2").tobytes(), PCM, rate, 2, 16)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([pcm], pa.binary())], ["id", "pcm"])
+                pcm = error = None
+                if media is not None:
+                    try:
+                        have, samples = decode(media)
+                        pcm = wav(resample(samples, have, rate).astype("<i2").tobytes(), PCM, rate, 2, 16)
+                    except (ValueError, struct.error) as e:
+                        error = str(e)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([pcm], pa.binary()), pa.array([error], pa.string())], ["id", "pcm", "error"])
 
     return rows
 
 
 def decode_audio(df: DataFrame, id_column: str, media_column: str, rate: int = 16000) -> DataFrame:
-    """id and pcm: a WAV file of 16-bit samples at the given rate (null: null). Other formats raise."""
+    """id, pcm (a WAV file of 16-bit samples at the given rate) and error: why other bytes have no pcm. Null has neither."""
     kind = dict(df.dtypes)[id_column]
-    return python_rows(own_names(df, [id_column, media_column]), _decoded(rate), f"id {kind}, pcm binary")
+    return python_rows(own_names(df, [id_column, media_column]), _decoded(rate), f"id {kind}, pcm binary, error string")
 
 
 def store_text(text: bytes) -> bytes:
