@@ -681,7 +681,7 @@ def test_odd_pages():
     assert text('<p>a</p><div class="cookie-notice">no</div><div class="comments">no</div><div class="adSlot">no</div><form>no</form>') == "a"
     assert text("<div>" * 300 + "deep" + "</div>" * 300 + "<p>" + "b" * 50) == "deep\n" + "b" * 50
     assert htmlmain.extract("<body><article><p>" + "in" * 50 + "<section><b>" * 400 + "</article><p>out</body>", None) == "in" * 50
-    assert htmlmain.extract("<body><p>a<title>never ended <p>b", None) == "a\nnever ended\nb" and htmlmain.extract("<body><p>a<script>never ended <p>b", None) == "a"
+    assert htmlmain.extract("<body><p>a <title>never ended <p>b", None) == "a never ended\nb" and htmlmain.extract("<body><p>a<script>never ended <p>b", None) == "a"
 
 
 def test_many_null_ids(spark):
