@@ -55,8 +55,8 @@ def _round(v: Column) -> Column:
     return F.round(v).cast("long")
 
 
-def physical_to_lattice(x: Column, y: Column, z: Column, resolution: int = 0) -> tuple[Column, Column, Column]:
-    """The nearest lattice point after scaling by 2**resolution; even points win ties. Not finite or out of range: null."""
+def _even_or_uneven(x: Column, y: Column, z: Column, resolution: int) -> tuple[Column, Column, list[Column], list[Column]]:
+    """Whether a point is in range, whether the even point is as near as the uneven one, and both."""
     scaled = [c * float(2**resolution) for c in (x, y, z)]
     even = [_round(c / 2) * 2 for c in scaled]
     uneven = [_round((c - 1) / 2) * 2 + 1 for c in scaled]
@@ -64,10 +64,22 @@ def physical_to_lattice(x: Column, y: Column, z: Column, resolution: int = 0) ->
     good = F.lit(True)
     for c in scaled:
         good = good & ~F.isnan(c) & (F.abs(c) <= float(2**31 - 2))
-    nearer = far(even) <= far(uneven)
+    return good, far(even) <= far(uneven), even, uneven
+
+
+def physical_to_lattice(x: Column, y: Column, z: Column, resolution: int = 0) -> tuple[Column, Column, Column]:
+    """The nearest lattice point after scaling by 2**resolution; even points win ties. Not finite or out of range: null."""
+    good, nearer, even, uneven = _even_or_uneven(x, y, z, resolution)
     return tuple(F.when(good, F.when(nearer, a).otherwise(b)) for a, b in zip(even, uneven, strict=True))
 
 
+def nearest_point(x: Column, y: Column, z: Column, resolution: int = 0) -> Column:
+    """physical_to_lattice() as a point. Within lambdas, where nothing is shared between columns, this compares once, not for each axis."""
+    good, nearer, even, uneven = _even_or_uneven(x, y, z, resolution)
+    nowhere = point(*[F.lit(None).cast("long")] * 3)
+    return F.when(good, F.when(nearer, point(*even)).otherwise(point(*uneven))).otherwise(nowhere)
+
+
 def physical_to_voxel(x: Column, y: Column, z: Column, size: float) -> tuple[Column, Column, Column]:
     """Rounds to voxels, then moves to the lattice."""
     return snap(*(_round(c / size) for c in (x, y, z)))

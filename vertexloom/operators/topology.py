@@ -87,12 +87,13 @@ def trace_lines(df: DataFrame, start: list, end: list) -> DataFrame:
     far = lattice.chebyshev(*[e - s for s, e in zip(start, end, strict=True)])
     df = df.withColumns({"__steps": F.greatest(far * 2, F.lit(1).cast("long")), **{f"__s{i}": s for i, s in enumerate(start)}, **{f"__e{i}": e for i, e in enumerate(end)}})
 
-    def sample(i):
-        return lattice.point(*lattice.physical_to_lattice(*[(F.col(f"__s{k}") + (F.col(f"__e{k}") - F.col(f"__s{k}")) * (i / F.col("__steps"))).cast("double") for k in range(3)]))
+    def at(i):
+        return lattice.point(*[(F.col(f"__s{k}") + (F.col(f"__e{k}") - F.col(f"__s{k}")) * (i / F.col("__steps"))).cast("double") for k in range(3)])
 
     last = lattice.point(*[F.col(f"__e{k}").cast("long") for k in range(3)])
+    samples = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__steps")), at)
     # A column of its own, so that looking back doesn't compute it again.
-    df = df.withColumn("__every", F.concat(F.transform(F.sequence(F.lit(0).cast("long"), F.col("__steps")), sample), F.array(last)))
+    df = df.withColumn("__every", F.concat(F.transform(samples, lambda p: lattice.nearest_point(*[p[c] for c in XYZ])), F.array(last)))
     back = F.concat(F.array(F.lit(None).cast("struct<x:bigint,y:bigint,z:bigint>")), F.slice("__every", 1, F.size("__every") - 1))
     df = df.withColumn("__pairs", F.arrays_zip(F.col("__every").alias("p"), back.alias("b")))
     line = F.transform(F.filter("__pairs", lambda x: ~x["p"].eqNullSafe(x["b"])), lambda x: x["p"])
@@ -214,18 +215,20 @@ def spanning_tree(edges: DataFrame, seed: int = 0) -> DataFrame:
     low, high = F.least("a", "b"), F.greatest("a", "b")
     weight = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "a", "b")), 1, 15), 16, 10).cast("long").alias("h")  # the same in any engine
     edges = shared(edges.select(low.alias("a"), high.alias("b")).filter("a <> b").distinct().withColumn("w", F.struct(weight, "a", "b")), "edges")
-    tree, open_edges = None, edges.select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    open_edges = edges.select("w", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    trees = []
     while True:
-        ends = open_edges.select(F.col("ca").alias("c"), "w").unionByName(open_edges.select(F.col("cb").alias("c"), "w"))
-        picked = shared(ends.groupBy("c").agg(F.min("w").alias("w")).select("w").distinct().select("w.a", "w.b"), "picked")
+        ends = open_edges.select(F.col("ca").alias("c"), "*").unionByName(open_edges.select(F.col("cb").alias("c"), "*"))
+        picked = shared_path(ends.groupBy("c").agg(F.min(F.struct("w", "ca", "cb")).alias("e")).select("e.*").distinct(), "picked")
+        trees.append(picked)
+        picked = edges.sparkSession.read.schema(open_edges.schema).parquet(picked)
         if picked.isEmpty():
-            return tree if tree is not None else picked
-        tree = picked if tree is None else shared(tree.unionByName(picked).distinct(), "tree")
-        names = shared(components(tree), "names")
-        a, b = (names.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
-        joined = edges.join(a, "a", "left").join(b, "b", "left")
-        joined = joined.select("a", "b", "w", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        open_edges = shared(joined.filter("ca <> cb"), "open")
+            return edges.sparkSession.read.schema(open_edges.schema).parquet(*trees).select("w.a", "w.b")
+        # Every end of an open edge has picked one. Parts become nodes, and of the edges between two parts only the least can be picked.
+        names = shared(components(picked.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "names")
+        a, b = (names.select(F.col("node").alias(f"c{n}"), F.col("component").alias(n)) for n in "ab")
+        joined = open_edges.join(a, "ca").join(b, "cb").filter("a <> b")
+        open_edges = shared(joined.groupBy(F.least("a", "b").alias("ca"), F.greatest("a", "b").alias("cb")).agg(F.min("w").alias("w")).select("w", "ca", "cb"), "open")
 
 
 def bounding_box(df: DataFrame, low: tuple, high: tuple, morton_column: str | None = None) -> DataFrame:
