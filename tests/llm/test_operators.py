@@ -387,6 +387,22 @@ def test_telephony(spark, docs, empty, tmp_path):
         p = t + b"\xff" * (-len(t) % 576 or (0 if t else 576))
         texts[r.doc_id, len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])] += 1
     assert keyed(rows, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == texts
+    for r in rows:  # blocks decoded with those of other texts, against one sample after another
+        t = next(((d.text or "").encode() for d in docs.collect() if len((d.text or "").encode()) == r.n_bytes and hashlib.sha256((d.text or "").encode() + b"\xff" * (r.payload_bytes - r.n_bytes)).hexdigest() == r.payload_sha256))
+        payload, pcm = t + b"\xff" * (r.payload_bytes - len(t)), []
+        for at in range(0, min(len(payload), 5760), 36):
+            x, index = int.from_bytes(payload[at : at + 2], "little", signed=True), min(payload[at + 2], 88)
+            pcm.append(x)
+            for code in [c for b in payload[at + 4 : at + 36] for c in (b & 15, b >> 4)]:
+                step = int(telephony.STEPS[index])
+                change = (step >> 3) + sum(step >> k for k in range(3) if code & (4 >> k))
+                x = max(-32768, min(32767, x - change if code & 8 else x + change))
+                index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+                pcm.append(x)
+        if len(payload) <= 5760:
+            weights = sum((i % 1000 + 1) * v for i, v in enumerate(pcm))
+            assert r.adpcm_feature.startswith(f"n={len(pcm)};") and r.adpcm_feature.endswith(f"weighted={weights}")
+        assert r.pcm_bytes == 44 + 4 * r.payload_bytes and r.alaw_feature.startswith(f"n={r.payload_bytes};")
     none = tmp_path / "none"
     assert scan_rows(spark, empty, none, telephony.op8_telephony_media) == []
 

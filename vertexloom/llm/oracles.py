@@ -1,9 +1,11 @@
 """SQL for DuckDB that gives the rows of the corpus queries, where SQL can express them.
 
-Each states the contract anew, by plain joins and windows over whole tables, and shares no code with its operator.
+Each states the contract anew, by plain joins and windows over whole tables, and shares no code with its operator, only a table of fixed values.
 ``op2`` (a fitted model) and ``op9`` (votes over parsed markup) have none.
 """
 
+from .telephony import STEPS
+
 #: Words are told apart after this lowers A to Z only.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -198,11 +200,30 @@ f AS (
   SELECT rid, 2 * count(*) AS n, (sum(abs(x) + abs(y)) * 1000 // (2 * count(*)))::BIGINT AS mean, greatest(max(abs(x)), max(abs(y))) AS peak,
          count_if((x < 0) <> (y < 0)) + count_if((last < 0) <> (x < 0)) AS crossings,
          flatten(list([x & 255, (x >> 8) & 255, y & 255, (y >> 8) & 255] ORDER BY k)) AS pcm
-  FROM turns GROUP BY rid)
+  FROM turns GROUP BY rid),
+ima AS (
+  SELECT rid, block, 0 AS step, raw, x, least(raw[3], 88) AS idx
+  FROM (SELECT rid, block, raw, raw[1] + 256 * raw[2] - CASE WHEN raw[2] > 127 THEN 65536 ELSE 0 END AS x
+    FROM (SELECT rid, (k - 1) // 36 AS block, list(b ORDER BY k) AS raw FROM codes GROUP BY rid, block))
+  UNION ALL
+  SELECT rid, block, step + 1, raw, least(greatest(x + CASE WHEN c & 8 = 8 THEN -change ELSE change END, -32768), 32767),
+         least(greatest(idx + [-1, -1, -1, -1, 2, 4, 6, 8][(c & 7) + 1], 0), 88)
+  FROM (SELECT *, (size >> 3) + CASE WHEN c & 4 = 4 THEN size ELSE 0 END + CASE WHEN c & 2 = 2 THEN size >> 1 ELSE 0 END + CASE WHEN c & 1 = 1 THEN size >> 2 ELSE 0 END AS change
+    FROM (SELECT *, (raw[5 + step // 2] >> (4 * (step % 2))) & 15 AS c, {STEPS.tolist()}[idx + 1] AS size FROM ima WHERE step < 64))),
+others AS (
+  SELECT 'alaw' AS codec, rid, k, CASE WHEN c & 128 = 128 THEN v ELSE -v END AS x
+  FROM (SELECT *, CASE WHEN c & 112 = 0 THEN ((c & 15) << 4) + 8 ELSE (((c & 15) << 4) + 264) << (((c & 112) >> 4) - 1) END AS v FROM (SELECT rid, k, xor(b, 85) AS c FROM codes))
+  UNION ALL
+  SELECT 'adpcm', rid, block * 65 + step + 1, x FROM ima),
+o AS (
+  SELECT codec, rid, 'n=' || count(*) || ';mean=' || (sum(abs(x)) * 1000 // count(*)) || ';peak=' || max(abs(x)) || ';crossings=' || count_if((x < 0) <> (last < 0))
+         || ';weighted=' || sum(x * ((k - 1) % 1000 + 1)) AS feature
+  FROM (SELECT *, lag(x) OVER (PARTITION BY codec, rid ORDER BY k) AS last FROM others) GROUP BY codec, rid)
 SELECT doc_id, n_bytes, m.n::BIGINT AS payload_bytes, sha256(unhex(payload)) AS payload_sha256, {_crc32(_bytes("right(payload, 64)"))} AS tail_crc32,
        (m.n + 46)::BIGINT AS media_bytes, sha256(unhex(media)) AS media_sha256,
-       'n=' || f.n || ';mean=' || mean || ';peak=' || peak || ';crossings=' || crossings || ';pcm=' || printf('%08x', {_crc32("pcm")}) AS feature
-FROM m JOIN f USING (rid), crcs
+       'n=' || f.n || ';mean=' || mean || ';peak=' || peak || ';crossings=' || crossings || ';pcm=' || printf('%08x', {_crc32("pcm")}) AS feature,
+       (4 * m.n + 44)::BIGINT AS pcm_bytes, alaw.feature AS alaw_feature, adpcm.feature AS adpcm_feature
+FROM m JOIN f USING (rid) JOIN o AS alaw ON alaw.rid = m.rid AND alaw.codec = 'alaw' JOIN o AS adpcm ON adpcm.rid = m.rid AND adpcm.codec = 'adpcm', crcs
 """
 
 

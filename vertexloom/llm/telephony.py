@@ -3,6 +3,9 @@
 Samples are stored as WAV files in a binary column. Decoding gives 16-bit PCM; ADPCM blocks (IMA, mono) are
 independent, so that all blocks of a file take each of their steps at once. PCM is resampled linearly.
 
+The query stores each text as mu-law and, from that file, as resampled PCM; it also reads the payload as A-law codes and as
+ADPCM blocks of ``BLOCK`` bytes, the blocks of many texts at once.
+
 Null text is empty. Rows are kept one for one, with null or repeated ids as they are; equal texts give equal values.
 """
 
@@ -18,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import own_names, python_rows, table
-from .textkernel import as_bytes
+from .textkernel import as_bytes, chunks
 
 #: WAV format tags.
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 0x11
 RATE, UNIT, PAD = 8000, 576, b"\xff"
+#: Bytes of an ADPCM block that a payload is read as; UNIT is a multiple.
+BLOCK = 36
 
 
 def _mulaw_table() -> np.ndarray:
@@ -169,13 +174,26 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     return np.rint(np.interp(at, np.arange(len(pcm)), pcm)).astype(np.int16)
 
 
-def feature(pcm: np.ndarray) -> str:
-    """Samples, mean magnitude, peak, sign changes and a CRC of the stored PCM."""
+def levels(pcm: np.ndarray) -> str:
+    """Samples, mean magnitude, peak and sign changes."""
     if not len(pcm):
         return "n=0"
     size = np.abs(pcm.astype(np.int32))
     crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    return f"n={len(pcm)};mean={int(size.sum(dtype=np.int64)) * 1000 // len(pcm)};peak={int(size.max())};crossings={crossings};pcm={zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
+    return f"n={len(pcm)};mean={int(size.sum(dtype=np.int64)) * 1000 // len(pcm)};peak={int(size.max())};crossings={crossings}"
+
+
+def feature(pcm: np.ndarray) -> str:
+    """levels() and a CRC of the stored PCM."""
+    return f"{levels(pcm)};pcm={zlib.crc32(pcm.astype('<i2').tobytes()):08x}" if len(pcm) else levels(pcm)
+
+
+def weighted(pcm: np.ndarray, every: int = 1000) -> str:
+    """levels() and the sum of the samples, weighted by their place in each thousand (from 1)."""
+    whole = len(pcm) // every * every
+    sums = pcm[:whole].reshape(-1, every).sum(axis=0, dtype=np.int64)
+    sums[: len(pcm) - whole] += pcm[whole:]
+    return f"{levels(pcm)};weighted={int((sums * np.arange(1, every + 1)).sum())}"
 
 
 def _decoded(rate: int):
@@ -207,22 +225,30 @@ def store_text(text: bytes) -> bytes:
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "alaw_feature", "adpcm_feature"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
     for batch in batches:
-        out = []
-        for text in as_bytes(batch.column(1)):
-            media = store_text(text)
-            payload = read_wav(media)[3]
-            rate, pcm = decode(media)
-            out.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(resample(pcm, rate, 2 * rate))))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        columns = [pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
+        for at, part in chunks(as_bytes(batch.column(1))):
+            out, payloads = [], []
+            for text in part:
+                media = store_text(text)
+                payload = read_wav(media)[3]
+                rate, samples = decode(media)
+                stored = wav(resample(samples, rate, 2 * rate).astype("<i2").tobytes(), PCM, 2 * rate, 2, 16)
+                pcm, alaw = decode(stored)[1], ALAW_PCM[np.frombuffer(payload, dtype=np.uint8)]
+                out.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(pcm), len(stored), weighted(alaw)))
+                payloads.append(payload)
+            adpcm = decode_ima(b"".join(payloads), BLOCK)
+            ends = np.cumsum([len(p) // BLOCK * (2 * BLOCK - 7) for p in payloads])
+            out = [(*r, weighted(pcm)) for r, pcm in zip(out, np.split(adpcm, ends[:-1]), strict=True)]
+            columns = [pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *columns], names)
 
 
 def op8_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return python_rows(
         own_names(table(spark, sf_dir, "documents"), ["doc_id", "text"]),
         _stored,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+        "pcm_bytes long, alaw_feature string, adpcm_feature string",
     )
