@@ -273,6 +273,47 @@ def test_jaccard_join(docs, n, percent, block):
     assert found == brute_components([(r.doc_id, r.text) for r in docs.collect()], n, percent)
 
 
+@pytest.mark.parametrize("few", [0, 2, triejoin.FEW])
+def test_jaccard_join_with_a_full_sketch(docs, monkeypatch, few):
+    monkeypatch.setattr(triejoin, "SKETCH_BITS", 6)
+    monkeypatch.setattr(triejoin, "FEW", few)
+    found = keyed(triejoin.jaccard_components(docs, 5, 80, 500).collect(), "doc_id", "n_shingles", "component_id")
+    assert found == brute_components([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
+
+
+def test_grams_shared_by_chance_make_no_blocks(spark, monkeypatch):
+    """Each text has eight grams that one other text has too, and the sketch can't tell them from its own ones."""
+    r, held, real = random.Random(3), {}, triejoin.stored
+    passages = [f"p{k} " + " ".join(f"p{k}w{j}" for j in range(4)) for k in range(1200)] * 2
+    r.shuffle(passages)
+    texts = [" ".join(f"{' '.join(f't{i}w{k}x{j}' for j in range(20))} {passages[8 * i + k]}" for k in range(8)) for i in range(300)]
+    texts += [near(texts[i], 2, i) for i in range(5)]
+
+    def stored(df, label):
+        held[label] = real(df, label)
+        return held[label]
+
+    monkeypatch.setattr(triejoin, "SKETCH_BITS", 6)
+    monkeypatch.setattr(triejoin, "stored", stored)
+    found = triejoin.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80)
+    assert keyed(found.collect(), "doc_id", "n_shingles", "component_id") == brute_components(list(enumerate(texts)), 5, 80)
+    assert held["blocks"].count() == 10
+
+
+@pytest.mark.parametrize("percent", [1, 50, 80, 90, 100])
+def test_linked_sets_share_so_many_keys(percent):
+    r = random.Random(percent)
+    for _ in range(2000):
+        n = r.choice([r.randint(1, 12), r.randint(1, 400)])
+        need = max(1, -(-n * percent // 100))
+        kept = r.sample(range(n), r.randint(need, n))
+        a, b = set(range(n)), {*kept, *range(1000, 1000 + r.randint(0, max(0, 100 * len(kept) // percent - n)))}
+        assert 100 * len(a & b) >= percent * len(a | b)
+        order = r.sample(range(3000), 3000) if n < 400 and len(b) < 400 else range(10**6)
+        firsts = [set(sorted(s, key=lambda x: order[x])[: len(s) - -(-len(s) * percent // 100) + triejoin.least_shared(len(s), percent)]) for s in (a, b)]
+        assert len(firsts[0] & firsts[1]) >= min(triejoin.least_shared(len(s), percent) for s in (a, b))
+
+
 def test_trie_links():
     r = np.random.default_rng(2)
     for _ in range(60):

@@ -1,10 +1,13 @@
 """N-gram Jaccard join with a prefix tree.
 
 Texts become sets of word n-grams (64-bit hashes), and equal sets one class. All sets share a global order, from
-rare to common by a count sketch over the whole corpus. Two sets with a Jaccard of at least t share one of the
-first n - ceil(t n) + 1 grams in that order, so that a class has few keys. Under each key, classes of one size are linked
-with the least of them, and these are chained by size while the next size isn't too large; any pair that could be linked
-is within one chain, and chains that meet form a block. A block's sets go to one task, once, where they are stored in a path-compressed trie, common
+rare to common by a count sketch over the whole corpus. Two sets with a Jaccard of at least t share l of the
+first n - ceil(t n) + l grams in that order, so that a class has few keys; l grows with a set's size, and of two the lesser holds.
+Pairs that share too few keys aren't linked, so that a key that unrelated texts share by chance brings nothing together. First
+classes that follow each other by size under enough keys are put together, then groups of these that share enough keys.
+Only under a key of more than ``FEW`` classes pairs aren't counted: there, classes of one size are linked
+with the least of them, and these are chained by size while the next size isn't too large, so that any pair that could be linked
+is within one chain. What meets forms a block. A block's sets go to one task, once, where they are stored in a path-compressed trie, common
 grams first. Each set is carried through the trie; overlaps are shared by all sets below a node, and a subtree is
 left when the grams still to come can't reach the overlap that its sizes ask for, or when all its sets are linked
 with the query already. The links found this way connect exactly the classes that all links would connect.
@@ -36,6 +39,9 @@ from .textkernel import NON_SPACE, Words, as_bytes, chunks, shingles
 #: logarithm, so that common grams stand out in any corpus.
 SKETCH_BITS = 25
 BLOCK_GRAMS = 1_000_000
+#: Classes that a key may have for its pairs to be counted. Where the sketch is full (at 30 GB some 360 grams a bucket) keys of up
+#: to 50 classes still look rare.
+FEW = 64
 
 
 def gram_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
@@ -54,6 +60,16 @@ def gram_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, dtype=np.uint64)
 
 
+def least_shared(n: int, percent: int) -> int:
+    """How many keys a set of n grams shares at least with any that it is linked with and that isn't smaller."""
+    return max(1, min(1 + min(n // 8, 2 + n // 100), (n * percent + 99) // 100))
+
+
+def _least_shared(n: str, percent: int):
+    """least_shared() of a column."""
+    return F.expr(f"greatest(1, least(1 + least({n} div 8, 2 + {n} div 100), ({n} * {percent} + 99) div 100))")
+
+
 def class_of(grams: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - 2**63 if len(grams) else None
 
@@ -74,7 +90,7 @@ def _prefixes(n: int, percent: int, sketch):
             for grams in gram_sets(as_bytes(batch.column(2)), n):
                 sizes.append(len(grams))
                 classes.append(class_of(grams))
-                size = len(grams) - -(-len(grams) * percent // 100) + 1 if len(grams) else 0
+                size = len(grams) - -(-len(grams) * percent // 100) + least_shared(len(grams), percent) if len(grams) else 0
                 order = np.argsort(counts[grams & mask], kind="stable")[:size]
                 keys.append(grams[order].view(np.int64))
             offsets = np.zeros(len(keys) + 1, dtype=np.int32)
@@ -225,6 +241,40 @@ def _join_blocks(percent: int):
     return rows
 
 
+def _chained(keyed: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that bring together all classes of a key whose sizes allow a link."""
+    # Counts and chains are of sizes, not of classes, so that no task holds all classes of a key.
+    heads = stored(keyed.groupBy("key", "size").agg(F.min("class").alias("head"), F.count("*").alias("n")), "heads")
+    chain = Window.partitionBy("key").orderBy("size")
+    near = heads.withColumn("before", F.lag("head").over(chain)).withColumn("smaller", F.lag("size").over(chain))
+    near = near.filter(F.col("smaller") * 100 >= F.col("size") * percent).select(F.col("before").alias("a"), F.col("head").alias("b"))
+    alike = heads.filter("n > 1").select(F.col("key").alias("k"), F.col("size").alias("z"), "head")
+    alike = keyed.join(alike, (F.col("key") == F.col("k")) & (F.col("size") == F.col("z"))).select(F.col("head").alias("a"), F.col("class").alias("b"))
+    return near.unionByName(alike)
+
+
+def _counted(keyed: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that bring together all classes whose sizes allow a link and that share as many keys as linked ones do at least.
+
+    A key has FEW classes at most here.
+    """
+    follow = Window.partitionBy("key").orderBy("size", "class")
+    near = keyed.select("class", "size", F.lag("class").over(follow).alias("a"), F.lag("size").over(follow).alias("smaller"))
+    near = near.filter(F.col("smaller") * 100 >= F.col("size") * percent).groupBy("a", F.col("class").alias("b"))
+    near = near.agg(F.count("*").alias("n"), F.min("smaller").alias("z")).filter(F.col("n") >= _least_shared("z", percent)).select("a", "b")
+    near = stored(near, "near")
+    groups = stored(components(near), "groups")
+    # Under each key the groups there, with the sizes that they have there; the pairs of these, counted over all keys.
+    own = keyed.join(small(groups, groups.count()), F.col("class") == F.col("node"), "left").select("key", "size", F.coalesce("component", "class").alias("g"))
+    own = own.repartition("key").groupBy("key", "g").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    sides = own.groupBy("key").agg(F.collect_list(F.struct("g", "least", "most")).alias("all")).filter(F.size("all") > 1).select("all")
+    pairs = sides.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).filter("x.g < y.g")
+    pairs = pairs.filter((F.col("x.most") * 100 >= F.col("y.least") * percent) & (F.col("y.most") * 100 >= F.col("x.least") * percent))
+    pairs = pairs.select(F.col("x.g").alias("a"), F.col("y.g").alias("b"), F.least("x.least", "y.least").alias("z"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("z").alias("z")).filter(F.col("n") >= _least_shared("z", percent))
+    return near.unionByName(pairs.select("a", "b"))
+
+
 def jaccard_components(docs: DataFrame, n: int, percent: int, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, class, component_id."""
     spark = docs.sparkSession
@@ -240,16 +290,13 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, block_grams: int =
     )
     classes = stored(classes, "classes")
     keyed = classes.select("class", "size", F.explode("keys").alias("key"))
-    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k")), "keys")
-    keyed = stored(keyed.join(shared, F.col("key") == F.col("k"), "left_semi"), "keyed")
-    # Counts and chains are of sizes, not of classes, so that no task holds all classes of a key.
-    heads = stored(keyed.groupBy("key", "size").agg(F.min("class").alias("head"), F.count("*").alias("n")), "heads")
-    chain = Window.partitionBy("key").orderBy("size")
-    near = heads.withColumn("before", F.lag("head").over(chain)).withColumn("smaller", F.lag("size").over(chain))
-    near = near.filter(F.col("smaller") * 100 >= F.col("size") * percent).select(F.col("before").alias("a"), F.col("head").alias("b"))
-    alike = heads.filter("n > 1").select(F.col("key").alias("k"), F.col("size").alias("z"), "head")
-    alike = keyed.join(alike, (F.col("key") == F.col("k")) & (F.col("size") == F.col("z"))).select(F.col("head").alias("a"), F.col("class").alias("b"))
-    blocks = components(near.unionByName(alike).filter("a <> b").distinct())
+    # A key of two classes brings them together only if their sizes allow a link; most that are shared by chance go here.
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
+    shared = shared.filter((F.col("n") > 2) | (F.col("n") == 2) & (F.col("least") * 100 >= F.col("most") * percent))
+    shared = stored(shared.select(F.col("key").alias("k"), "n"), "keys")
+    keyed = stored(keyed.join(shared, F.col("key") == F.col("k")).select("class", "size", "key", "n"), "keyed")
+    links = _chained(keyed.filter(F.col("n") > FEW), percent).unionByName(_counted(keyed.filter(F.col("n") <= FEW), percent))
+    blocks = components(links.filter("a <> b").distinct())
     members = classes.select("class", "rep", "size").join(blocks, F.col("class") == F.col("node")).select("class", "rep", "size", F.col("component").alias("block"))
     members = stored(members, "blocks")
 
