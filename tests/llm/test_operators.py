@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -777,3 +778,53 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
                 assert query(spark, path).count() == docs.count(), name
         slots = out.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m"), F.count_distinct("slot").alias("d")).collect()
         assert all(r.n == r.m + 1 == r.d for r in slots)
+
+
+def test_python_gets_few_bytes_at_once(spark):
+    from vertexloom.llm import common
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def measured(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.unset(limit)
+        found = common.python_rows(rows, measured, "n long, size long").collect()
+        assert sum(r.n for r in found) == 3000 and max(r.size for r in found) < 1.1 * common.BATCH_BYTES
+        spark.conf.set(limit, "1m")  # a session's own limit stays
+        found = common.python_rows(rows, measured, "n long, size long").collect()
+        assert sum(r.n for r in found) == 3000 and max(r.size for r in found) < 1.1 * (1 << 20)
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_python_memory_of_a_batch():
+    """Peaks of what Python and numpy hold over a batch of 4 MB, tables that stay included."""
+    import tracemalloc
+
+    from vertexloom.llm import sketch
+
+    texts = [prose(300, i % 50) + f" {i}" for i in range(3200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    assert 3 << 20 < batch.nbytes < 6 << 20
+
+    class Index:
+        value = winnow.Index([("7", texts[7].encode())])
+
+    def peak(rows, batches):
+        textkernel._cache.clear()
+        tracemalloc.start()
+        try:
+            return sum(b.num_rows for b in rows(iter(batches))), tracemalloc.get_traced_memory()[1] >> 20
+        finally:
+            tracemalloc.stop()
+
+    rows, held = peak(winnow._search(Index), [batch])
+    assert rows == len(texts) and held < 30
+    # The sketch itself is 1 MB here.
+    rows, held = peak(sketch._partial(lambda b: triejoin.gram_sets(textkernel.as_bytes(b.column(0)), 5), 20), [batch] * 5)
+    assert rows == sketch.PARTS and held < 60

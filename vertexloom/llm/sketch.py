@@ -13,6 +13,8 @@ from .common import python_rows
 
 #: Parts in which counts are added up, each in a task.
 PARTS = 64
+#: Hashes that are held before they are counted; scratch arrays take about 40 bytes each.
+HELD = 1 << 20
 
 
 def _partial(hashes: Callable, bits: int):
@@ -32,7 +34,7 @@ def _partial(hashes: Callable, bits: int):
             for found in hashes(batch):
                 held.append((found & mask).astype(np.uint32))
                 size += len(found)
-                if size > 1 << 22:
+                if size > HELD:
                     add(held)
                     held, size = [], 0
         if held:

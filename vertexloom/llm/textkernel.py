@@ -15,8 +15,8 @@ import numpy as np
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15 | 1)
 _TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-#: Bytes of text handled at once; scratch arrays are about 40 times as large.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text handled at once; scratch arrays are about 40 times as large, and a worker keeps tables of 32 times as much.
+CHUNK_BYTES = 1 << 18
 
 #: Bytes of words that are anything but ASCII white space.
 NON_SPACE = np.ones(256, dtype=bool)
