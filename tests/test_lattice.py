@@ -264,3 +264,36 @@ def test_packed_containers_and_collections(spark):
     features = spark.createDataFrame([(i, json.dumps({"type": "Feature", "id": i})) for i in range(3)], "id long, feature string")
     text = "".join(r.line for r in files.feature_collection(features, "id").orderBy("order").collect())
     assert len(json.loads(text)["features"]) == 3
+
+
+def test_lines_are_sampled_by_all_tasks(spark):
+    """Against plain Python, with nulls and points out of range; lines of one task's rows are dealt out, and many take little time."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    whole = lambda v: int(Decimal(v).quantize(Decimal(1), ROUND_HALF_UP))
+
+    def traced(s, e):
+        n = max([abs(b - a) * 2 for a, b in zip(s, e, strict=True) if None not in (a, b)] + [1])
+        out = []
+        for i in range(n + 1):
+            p = [None if None in (a, b) else a + (b - a) * (i / n) for a, b in zip(s, e, strict=True)]
+            if any(c is None or abs(c) > 2**31 - 2 for c in p):
+                out.append((None,) * 3)
+                continue
+            even, uneven = [whole(c / 2) * 2 for c in p], [whole((c - 1) / 2) * 2 + 1 for c in p]
+            far = lambda q: sum((a - b) * (a - b) for a, b in zip(q, p, strict=True))  # noqa: B023, E731
+            out.append(tuple(even if far(even) <= far(uneven) else uneven))
+        out.append(tuple(e))
+        return [p for k, p in enumerate(out) if k == 0 or p != out[k - 1]]
+
+    ends = [((0, 0, 0), (0, 0, 0)), ((1, 2, 3), (-7, 5, 1)), ((None, 2, 3), (4, 5, 6)), ((1, 2, 3), (None, 5, 6)), ((2**31 - 6, 5, 1), (2**31 + 6, 0, 0)), ((0, 1, 0), (0, 1, 0))]
+    ends += [((k % 11 - 5, k % 7, -k), (3 * k, k % 5, 1)) for k in range(60)]
+    rows = spark.createDataFrame([(i, *s, *e) for i, (s, e) in enumerate(ends)], "id long, sx long, sy long, sz long, ex long, ey long, ez long").coalesce(1)
+    start, end = ([F.col(f"{k}{c}") for c in XYZ] for k in "se")
+    lines = topology.trace_lines(rows, start, end)
+    assert lines.columns == [*rows.columns, "line"] and lines.rdd.getNumPartitions() > 1
+    assert {r.id: [tuple(p) for p in r.line] for r in lines.collect()} == {i: traced(*e) for i, e in enumerate(ends)}
+    far = [topology.SAMPLES // 2, 0, 1, 5]  # a line longer than what is held at once, and those after it
+    many = spark.createDataFrame([(x, 0, 0) for x in far], "sx long, sy long, sz long").coalesce(1)
+    long = topology.trace_lines(many, start, [F.lit(0).cast("long")] * 3).collect()
+    assert {r.sx: [tuple(p) for p in r.line] for r in long} == {x: traced((x, 0, 0), (0, 0, 0)) for x in far}

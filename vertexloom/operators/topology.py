@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import ids, lattice
+from ..runtime import shipped, spread
 
 XYZ = ["x", "y", "z"]
+#: Samples of lines that are held at once, 1 MB for each of some twenty arrays.
+SAMPLES = 1 << 17
 
 
 def _c(*names):
@@ -82,22 +88,70 @@ def radius(df: DataFrame, r: float) -> DataFrame:
     return out.select(*df.columns, (F.col("x") + F.col("o.a")).alias("ox"), (F.col("y") + F.col("o.b")).alias("oy"), (F.col("z") + F.col("o.c")).alias("oz"))
 
 
+def _round(v: np.ndarray) -> np.ndarray:
+    """Halves go away from zero."""
+    whole = np.trunc(v)
+    return np.where(np.abs(v - whole) >= 0.5, whole + np.copysign(1.0, v), whole)
+
+
+def _sampled(steps: np.ndarray, start: list[np.ndarray], by: list[np.ndarray], end: list[np.ndarray], known: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of each row's line: how many points, their coordinates, and where these are null (of a point that isn't finite or is out of range)."""
+    rows = np.repeat(np.arange(len(steps)), steps + 2)  # the samples, and the end
+    first = np.cumsum(steps + 2) - (steps + 2)
+    i = np.arange(len(rows)) - first[rows]
+    part = i / steps[rows]
+    at = [s[rows] + d[rows] * part for s, d in zip(start, by, strict=True)]
+    good = np.logical_and.reduce([np.abs(c) <= float(2**31 - 2) for c in at])  # as nearest_point(); false for NaN
+    at = [np.where(good, c, 0.0) for c in at]
+    even, uneven = [_round(c / 2) * 2 for c in at], [_round((c - 1) / 2) * 2 + 1 for c in at]
+    far = lambda p: sum((a - b) * (a - b) for a, b in zip(p, at, strict=True))
+    nearer = far(even) <= far(uneven)
+    last = i > steps[rows]
+    out, null = [], []
+    for a, b, e, k in zip(even, uneven, end, known, strict=True):
+        point = np.where(nearer, a, b).astype(np.int64) * good
+        point[last] = e
+        there = good.copy()
+        there[last] = k
+        out.append(point)
+        null.append(~there)
+    new = i == 0
+    for values in (*out, *null):
+        new[1:] |= values[1:] != values[:-1]
+    return np.bincount(rows[new], minlength=len(steps)), [c[new] for c in out], [c[new] for c in null]
+
+
+def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns of the rows; then steps, start, difference and end. Rows of SAMPLES samples at once; a longer line alone."""
+    for batch in batches:
+        kept = batch.num_columns - 10
+        steps = batch.column(kept).to_numpy(zero_copy_only=False)
+        floats = [batch.column(kept + k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in range(1, 7)]  # null: NaN
+        ends = [batch.column(kept + k) for k in range(7, 10)]
+        known = [e.is_valid().to_numpy(zero_copy_only=False) for e in ends]
+        ends = [e.fill_null(0).to_numpy(zero_copy_only=False) for e in ends]
+        total, a = np.cumsum(steps + 2), 0
+        while a < len(steps):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + SAMPLES, "right")))
+            cut = lambda columns: [c[a:b] for c in columns]  # noqa: B023, E731
+            n, points, null = _sampled(steps[a:b], cut(floats[:3]), cut(floats[3:]), cut(ends), cut(known))
+            at = pa.StructArray.from_arrays([pa.array(c, pa.int64(), mask=m) for c, m in zip(points, null, strict=True)], XYZ)
+            line = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), at)
+            held = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([*held.columns[:kept], line], [*batch.schema.names[:kept], "line"])
+            a = b
+
+
 def trace_lines(df: DataFrame, start: list, end: list) -> DataFrame:
-    """Adds line: points from start to end, sampled at half the largest step, snapped, without repeats in a row, the end forced."""
-    far = lattice.chebyshev(*[e - s for s, e in zip(start, end, strict=True)])
-    df = df.withColumns({"__steps": F.greatest(far * 2, F.lit(1).cast("long")), **{f"__s{i}": s for i, s in enumerate(start)}, **{f"__e{i}": e for i, e in enumerate(end)}})
-
-    def at(i):
-        return lattice.point(*[(F.col(f"__s{k}") + (F.col(f"__e{k}") - F.col(f"__s{k}")) * (i / F.col("__steps"))).cast("double") for k in range(3)])
-
-    last = lattice.point(*[F.col(f"__e{k}").cast("long") for k in range(3)])
-    samples = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__steps")), at)
-    # A column of its own, so that looking back doesn't compute it again.
-    df = df.withColumn("__every", F.concat(F.transform(samples, lambda p: lattice.nearest_point(*[p[c] for c in XYZ])), F.array(last)))
-    back = F.concat(F.array(F.lit(None).cast("struct<x:bigint,y:bigint,z:bigint>")), F.slice("__every", 1, F.size("__every") - 1))
-    df = df.withColumn("__pairs", F.arrays_zip(F.col("__every").alias("p"), back.alias("b")))
-    line = F.transform(F.filter("__pairs", lambda x: ~x["p"].eqNullSafe(x["b"])), lambda x: x["p"])
-    return df.withColumn("line", line).drop("__steps", "__every", "__pairs", *[f"__{c}{i}" for c in "se" for i in range(3)])
+    """Adds line: points from start to end, sampled at half the largest step, snapped, without repeats in a row, the end forced.
+    Sampled in Python over arrays of many lines, as lambdas would run for each point uncompiled."""
+    shipped(df.sparkSession)
+    by = [e - s for s, e in zip(start, end, strict=True)]
+    steps = F.greatest(lattice.chebyshev(*by) * 2, F.lit(1).cast("long"))
+    double = [c.cast("double") for c in (*start, *by)]
+    schema = StructType([*df.schema.fields, *StructType.fromDDL("line array<struct<x:bigint,y:bigint,z:bigint>>").fields])
+    parts = [c.alias(f"__{k}") for k, c in enumerate([steps, *double, *[e.cast("long") for e in end]])]
+    return spread(df).select("*", *parts).mapInArrow(_line_rows, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

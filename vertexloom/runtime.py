@@ -1,4 +1,4 @@
-"""Giving the executors' Python this package."""
+"""Giving the executors' Python this package, and rows to all tasks."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shipped(spark: SparkSession | None = None) -> None:
@@ -25,3 +25,8 @@ def shipped(spark: SparkSession | None = None) -> None:
             out.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(f"{folder}/{root.name}.zip")
     shipped.app = app
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly over tasks, for work that costs far more than moving its rows: a file of one row group is read by one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
