@@ -297,3 +297,20 @@ def test_lines_are_sampled_by_all_tasks(spark):
     many = spark.createDataFrame([(x, 0, 0) for x in far], "sx long, sy long, sz long").coalesce(1)
     long = topology.trace_lines(many, start, [F.lit(0).cast("long")] * 3).collect()
     assert {r.sx: [tuple(p) for p in r.line] for r in long} == {x: traced((x, 0, 0), (0, 0, 0)) for x in far}
+
+
+def test_containers_of_many_frames(spark):
+    """More than one container may hold by its format, whatever is asked for; frames keep their numbers, of cut containers and after gaps too."""
+    n = files.FRAMES_MOST + 5
+    seq = F.col("id") + F.when(F.col("id") >= 70_000, 3).otherwise(0)
+    frames = spark.range(0, n, 1, 1).select(F.lit("a").alias("container"), seq.alias("seq"), F.encode(seq.cast("string"), "UTF-8").alias("payload"))
+    for most in (1 << 40, 1000):
+        data = files.containers(frames, "none", most)
+        found = files.frames_of(data.select(F.col("container").alias("path"), "first", "data"))
+        at = F.decode("payload", "UTF-8").cast("long")
+        r = found.agg(F.count("*").alias("n"), F.count_distinct("frame").alias("d"), F.count_if((F.col("path") == "a") & (F.col("frame") == at)).alias("same")).first()
+        assert (r.n, r.d, r.same) == (n, n, n)
+        held = [len(files.container_frames(bytes(r.data))) for r in data.collect()]
+        assert sum(held) == n and max(held) == min(most, 70_000)
+    with pytest.raises(ValueError):
+        files.container_bytes([b""] * n)

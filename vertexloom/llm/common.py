@@ -11,16 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..runtime import shipped
+from ..runtime import BATCH_BYTES, python_rows, shipped  # noqa: F401  for the operators
 
 #: Words as the contracts count them: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a broadcast side may have at most; beyond it joins shuffle. Rows here are narrow (about 100 bytes).
 BROADCAST_ROWS = 500_000
-#: Bytes of rows that go to Python at once. Spark's own limit of 64 MB is held several times over by the JVM and by Python, for each
-#: core; a session that sets another limit keeps it.
-BATCH_BYTES = 4 << 20
-_BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,15 +61,6 @@ def hash63(*parts) -> "F.Column":
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
 
 
-def python_rows(df: DataFrame, function, schema: str | StructType) -> DataFrame:
-    """mapInArrow with the package at hand, in batches of BATCH_BYTES about (a longer row comes alone)."""
-    shipped(df.sparkSession)
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH, _SPARKS_OWN) == _SPARKS_OWN:
-        conf.set(_BATCH, f"{BATCH_BYTES}b")
-    return df.mapInArrow(function, schema)
-
-
 def text_last(df: DataFrame) -> DataFrame:
     """df with its column text as the last one."""
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c != "text"], "text")

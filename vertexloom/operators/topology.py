@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import ids, lattice
-from ..runtime import shipped, spread
+from ..runtime import python_rows, spread
 
 XYZ = ["x", "y", "z"]
 #: Samples of lines that are held at once, 1 MB for each of some twenty arrays.
@@ -145,13 +145,12 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trace_lines(df: DataFrame, start: list, end: list) -> DataFrame:
     """Adds line: points from start to end, sampled at half the largest step, snapped, without repeats in a row, the end forced.
     Sampled in Python over arrays of many lines, as lambdas would run for each point uncompiled."""
-    shipped(df.sparkSession)
     by = [e - s for s, e in zip(start, end, strict=True)]
     steps = F.greatest(lattice.chebyshev(*by) * 2, F.lit(1).cast("long"))
     double = [c.cast("double") for c in (*start, *by)]
     schema = StructType([*df.schema.fields, *StructType.fromDDL("line array<struct<x:bigint,y:bigint,z:bigint>>").fields])
     parts = [c.alias(f"__{k}") for k, c in enumerate([steps, *double, *[e.cast("long") for e in end]])]
-    return spread(df).select("*", *parts).mapInArrow(_line_rows, schema)
+    return python_rows(spread(df).select("*", *parts), _line_rows, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -300,8 +300,8 @@ _FRAMES = f"SELECT (id % 4)::VARCHAR AS path, id // 4 AS frame, repeat(id || ' '
 
 @query(_FRAMES)
 def containers(spark, sf_dir):
-    """Frames in packed containers of format 1, read again."""
-    data = files.containers(_frames(spark, sf_dir), "zstd", 1 << 40).select(F.col("container").alias("path"), "data")
+    """Frames in packed containers of format 1, a thousand in each, read again."""
+    data = files.containers(_frames(spark, sf_dir), "zstd").select(F.col("container").alias("path"), "first", "data")
     return files.frames_of(data).select("path", "frame", F.decode("payload", "UTF-8").alias("text"))
 
 

@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import shipped
+from ..runtime import python_rows, shipped
 
 XYZ = ["x", "y", "z"]
 DATASET = "name string, cells array<struct<frame:int,resolution:int,x:int,y:int,z:int,value:double>>"
 #: Container format 1, fixed values: magic, and the limits that a reader trusts (frames; a frame's bytes, packed and unpacked).
 MAGIC, FRAMES_MOST, PACKED_MOST, UNPACKED_MOST = b"OCTA3D\0\0", 100_000, 64 << 20, 256 << 20
 CODECS = {"lz4": 0, "zstd": 1, "none": 3}
+FRAME, FRAME_NAMES = "path string, frame long, payload binary", ["path", "frame", "payload"]
 
 
 def frames(spark: SparkSession, more: list[tuple] = ()) -> DataFrame:
@@ -156,9 +157,11 @@ def packed(codec: str, data: bytes) -> bytes:
 
 
 def container_bytes(payloads: list[bytes], codec: str = "none") -> bytes:
-    """A container of frames. Header: magic, version (1 byte), flags (1), frames (4), reserved (2). Then all
+    """A container of frames, FRAMES_MOST at most. Header: magic, version (1 byte), flags (1), frames (4), reserved (2). Then all
     frame headers: codec, its version, graph, reserved (1 byte each), bytes unpacked, bytes packed, CRC-32 of the packed bytes (4
     each). Then the frames. Numbers have their highest byte first."""
+    if len(payloads) > FRAMES_MOST:
+        raise ValueError("more frames than a reader takes")
     bodies = [packed(codec, p) for p in payloads]
     heads = [struct.pack(">BBBBIII", CODECS[codec], 1, 0, 0, len(p), len(b), zlib.crc32(b)) for p, b in zip(payloads, bodies, strict=True)]
     return MAGIC + struct.pack(">BBIxx", 1, 0, len(payloads)) + b"".join(heads) + b"".join(bodies)
@@ -193,35 +196,57 @@ def unpacked(codec: int, body: bytes, full: int) -> bytes:
     return pa.Codec("lz4_raw").decompress(body[4:], full).to_pybytes()  # after the size
 
 
-def _frame_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = container_frames(data)
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.binary())], ["path", "frame", "payload"])
+def frame_rows(read):
+    """Rows of the frames that read() finds in a container; numbered from the one that a third column names, or from 0."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts = batch.column(2).to_pylist() if batch.num_columns > 2 else [0] * batch.num_rows
+            for path, data, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), firsts, strict=True):
+                found = read(data)
+                number = range(first, first + len(found))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(number, pa.int64()), pa.array(found, pa.binary())], FRAME_NAMES)
 
-def containers(frames: DataFrame, codec: str = "none", most: int = 1000) -> DataFrame:
-    """frames (container, seq from 0 without gaps, payload) to container, part, data: containers of at most ``most`` frames."""
+    return rows
+
+
+def frames_in(data: DataFrame, read) -> DataFrame:
+    """path, frame, payload of containers (path, data, and first where they are parts of a longer one)."""
+    return python_rows(data.select(F.col("path").cast("string"), "data", *(["first"] if "first" in data.columns else [])), frame_rows(read), FRAME)
+
+
+def in_parts(frames: DataFrame, most: int, make) -> DataFrame:
+    """container, part, first (number of the first frame), data: by make(payloads, part), of at most ``most`` frames that follow
+    one another; a gap begins another container."""
+    if most < 1:
+        raise ValueError("a container must take a frame")
     shipped(frames.sparkSession)
 
     def write(pdf):
         import pandas as pd
 
-        payloads = [bytes(p) for p in pdf.sort_values("seq")["payload"]]
-        return pd.DataFrame({"container": pdf["container"][:1], "part": [int(pdf["part"].iloc[0])], "data": [container_bytes(payloads, codec)]})
+        pdf = pdf.sort_values("seq")
+        seq, part, payloads = pdf["seq"].to_numpy(), int(pdf["part"].iloc[0]), [bytes(p) for p in pdf["payload"]]
+        cuts = [0, *(np.flatnonzero(np.diff(seq) != 1) + 1).tolist(), len(seq)]
+        data = [make(payloads[a:b], part) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pd.DataFrame({"container": [pdf["container"].iloc[0]] * len(data), "part": part, "first": seq[cuts[:-1]], "data": data})
 
     kind = dict(frames.dtypes)["container"]
     parts = frames.select("container", F.floor(F.col("seq") / most).alias("part"), "seq", "payload")
-    return parts.groupBy("container", "part").applyInPandas(write, f"container {kind}, part long, data binary")
+    return parts.groupBy("container", "part").applyInPandas(write, f"container {kind}, part long, first long, data binary")
+
+
+def containers(frames: DataFrame, codec: str = "none", most: int = 1000) -> DataFrame:
+    """frames (container, seq from 0 without gaps, payload) to container, part, first, data: containers of at most ``most`` frames,
+    and of no more than a reader takes."""
+    return in_parts(frames, min(most, FRAMES_MOST), lambda payloads, _: container_bytes(payloads, codec))
 
 
 def frames_of(data: DataFrame) -> DataFrame:
-    """path, frame, payload of containers (path, data)."""
-    shipped(data.sparkSession)
-    return data.select(F.col("path").cast("string"), "data").mapInArrow(_frame_rows, "path string, frame long, payload binary")
+    """path, frame, payload of containers (path, data; first where they are parts of a longer one)."""
+    return frames_in(data, container_frames)
 
 
 def read_containers(spark: SparkSession, path: str) -> DataFrame:
     """path, frame, payload of all containers under a path; files go to tasks whole."""
-    shipped(spark)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_frame_rows, "path string, frame long, payload binary")
+    return frames_in(spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("data")), container_frames)
