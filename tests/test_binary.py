@@ -35,6 +35,23 @@ def test_stream_containers(spark, tmp_path):
     assert binary.stream_containers(frames.limit(0)).count() == 0
 
 
+def test_long_streams_are_cut(spark, monkeypatch):
+    """Tables of contents list all frames so far, so that a long stream in one container grows with its square; numbers stay."""
+    from vertexloom.plans import worlds
+
+    frames = spark.range(0, 5000, 1, 1).selectExpr("'a' as container", "id + if(id >= 2500, 10, 0) as seq", "encode(string(id), 'UTF-8') as payload")
+    data = binary.stream_containers(frames, hashed=True)
+    assert max(len(binary.stream_frames(bytes(r.data))) for r in data.collect()) == 1000
+    found = binary.stream_frames_of(data.selectExpr("container as path", "first", "data"))
+    assert sorted((r.frame, bytes(r.payload)) for r in found.collect()) == sorted((r.seq, bytes(r.payload)) for r in frames.collect())
+    held = []
+    read = lambda data: held.extend(data.collect()) or binary.frames_in(data, binary.stream_frames)
+    monkeypatch.setattr(binary, "stream_frames_of", read)
+    assert worlds.stream_containers(spark, "/root/testdata/sf0.1").count() == 15000
+    sizes = [len(binary.stream_frames(bytes(r.data))) for r in held]
+    assert sum(sizes) == 15000 and max(sizes) <= 1000
+
+
 PLAIN = st.none() | st.booleans() | st.integers(-(2**63), 2**63) | st.floats(allow_nan=False) | st.text()
 
 

@@ -308,7 +308,7 @@ def containers(spark, sf_dir):
 @query(_FRAMES)
 def stream_containers(spark, sf_dir):
     """The same in containers of format 2, with hashes."""
-    data = binary.stream_containers(_frames(spark, sf_dir), "lz4", True, 1 << 40).select(F.col("container").alias("path"), "data")
+    data = binary.stream_containers(_frames(spark, sf_dir), "lz4", True).select(F.col("container").alias("path"), "first", "data")
     return binary.stream_frames_of(data).select("path", "frame", F.decode("payload", "UTF-8").alias("text"))
 
 

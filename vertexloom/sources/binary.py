@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import shipped
-from .files import CODECS, DATASET, PACKED_MOST, UNPACKED_MOST, packed, unpacked
+from ..runtime import python_rows, shipped
+from .files import CODECS, DATASET, PACKED_MOST, UNPACKED_MOST, frames_in, in_parts, packed, unpacked
 
 #: Container format 2, fixed values: magic, bytes of the header, of an entry of the table of contents and of the footer, flag of hashes.
 MAGIC_2, HEADER, ENTRY, FOOTER, HASHED = b"OCTA3D2\0", 32, 32, 32, 1
@@ -29,7 +29,7 @@ def stream_bytes(payloads: list[bytes], stream: int = 0, codec: str = "lz4", has
     ``every_bytes``, and at the end: a table of contents of all frames so far (place 8, bytes unpacked 4, packed 4, codec, graph,
     level, tier 1 each, number 8, reserved 4) and a footer (the table's place, bytes and entries, flags; 8 each)."""
     out = bytearray(MAGIC_2 + struct.pack(">BB6xQQ", 2, HASHED if hashed else 0, stream, HEADER))
-    table = b""
+    table = bytearray()
     since = count = 0
     for i, data in enumerate(payloads):
         body = packed(codec, data)
@@ -69,36 +69,14 @@ def stream_frames(data: bytes) -> list[bytes]:
 
 
 def stream_containers(frames: DataFrame, codec: str = "lz4", hashed: bool = False, most: int = 1000) -> DataFrame:
-    """frames (container, seq from 0 without gaps, payload) to container, part, data: containers of at most ``most`` frames,
-    so that a long stream is dealt out over tasks."""
-    shipped(frames.sparkSession)
-
-    def write(pdf):
-        import pandas as pd
-
-        part = int(pdf["part"].iloc[0])
-        payloads = [bytes(p) for p in pdf.sort_values("seq")["payload"]]
-        return pd.DataFrame({"container": pdf["container"][:1], "part": [part], "data": [stream_bytes(payloads, part, codec, hashed)]})
-
-    kind = dict(frames.dtypes)["container"]
-    parts = frames.select("container", F.floor(F.col("seq") / most).alias("part"), "seq", "payload")
-    return parts.groupBy("container", "part").applyInPandas(write, f"container {kind}, part long, data binary")
-
-
-def _rows_of(read):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = read(data)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.binary())], ["path", "frame", "payload"])
-
-    return rows
+    """frames (container, seq from 0 without gaps, payload) to container, part, first, data: containers of at most ``most`` frames,
+    so that a long stream is dealt out over tasks and its tables of contents, each of all frames so far, stay short."""
+    return in_parts(frames, most, lambda payloads, part: stream_bytes(payloads, part, codec, hashed))
 
 
 def stream_frames_of(data: DataFrame) -> DataFrame:
-    """path, frame, payload of containers of format 2 (path, data)."""
-    shipped(data.sparkSession)
-    return data.select(F.col("path").cast("string"), "data").mapInArrow(_rows_of(stream_frames), "path string, frame long, payload binary")
+    """path, frame, payload of containers of format 2 (path, data; first where they are parts of a longer one)."""
+    return frames_in(data, stream_frames)
 
 
 def block_bytes(held: DataFrame, codec: str = "lz4") -> DataFrame:
@@ -139,8 +117,7 @@ def datasets_of(data: DataFrame) -> DataFrame:
 
 def read_stream_containers(spark: SparkSession, path: str) -> DataFrame:
     """path, frame, payload of all containers of format 2 under a path."""
-    shipped(spark)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_rows_of(stream_frames), "path string, frame long, payload binary")
+    return frames_in(spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("data")), stream_frames)
 
 
 def cbor(value) -> bytes:
