@@ -91,3 +91,22 @@ def test_meshes(spark):
     assert len(stl) == 84 + 2 * 50 and stl[80:84] == struct.pack("<I", 2)
     assert stl[84:134] == struct.pack("<12fH", 0, 0, 1, 0, 0, 0, 1, 0, 0, 0, 2, 0, 0)
     assert struct.unpack_from("<3f", stl, 134) == (0, 0, 1)
+
+
+def test_large_data_sets_come_in_parts(spark, tmp_path):
+    """A set is made and read whole by one task, so that a large one is several of its name; of equal rows too, and without a name. A small one stays one."""
+    from vertexloom.sources import files
+
+    n = 5 * files.CELLS // 2
+    cells = ["0 as frame", "5 as resolution", "2 as x", "4 as y", "-6 as z", "1.5D as value"]
+    layer = spark.range(0, n, 1, 1).selectExpr("'a' as name", *cells).union(spark.range(0, n, 1, 1).selectExpr("cast(null as string) as name", *cells)).union(spark.range(0, 10, 1, 4).selectExpr("'b' as name", *cells))
+    data = binary.cbor_datasets(layer)
+    sets = [binary.from_cbor(bytes(r.data)) for r in data.collect()]
+    sizes = {k: [len(s["cells"]) for s in sets if s["name"] == k] for k in ("a", None, "b")}
+    assert {k: sum(v) for k, v in sizes.items()} == {"a": n, None: n, "b": 10}
+    assert max(sizes["a"] + sizes[None]) < files.CELLS and sizes["b"] == [10]
+    files.write_dataset(layer, f"file://{tmp_path}/sets")
+    assert spark.read.schema(files.DATASET).json(f"file://{tmp_path}/sets").selectExpr("max(size(cells)) as m").first().m < files.CELLS
+    for found in (binary.datasets_of(data), files.read_dataset(spark, f"file://{tmp_path}/sets")):
+        counts = found.groupBy("name", *[c for c in found.columns if c != "name"]).count().collect()
+        assert {tuple(r) for r in counts} == {(k, 0, 5, 2, 4, -6, 1.5, sum(v)) for k, v in sizes.items()}

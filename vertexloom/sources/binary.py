@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import python_rows, shipped
-from .files import CODECS, DATASET, PACKED_MOST, UNPACKED_MOST, frames_in, in_parts, packed, unpacked
+from .files import CODECS, DATASET, PACKED_MOST, UNPACKED_MOST, datasets, frames_in, in_parts, packed, unpacked
 
 #: Container format 2, fixed values: magic, bytes of the header, of an entry of the table of contents and of the footer, flag of hashes.
 MAGIC_2, HEADER, ENTRY, FOOTER, HASHED = b"OCTA3D2\0", 32, 32, 32, 1
@@ -103,16 +103,17 @@ def blocks_of_bytes(data: DataFrame, codec: str = "lz4", size: int = 512) -> Dat
 
 
 def _bytes_of_cbor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A data set at once, since its cells take many times its bytes."""
     for batch in batches:
-        found = [from_cbor(d) for d in batch.column(0).to_pylist()]
-        cells = [[{k: float(c[k]) if k == "value" else c[k] for k in _CELL} for c in f["cells"]] for f in found]
-        yield pa.RecordBatch.from_arrays([pa.array([f["name"] for f in found], pa.string()), pa.array(cells, pa.list_(_KIND))], ["name", "cells"])
+        for data in batch.column(0):
+            found = from_cbor(data.as_py())
+            cells = [{k: float(c[k]) if k == "value" else c[k] for k in _CELL} for c in found["cells"]]
+            yield pa.RecordBatch.from_arrays([pa.array([found["name"]], pa.string()), pa.array([cells], pa.list_(_KIND))], ["name", "cells"])
 
 
 def datasets_of(data: DataFrame) -> DataFrame:
     """Rows of CBOR data sets (data)."""
-    shipped(data.sparkSession)
-    return data.select("data").mapInArrow(_bytes_of_cbor, DATASET).select("name", F.inline("cells"))
+    return python_rows(data.select("data"), _bytes_of_cbor, DATASET).select("name", F.inline("cells"))
 
 
 def read_stream_containers(spark: SparkSession, path: str) -> DataFrame:
@@ -190,14 +191,15 @@ _KIND = pa.struct([("frame", pa.int32()), ("resolution", pa.int32()), ("x", pa.i
 
 
 def cbor_datasets(layer: DataFrame) -> DataFrame:
-    """Rows (name, frame, resolution, x, y, z, value) to name and data, a CBOR data set a name."""
-    shipped(layer.sparkSession)
+    """Rows (name, frame, resolution, x, y, z, value) to name and data, a CBOR data set a name, or several of over CELLS cells."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([cbor({"name": r["name"], "cells": r["cells"]}) for r in batch.to_pylist()], pa.binary())], ["name", "data"])
+            for name, cells in zip(*batch.columns, strict=True):
+                data = cbor({"name": name.as_py(), "cells": cells.as_py()})
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], pa.string()), pa.array([data], pa.binary())], ["name", "data"])
 
-    return layer.groupBy("name").agg(F.collect_list(F.struct(*_CELL)).alias("cells")).mapInArrow(rows, "name string, data binary")
+    return python_rows(datasets(layer), rows, "name string, data binary")
 
 
 def read_cbor_datasets(spark: SparkSession, path: str) -> DataFrame:

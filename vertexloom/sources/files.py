@@ -15,6 +15,8 @@ from ..runtime import python_rows, shipped
 
 XYZ = ["x", "y", "z"]
 DATASET = "name string, cells array<struct<frame:int,resolution:int,x:int,y:int,z:int,value:double>>"
+#: Cells of a data set, about; larger sets are several of the same name, as a set is held whole where it is made and read.
+CELLS = 10_000
 #: Container format 1, fixed values: magic, and the limits that a reader trusts (frames; a frame's bytes, packed and unpacked).
 MAGIC, FRAMES_MOST, PACKED_MOST, UNPACKED_MOST = b"OCTA3D\0\0", 100_000, 64 << 20, 256 << 20
 CODECS = {"lz4": 0, "zstd": 1, "none": 3}
@@ -79,9 +81,19 @@ def feature_collection(features: DataFrame, order: str) -> DataFrame:
     return body.unionByName(ends.select(F.struct("part", F.lit("").alias("n")).alias("order"), "line"))
 
 
+def datasets(layer: DataFrame) -> DataFrame:
+    """Rows (name, frame, resolution, x, y, z, value) to name and cells; a set of over CELLS cells in several of the same name.
+
+    Rows are dealt out by hashed places in the input, not by values, so that equal rows part as well.
+    """
+    counts = layer.groupBy("name").count().select(F.col("name").alias("__name"), F.ceil(F.col("count") / CELLS).alias("__parts"))
+    rows = layer.withColumn("__at", F.xxhash64(F.monotonically_increasing_id())).join(counts, F.col("name").eqNullSafe(F.col("__name")))
+    return rows.groupBy("name", F.pmod("__at", "__parts").alias("__part")).agg(F.collect_list(F.struct("frame", "resolution", *XYZ, "value")).alias("cells")).select("name", "cells")
+
+
 def write_dataset(layer: DataFrame, path: str) -> None:
-    """Rows (name, frame, resolution, x, y, z, value) as JSON lines, one data set a name."""
-    layer.groupBy("name").agg(F.collect_list(F.struct("frame", "resolution", *XYZ, "value")).alias("cells")).write.json(path)
+    """Rows (name, frame, resolution, x, y, z, value) as JSON lines, one data set a name, or several of over CELLS cells."""
+    datasets(layer).write.json(path)
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
