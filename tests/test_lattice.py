@@ -314,3 +314,29 @@ def test_containers_of_many_frames(spark):
         assert sum(held) == n and max(held) == min(most, 70_000)
     with pytest.raises(ValueError):
         files.container_bytes([b""] * n)
+
+
+def test_neighbors_of_keys_are_generated_code(spark):
+    """Against plain Python at the edges of the ranges; lambdas would run uncompiled for each neighbour."""
+    def near(p, low, high):
+        found = [tuple(a + b for a, b in zip(p, n, strict=True)) for n in lattice.NEIGHBORS]
+        return [q for q in found if all(low <= c <= high for c in q)]
+
+    kinds = {
+        "index": (0, 65535, lambda c: ids.index64(F.lit(3), F.lit(1), F.lit(4), *c), ids.index_neighbors),
+        "route": (-(1 << 19), (1 << 19) - 1, lambda c: ids.route64(F.lit(2), *c), ids.route_neighbors),
+        "galactic": (-(1 << 31), (1 << 31) - 1, lambda c: ids.galactic128(F.lit(2), F.lit(5), F.lit(1), F.lit(10), F.lit(3), *c), ids.galactic_neighbors),
+    }
+    for low, high, make, around in kinds.values():
+        ends = [low, low + 1, low + 2, (low + high) // 2, high - 2, high - 1, high]
+        points = [p for p in itertools.product(ends, repeat=3) if p[0] % 2 == p[1] % 2 == p[2] % 2]
+        every = sorted({q for p in points for q in [p, *near(p, low, high)]})
+        made = spark.createDataFrame(every, "x long, y long, z long").select(*XYZ, make([F.col(c) for c in XYZ]).alias("k"))
+        keys = {tuple(r)[:3]: r.k for r in made.collect()}
+        found = made.select(*XYZ, around(F.col("k")).alias("n"))
+        assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+        held = {tuple(r)[:3]: r.n for r in found.collect()}
+        for p in points:
+            assert held[p] == [keys[q] for q in near(p, low, high)]
+        none = made.limit(1).select(around(F.when(F.col("x") > high, F.col("k"))).alias("n"))
+        assert none.first().n == []

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lattice import children, is_valid, neighbors, parent
+from .lattice import NEIGHBORS, children, is_valid, neighbors, parent
 
 MORTON_BITS = 48
 #: Shifts and masks that spread 16 bits to every third place.
@@ -96,31 +96,65 @@ def index_to_route(k: Column) -> Column:
     return route64(tier(k), *morton_decode(code(k)))
 
 
-def index_neighbors(k: Column) -> Column:
-    """Keys of the neighbours within 16 bits, in their order; frame, tier and level stay."""
-    inside = lambda p: p["x"].between(0, 65535) & p["y"].between(0, 65535) & p["z"].between(0, 65535)
-    at = lambda k: F.struct(k.alias("k"), *[c.alias(n) for c, n in zip(morton_decode(code(k)), "xyz", strict=True)])
+def _inside(steps: tuple[int, int, int], axes: list[Column], low: list[int], high: list[int]) -> Column:
+    """Whether a step stays within [low, high] on each axis that it moves on."""
+    good = F.lit(True)
+    for d, v, a, b in zip(steps, axes, low, high, strict=True):
+        if d:
+            good = good & (v <= F.lit(b).cast("long") if d > 0 else v >= F.lit(a).cast("long"))
+    return good
 
-    def around(c):
-        near = F.filter(neighbors(c["x"], c["y"], c["z"]), inside)
-        return F.transform(near, lambda p: index_of_code(frame(c["k"]), tier(c["k"]), lod(c["k"]), morton(p["x"], p["y"], p["z"])))
 
-    # Lambdas over arrays of one, so that a key is made and decoded once, not once a neighbour.
-    return F.transform(F.transform(F.array(k), at), around)[0]
+def index_neighbors(k: Column) -> Column:
+    """Keys of the neighbours within 16 bits, in their order; frame, tier and level stay.
+
+    Steps are taken on the spread bits of each axis, and no lambda is used (here and below), so that all of it is generated code.
+    """
+    masks = [_LOW << i for i in range(3)]
+    spread = lambda v, i: sum((v >> bit & 1) << 3 * bit for bit in range(16)) << i
+    axes = [_and(k, m) for m in masks]
+    head = _and(k, (1 << 62) - (1 << MORTON_BITS)).bitwiseOR(F.lit(-(1 << 63)).cast("long"))
+
+    def moved(v: Column, d: int, i: int) -> Column:
+        by = F.lit(spread(abs(d), i)).cast("long")
+        # Ones between an axis's bits carry to its next one.
+        return v if not d else _and(v.bitwiseOR(F.lit(~masks[i]).cast("long")) + by if d > 0 else v - by, masks[i])
+
+    near = []
+    for steps in NEIGHBORS:
+        key = head
+        for i, (v, d) in enumerate(zip(axes, steps, strict=True)):
+            key = key.bitwiseOR(moved(v, d, i))
+        ends = [spread(abs(d), i) for i, d in enumerate(steps)], [spread(65535 - abs(d), i) for i, d in enumerate(steps)]
+        near.append(F.when(_inside(steps, axes, *ends), key).otherwise(F.lit(0).cast("long")))  # no key is 0
+    return F.array_remove(F.array(*near), F.lit(0).cast("long"))
 
 
 def route_neighbors(k: Column) -> Column:
-    """Keys of the neighbours within 20 bits, in their order."""
-    keys = F.transform(neighbors(*route_coords(k)), lambda p: route64(tier(k), p["x"], p["y"], p["z"]))
-    return F.filter(keys, lambda n: n.isNotNull())
+    """Keys of the neighbours within 20 bits, in their order; none of a key of mixed parity."""
+    k = F.when(is_valid(*route_coords(k)), k)
+    axes = route_coords(k)
+    near = []
+    for steps in NEIGHBORS:
+        ends = [ROUTE_MIN + abs(d) for d in steps], [ROUTE_MAX - abs(d) for d in steps]
+        key = _and(k, 3 << 60).bitwiseOR(F.lit(ROUTE << 62).cast("long"))
+        for v, d, at in zip(axes, steps, (40, 20, 0), strict=True):
+            key = key.bitwiseOR(F.shiftleft(_and(v + d, (1 << 20) - 1), at))
+        near.append(F.when(_inside(steps, axes, *ends), key).otherwise(F.lit(0).cast("long")))  # no key is 0
+    return F.array_remove(F.array(*near), F.lit(0).cast("long"))
 
 
 def galactic_neighbors(g: Column) -> Column:
-    """Keys of the neighbours within 32 bits, in their order, with all attributes."""
+    """Keys of the neighbours within 32 bits, in their order, with all attributes; null ones of a key of mixed parity."""
     f = galactic_fields(g)
-    inside = lambda p: p["x"].between(INT_MIN, INT_MAX) & p["y"].between(INT_MIN, INT_MAX) & p["z"].between(INT_MIN, INT_MAX)
-    near = F.filter(neighbors(f["x"], f["y"], f["z"]), inside)
-    return F.transform(near, lambda p: galactic128(f["frame"], f["mant"], f["tier"], f["lod"], f["user"], p["x"], p["y"], p["z"]))
+    axes = [f[c] for c in "xyz"]
+    zero = F.struct(F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo"))  # no key, as the version is 1
+    near = []
+    for steps in NEIGHBORS:
+        ends = [INT_MIN + abs(d) for d in steps], [INT_MAX - abs(d) for d in steps]
+        key = galactic128(f["frame"], f["mant"], f["tier"], f["lod"], f["user"], *[v + d for v, d in zip(axes, steps, strict=True)])
+        near.append(F.when(_inside(steps, axes, *ends), key).otherwise(zero))
+    return F.array_remove(F.array(*near), zero)
 
 
 def galactic_valid(g: Column) -> Column:

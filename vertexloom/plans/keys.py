@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, lattice
 from ..operators import topology
 from ..operators.topology import XYZ
+from ..runtime import spread
 from ..sources import tables
 from .catalogue import _MIN, _NEIGHBORS, _PARENT, CELLS, POINTS, ROOMS, SIGNED, _free, _morton, _nearest, _ring, col, query, r6
 
@@ -36,8 +37,8 @@ _HALF_ROUTE = _edge_sql(524188, -524188)
 
 @query(f"SELECT id, list({_route('x + a', 'y + b', 'z + c')} ORDER BY slot) AS around FROM {_HALF_ROUTE}, {_NEIGHBORS} WHERE {_within(-524288, 524287)} GROUP BY id")
 def route_neighbors(spark, sf_dir):
-    rows = _edge(spark, sf_dir, 524188, -524188)
-    return rows.select("id", ids.route_neighbors(ids.route64(F.lit(0), *col(*XYZ))).alias("around"))
+    rows = spread(_edge(spark, sf_dir, 524188, -524188)).select("id", ids.route64(F.lit(0), *col(*XYZ)).alias("k"))
+    return rows.select("id", ids.route_neighbors(F.col("k")).alias("around"))
 
 
 _UPPER = f"(SELECT id, x + 100 + CASE WHEN id % 3 = 0 THEN 65336 ELSE 0 END AS x, y + 100 + CASE WHEN id % 3 = 0 THEN 65336 ELSE 0 END AS y, z + 100 AS z FROM ({SIGNED}))"
@@ -47,7 +48,8 @@ _UPPER = f"(SELECT id, x + 100 + CASE WHEN id % 3 = 0 THEN 65336 ELSE 0 END AS x
 def index_neighbors(spark, sf_dir):
     far = F.when(F.col("id") % 3 == 0, 65336).otherwise(0)
     rows = tables.signed_cells(spark, sf_dir).select("id", *[(F.col(c) + 100 + (far if c != "z" else 0)).cast("long").alias(c) for c in XYZ])
-    return rows.select("id", ids.index_neighbors(ids.index64(F.lit(9), F.lit(2), F.lit(7), *col(*XYZ), strict=True)).alias("around"))
+    rows = spread(rows).select("id", ids.index64(F.lit(9), F.lit(2), F.lit(7), *col(*XYZ), strict=True).alias("k"))
+    return rows.select("id", ids.index_neighbors(F.col("k")).alias("around"))
 
 
 _WORD = "({0} & 4294967295)"
@@ -64,7 +66,7 @@ _HALF_INT = _edge_sql(2147483548, -2147483548)
 @query(f"SELECT id, list({_GHI.format('(x + a)')} || ':' || {_lo('y + b', 'z + c')} ORDER BY slot) AS around FROM {_HALF_INT}, {_NEIGHBORS} WHERE {_within(-2147483648, 2147483647)} GROUP BY id")
 def galactic_neighbors(spark, sf_dir):
     lit = F.lit
-    rows = _edge(spark, sf_dir, 2147483548, -2147483548).withColumn("g", ids.galactic128(lit(2), lit(5), lit(1), lit(10), lit(3), *col(*XYZ)))
+    rows = spread(_edge(spark, sf_dir, 2147483548, -2147483548)).withColumn("g", ids.galactic128(lit(2), lit(5), lit(1), lit(10), lit(3), *col(*XYZ)))
     return rows.select("id", F.transform(ids.galactic_neighbors(F.col("g")), lambda n: F.concat_ws(":", n["hi"], n["lo"])).alias("around"))
 
 
